@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, simhash
+from . import decontaminate, line_dedup, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
