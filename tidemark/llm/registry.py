@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, quality, simhash
+from . import decontaminate, line_dedup, packing, quality, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash": simhash.op3_simhash,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_packing": packing.op6_packing,
     }
 
 
