@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprints, line_dedup, packing, quality, simhash, suffix_dedup, token_store
+from . import decontaminate, fingerprints, line_dedup, packing, quality, simhash, suffix_dedup, surrogates, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_surrogates": surrogates.op1_surrogates,
         "op2_quality": quality.op2_quality,
         "op3_simhash": simhash.op3_simhash,
         "op4_line_dedup": line_dedup.op4_line_dedup,
