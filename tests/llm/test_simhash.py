@@ -69,18 +69,38 @@ def test_components(spark, bucket):
     rows += ["", None, "  ", "tiny", "tiny"]
     data = [(i * 3, t, "x", 1) for i, t in enumerate(rows)] + [(None, rows[0], "x", 2), (0, rows[0], "again", 3)]
     docs = spark.createDataFrame(data, "doc_id long, text string, f string, component long")
-    got = simhash.near_duplicates(docs, bucket=bucket).collect()
+    got = simhash.near_duplicates(docs, width=3, similarity=None, bucket=bucket).collect()
     assert len(got) == len(data)
     prints = {i * 3: brute_print(t) for i, t in enumerate(rows)} | {None: brute_print(rows[0])}
     want = brute_components(prints)
     for r in got:
         assert r.fingerprint % 2**64 == prints[r.doc_id]
         assert r.component_id == want[r.doc_id]
-    kept = simhash.keep_one(docs, bucket=bucket)
+    kept = simhash.keep_one(docs, width=3, similarity=None, bucket=bucket)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in want.values()})
 
 
+@pytest.mark.parametrize("bucket", [4096, 8])
+def test_similarity(spark, bucket):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows, groups = [], []
+    for g in range(40):
+        text = list(rng.choice(words, 400))
+        for k in range(5):
+            t = list(text)
+            for at in rng.choice(400, 2 * k, replace=False):  # each change touches five of some 400 shingles
+                t[at] = str(rng.choice(words))
+            rows.append((len(rows), " ".join(t)))
+            groups.append(g)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, bucket=bucket).collect()}
+    assert all(groups[d] == groups[c] for d, c in got.items())
+    assert sum(got[d] == d for d in got) <= 44
+    assert simhash.keep_one(docs, bucket=bucket).count() == sum(got[d] == d for d in got)
+
+
 def test_null_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "other words stand here")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(docs).collect()] == [None] * 3
