@@ -26,11 +26,14 @@ def test_cuts_cover_and_move_little():
     assert ts.cut_points(same)[-1] == 10_000
 
 
-def test_crc_join():
+def test_crc_joined():
     rng = np.random.default_rng(1)
-    for n, m in ((0, 4), (8, 0), (400, 4), (12, 8192), (1, 1)):
-        a, b = rng.bytes(n), rng.bytes(m)
-        assert ts.crc32_join(zlib.crc32(a), zlib.crc32(b), m) == zlib.crc32(a + b)
+    runs = [[0, 4], [8, 0], [400, 4, 12, 8192], [1], [5, 7, 100_000]]
+    parts = [[rng.bytes(n) for n in r] for r in runs]
+    flat = [p for r in parts for p in r]
+    first = np.cumsum([0] + [len(r) for r in runs])[:-1]
+    got = ts.crc32_joined(np.array([zlib.crc32(p) for p in flat]), np.array([len(p) for p in flat]), first)
+    assert got.tolist() == [zlib.crc32(b"".join(r)) for r in parts]
 
 
 def test_round_trip_and_damage(spark, tmp_path):

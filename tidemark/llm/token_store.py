@@ -82,29 +82,19 @@ def unpack_ids(payload: bytes, unzip: zstandard.ZstdDecompressor) -> np.ndarray:
 # --- crc32 of joined chunks -------------------------------------------------
 
 
-@lru_cache(4096)
-def _shift_table(n_bytes: int) -> tuple[list[int], ...]:
-    """Tables by which a crc32 register is moved past ``n_bytes`` zero bytes."""
-    rows, power = [1 << b for b in range(32)], [0] * 32
+@lru_cache(1)
+def _shift_tables(powers: int = 40) -> np.ndarray:
+    """[k][byte][value]: how a crc32 register's bytes move past 2^k zero bytes."""
     step = [0xEDB88320] + [1 << b for b in range(31)]  # one zero bit
     for _ in range(3):
         step = [_times(step, r) for r in step]
-    power, n = step, n_bytes
-    while n:
-        if n & 1:
-            rows = [_times(power, r) for r in rows]
-        power, n = [_times(power, r) for r in power], n >> 1
-    out = []
-    for byte in range(4):
-        t = [0] * 256
-        for v in range(256):
-            x = 0
+    out = np.zeros((powers, 4, 256), np.uint32)
+    for k in range(powers):
+        for byte in range(4):
             for b in range(8):
-                if v >> b & 1:
-                    x ^= rows[8 * byte + b]
-            t[v] = x
-        out.append(t)
-    return tuple(out)
+                out[k, byte, 1 << b : 2 << b] = out[k, byte, : 1 << b] ^ np.uint32(step[8 * byte + b])
+        step = [_times(step, r) for r in step]
+    return out
 
 
 def _times(matrix: list[int], v: int) -> int:
@@ -118,10 +108,23 @@ def _times(matrix: list[int], v: int) -> int:
     return x
 
 
-def crc32_join(first: int, second: int, second_bytes: int) -> int:
-    """crc32 of two strings on end, from the crc32 of each and the length of the second."""
-    a, b, c, d = _shift_table(second_bytes)
-    return a[first & 255] ^ b[first >> 8 & 255] ^ c[first >> 16 & 255] ^ d[first >> 24] ^ second
+def crc32_joined(crc: np.ndarray, n_bytes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """crc32 of each run of strings on end, from the crc32 and length of each string.
+
+    ``first``: where each run begins.  A string's part in the result is its crc32 moved
+    past the bytes that follow it in its run.
+    """
+    crc = crc.astype(np.uint32)
+    total = np.add.reduceat(n_bytes, first)
+    upto = np.cumsum(n_bytes)
+    runs = np.diff(np.concatenate([first, [len(crc)]]))
+    after = np.repeat(upto[first] - n_bytes[first] + total, runs) - upto
+    for k, t in enumerate(_shift_tables()):
+        at = np.flatnonzero(after >> k & 1)
+        if len(at):
+            v = crc[at]
+            crc[at] = t[0][v & 255] ^ t[1][v >> 8 & 255] ^ t[2][v >> 16 & 255] ^ t[3][v >> 24]
+    return np.bitwise_xor.reduceat(crc, first)
 
 
 # --- Merkle trees -------------------------------------------------------------
@@ -319,18 +322,19 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     whole = found.groupBy("part", "pos", "doc", "text_hash", "local_start").agg(F.collect_list(F.struct("k", "digest", "n", "crc")).alias("cs"))
 
     def join(c):
-        out = {k: c[k] for k in ("part", "pos", "doc", "local_start")} | {"n_tokens": [], "crc": [], "leaf": []}
+        out = {k: c[k] for k in ("part", "pos", "doc", "local_start")} | {"n_tokens": [], "leaf": []}
+        crc, size, first = [], [], []
         for doc, h, cs in zip(c["doc"], c["text_hash"], c["cs"]):
             cs.sort(key=lambda x: x["k"])
-            if any(x["crc"] is None for x in cs):
-                raise ValueError(f"a chunk of document {doc} is missing")
-            crc = 0
-            for x in cs:
-                crc = crc32_join(crc, x["crc"], 4 * x["n"])
             sizes = [x["n"] for x in cs]
+            if None in sizes:
+                raise ValueError(f"a chunk of document {doc} is missing")
+            first.append(len(crc))
+            crc += [x["crc"] for x in cs]
+            size += sizes
             out["n_tokens"].append(sum(sizes))
-            out["crc"].append(crc)
             out["leaf"].append(leaf(doc, h, sizes, [x["digest"] for x in cs]))
+        out["crc"] = crc32_joined(np.array(crc, np.int64), 4 * np.array(size, np.int64), np.array(first)).tolist() if crc else []
         return out
 
     built = map_rows(whole, ["part", "pos", "doc", "text_hash", "local_start", "cs"], join, "part int, pos long, doc long, local_start long, n_tokens long, crc long, leaf binary")
