@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import relational_queries, series_queries
+from .plans import detect_queries, relational_queries, series_queries, vector_queries
 
-MODULES = (series_queries, relational_queries)
+MODULES = (series_queries, relational_queries, vector_queries, detect_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
