@@ -177,7 +177,7 @@ def louvain(g: Graph) -> np.ndarray:
 
 
 def label_propagation(g: Graph, rounds: int = 100) -> np.ndarray:
-    """Labels by majority of neighbours, node by node in order; ties keep the label or take the smallest."""
+    """Labels by majority of neighbours, node by node in order; ties keep the label or take the largest."""
     label = np.arange(g.n)
     for _ in range(rounds):
         changed = False
@@ -187,7 +187,7 @@ def label_propagation(g: Graph, rounds: int = 100) -> np.ndarray:
             names, c = np.unique(label[list(g.near[u])], return_counts=True)
             top = names[c == c.max()]
             if label[u] not in top:
-                label[u], changed = top.min(), True
+                label[u], changed = top.max(), True
         if not changed:
             break
     return np.unique(label, return_inverse=True)[1]

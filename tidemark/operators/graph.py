@@ -103,14 +103,14 @@ def threshold_spread(edges: DataFrame, seeds: DataFrame, threshold: float = 0.5,
 
 
 def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, label): synchronous majority of neighbours and the node itself, ties to the smallest label."""
+    """(node, label): synchronous majority of neighbours and the node itself, ties to the largest label."""
     two = stage(both_ways(edges), "lp-edges")
     label = stage(two.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct(), "lp")
     for _ in range(rounds):
         heard = two.join(label, F.col("dst") == F.col("node")).select("src", "label").unionByName(label.select(F.col("node").alias("src"), "label"))
         votes = heard.groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.max(F.struct("n", (-F.col("label")).alias("neg"))).alias("b"))
-        new = stage(best.select(F.col("src").alias("node"), (-F.col("b.neg")).alias("label")), "lp")
+        best = votes.groupBy("src").agg(F.max(F.struct("n", "label")).alias("b"))
+        new = stage(best.select(F.col("src").alias("node"), F.col("b.label").alias("label")), "lp")
         same = new.join(label, ["node", "label"], "left_anti").isEmpty()
         label = new
         if same:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import detect_queries, relational_queries, series_queries, vector_queries
+from .plans import analysis_queries, detect_queries, relational_queries, series_queries, stream_queries, vector_queries
 
-MODULES = (series_queries, relational_queries, vector_queries, detect_queries)
+MODULES = (series_queries, relational_queries, vector_queries, detect_queries, analysis_queries, stream_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
