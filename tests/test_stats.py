@@ -155,8 +155,10 @@ def test_stability_selection_recovers_the_drivers():
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 12))
     y = 1.5 * x[:, 2] - 1.0 * x[:, 7] + rng.normal(size=200)
-    freq, stable = stats.stability_selection(y, np.column_stack([x, np.linspace(-1, 1, 200)]), free=1, samples=40)
-    assert stable[2] and stable[7] and freq[[i for i in range(12) if i not in (2, 7)]].mean() < 0.6
+    freq, stable = stats.stability_selection(y, np.column_stack([x, np.linspace(-1, 1, 200)]), controls=1, samples=40)
+    assert stable[2] and stable[7] and freq[2] == freq[7] == 1.0 and freq[[i for i in range(12) if i not in (2, 7)]].mean() < 0.95
+    b = stats.elastic_net(y - y.mean(), x - x.mean(0), 0.3, 0.9)
+    assert set(np.flatnonzero(b)) == {2, 7}
     boots = stats.bootstrap_sums(y, x, [np.array([2]), np.array([7])], 200)
     assert np.quantile(boots[:, 0], 0.05) > 1 and np.quantile(boots[:, 1], 0.95) < -0.5
 

@@ -309,60 +309,76 @@ def lagged(x: np.ndarray, lags: int) -> np.ndarray:
     return np.column_stack([np.concatenate([np.zeros((k, x.shape[1])), x[: len(x) - k]]) for k in range(lags + 1)])
 
 
-def elastic_net(y: np.ndarray, x: np.ndarray, alpha: float, ratio: float = 0.5, free: int = 0, beta: np.ndarray | None = None, rounds: int = 300) -> np.ndarray:
-    """Coordinate descent on the Gram matrix; the last ``free`` columns aren't penalised."""
-    n, k = x.shape
-    g, c = x.T @ x / n, x.T @ y / n
-    b = np.zeros(k) if beta is None else beta.copy()
+def _descend(g: np.ndarray, c: np.ndarray, alpha: float, ratio: float, beta: np.ndarray, rounds: int = 1000) -> np.ndarray:
+    """Coordinate descent for the elastic net on a Gram matrix g and correlations c."""
+    b, l1, l2 = beta.copy(), alpha * ratio, alpha * (1 - ratio)
     r = c - g @ b
-    l1, l2 = np.full(k, alpha * ratio), np.full(k, alpha * (1 - ratio))
-    if free:
-        l1[-free:] = l2[-free:] = 0
+    d = np.diag(g)
     for _ in range(rounds):
         most = 0.0
-        for j in range(k):
-            if g[j, j] <= 1e-12:
+        for j in range(len(b)):
+            if d[j] <= 1e-12:
                 continue
-            z = r[j] + g[j, j] * b[j]
-            new = np.sign(z) * max(abs(z) - l1[j], 0) / (g[j, j] + l2[j])
-            step = new - b[j]
-            if step:
-                r -= g[:, j] * step
+            z = r[j] + d[j] * b[j]
+            new = (z - l1 if z > l1 else z + l1 if z < -l1 else 0.0) / (d[j] + l2)
+            if new != b[j]:
+                r -= g[:, j] * (new - b[j])
+                most = max(most, abs(new - b[j]))
                 b[j] = new
-                most = max(most, abs(step))
-        if most < 1e-7:
+        if most < 1e-6:
             break
     return b
 
 
+def elastic_net(y: np.ndarray, x: np.ndarray, alpha: float, ratio: float = 0.5, beta: np.ndarray | None = None) -> np.ndarray:
+    """Coefficients for centred data: mean squared error / 2 + alpha (ratio |b| + (1 - ratio) b^2 / 2)."""
+    n = len(y)
+    return _descend(x.T @ x / n, x.T @ y / n, alpha, ratio, np.zeros(x.shape[1]) if beta is None else beta)
+
+
 def _standard(x: np.ndarray) -> np.ndarray:
     sd = x.std(0)
     return (x - x.mean(0)) / np.where(sd > 1e-12, sd, 1)
 
 
-def choose_alpha(y: np.ndarray, x: np.ndarray, free: int = 0, n_alphas: int = 20, folds: int = 3) -> float:
-    """Penalty of the least error over contiguous folds, from a path of penalties."""
-    top = np.abs(x[:, : x.shape[1] - free].T @ (y - y.mean())).max() / len(y) / 0.5
-    path = np.geomspace(max(top, 1e-8), max(top, 1e-8) * 1e-2, n_alphas)
-    errors = np.zeros(n_alphas)
-    for part in np.array_split(np.arange(len(y)), folds):
-        train = np.setdiff1d(np.arange(len(y)), part)
-        b = None
-        for i, a in enumerate(path):
-            b = elastic_net(y[train], x[train], a, free=free, beta=b)
-            errors[i] += float(((y[part] - x[part] @ b) ** 2).sum())
-    return float(path[int(errors.argmin())])
-
-
-def stability_selection(y: np.ndarray, x: np.ndarray, free: int = 0, samples: int = 100, share: float = 0.5, threshold: float = 0.6, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """How often each penalised column is selected on half-samples, and which are at least ``threshold`` often."""
-    x, y = _standard(x), y - y.mean()
-    alpha = choose_alpha(y, x, free) / 2
-    rng, k = np.random.default_rng(seed), x.shape[1] - free
-    hits = np.zeros(k)
+def calibrate(y: np.ndarray, x: np.ndarray, n_alphas: int = 50, eps: float = 1e-3) -> tuple[float, float]:
+    """Penalty and mixing of the least error over contiguous folds, along a warm-started path for each mixing."""
+    n, k = x.shape
+    ratios = (0.7, 0.9, 0.95, 0.99) if k > n else (0.5, 0.7, 0.9, 0.95)
+    folds = np.array_split(np.arange(n), min(5, max(3, n // 5)))
+    parts = []
+    for part in folds:
+        train = np.setdiff1d(np.arange(n), part)
+        mx, my = x[train].mean(0), y[train].mean()
+        xt, yt = x[train] - mx, y[train] - my
+        parts.append((xt.T @ xt / len(train), xt.T @ yt / len(train), x[part] - mx, y[part] - my))
+    best = (math.inf, 0.0, ratios[0])
+    for ratio in ratios:
+        top = max(float(np.abs(x.T @ (y - y.mean())).max()) / n / ratio, 1e-10)
+        path = np.geomspace(top, top * eps, n_alphas)
+        errors = np.zeros(n_alphas)
+        for g, c, xv, yv in parts:
+            b = np.zeros(k)
+            for i, a in enumerate(path):
+                b = _descend(g, c, a, ratio, b, 200)
+                errors[i] += float(((yv - xv @ b) ** 2).mean())
+        i = int(errors.argmin())
+        best = min(best, (float(errors[i]), float(path[i]), ratio))
+    return best[1], best[2]
+
+
+def stability_selection(y: np.ndarray, x: np.ndarray, controls: int = 0, samples: int = 100, share: float = 0.5, threshold: float = 0.6, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """How often each column is selected on half-samples at half the calibrated penalty, and which are ``threshold`` often.
+
+    The last ``controls`` columns take part, but are not reported.
+    """
+    alpha, ratio = calibrate(y, _standard(x))
+    rng, k = np.random.default_rng(seed), x.shape[1] - controls
+    n_sub, hits = max(int(len(y) * share), min(10, len(y))), np.zeros(k)
     for _ in range(samples):
-        at = rng.choice(len(y), max(2, int(len(y) * share)), replace=False)
-        hits += np.abs(elastic_net(y[at], x[at], alpha, free=free)[:k]) > 1e-8
+        at = rng.choice(len(y), n_sub, replace=False)
+        ys = y[at] - y[at].mean()
+        hits += np.abs(elastic_net(ys, _standard(x[at]), alpha / 2, ratio)[:k]) > 1e-10
     return hits / samples, hits / samples >= threshold
 
 

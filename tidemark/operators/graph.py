@@ -41,7 +41,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, tol: float = 1e-6, rounds:
     n = d.count()
     links = stage(two.join(d, "src"), "pr-links")
     rank = stage(d.select(F.col("src").alias("node"), F.lit(1.0 / max(1, n)).alias("rank")), "pr")
-    for _ in range(rounds):
+    for _ in range(rounds if n else 0):
         sent = links.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("k")).alias("got"))
         new = stage(rank.join(sent, "node", "left").select("node", (F.lit((1 - damping) / n) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old")), "pr")
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0

@@ -160,12 +160,17 @@ def supplier_edges(spark: SparkSession, sf: str) -> DataFrame:
     return relational.co_edges(table(spark, sf, "lineitem"), ["l_orderkey"], "l_suppkey")
 
 
-EDGES = "x AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), e AS (SELECT a.s AS src, b.s AS dst, count(*) AS weight FROM x a JOIN x b ON a.k = b.k AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= 15)"
+EDGES = """x AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), e0 AS (SELECT a.s AS src, b.s AS dst, count(*) AS weight FROM x a JOIN x b ON a.k = b.k AND a.s < b.s GROUP BY 1, 2),
+e AS (SELECT * FROM e0 WHERE weight > (SELECT quantile_cont(weight, 0.9) FROM e0))"""
 
 
 def strong_edges(spark, sf):
-    """Pairs of suppliers with 15 orders or more in common."""
-    return supplier_edges(spark, sf).where("weight >= 15")
+    """The tenth of all pairs of suppliers with the most orders in common (more than the limit: ties stay out)."""
+    from ..functions.staging import stage
+
+    e = stage(supplier_edges(spark, sf), "edges")
+    limit = e.agg(F.percentile("weight", F.lit(0.9)).alias("limit"))
+    return e.join(F.broadcast(limit), F.col("weight") > F.col("limit")).drop("limit")  # one row
 
 
 @query("graph_basic", f"""WITH {EDGES}, t AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), d AS (SELECT src, count(*) AS k FROM t GROUP BY 1),

@@ -281,7 +281,7 @@ def tolerance_semi_join(spark, sf):
 CASE WHEN EXISTS (SELECT 1 FROM o p WHERE p.c = o.c AND p.d >= a - 90 AND p.d < a) THEN 0 ELSE 1 END AS fresh FROM o JOIN win ON o.d BETWEEN a AND b) GROUP BY id"""))
 def new_entrants(spark, sf):
     rows = articles(spark, sf).select("c", "d")
-    return rel.new_entrants(rows, rel.small(_windows(spark, sf).select("id", "a", "b")), "id", "c", "d", "a", "b")
+    return rel.new_entrants(rows, _windows(spark, sf).select("id", "a", "b"), "id", "c", "d", "a", "b")
 
 
 @query("shared_documents", _sql("SELECT x.id AS left_id, y.id AS right_id, count(DISTINCT p.c) AS shared FROM win x JOIN o p ON p.f = x.f AND p.d BETWEEN x.a AND x.b JOIN o r ON r.c = p.c JOIN win y ON r.f = y.f AND r.d BETWEEN y.a AND y.b WHERE x.f < y.f AND x.a <= y.b AND y.a <= x.b GROUP BY 1, 2"))
