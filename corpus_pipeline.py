@@ -24,8 +24,9 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that other documents of a smaller id hold; lengths follow the new texts."""
     names = docs.columns
-    got = line_dedup.drop_shared_lines(docs)
-    return got.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names])
+    got = line_dedup.drop_shared_lines(docs.select("doc_id", "text", F.struct(*names).alias("__tm_r")))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long").alias("n_chars")}
+    return got.select(*[new.get(c, F.col(f"__tm_r.{c}")) for c in names])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,17 @@ def test_links_against_brute_force(spark):
                 if options:
                     want[c, t, p] = max(options)[1]
     assert {(r.c, r.t, r.p): r.to_t for r in q.link_quotes(m).collect()} == want and want
+
+
+def test_long_conversations_are_ordered_alike(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = []
+    for c in (1, 2, 3):
+        turns = sorted(rnd.sample(range(-5, 400), 90))
+        for i, t in enumerate(turns):
+            rows.append((c, t, None if i == 0 or rnd.random() < 0.05 else turns[rnd.randrange(max(0, i - 12), i)], 0, False))
+    tree = spark.createDataFrame(rows, "c long, t long, reply_to long, n_linked long, linked boolean")
+    want = {tuple(r) for r in q._streamed_order(tree).collect()}
+    assert {tuple(r) for r in q._reply_order(tree, held=10).collect()} == want and len(want) == 270

@@ -177,15 +177,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     ``find_benchmark``; the columns are those of ``docs``.
     """
     names = docs.columns
-    found = find_benchmark(docs.select("*", F.lit(True).alias("__tm_x")), benchmark, text_col, **options)
+    packed = docs.select(F.struct(*names).alias("__tm_r"), F.col(text_col).alias("__tm_t"))
+    found = find_benchmark(packed, benchmark, "__tm_t", **options)
     if action == "document":
-        out = found.where(F.size("hit_spans") == 0)
-    elif action == "span":
+        return found.where(F.size("hit_spans") == 0).select("__tm_r.*")
+    if action == "span":
         cut = F.udf(lambda t, s: cut_words(t, [(x["first"], x["last"] + 1) for x in s]))
-        out = found.withColumn(text_col, F.when(F.size("hit_spans") > 0, cut(text_col, "hit_spans")).otherwise(F.col(text_col)))
-    else:
-        raise ValueError(f"action is {action!r}, neither document nor span")
-    return out.select(*[c for c in names if c in out.columns])
+        text = F.when(F.size("hit_spans") > 0, cut("__tm_t", "hit_spans")).otherwise(F.col("__tm_t"))
+        return found.select(*[text.alias(c) if c == text_col else F.col(f"__tm_r.{c}") for c in names])
+    raise ValueError(f"action is {action!r}, neither document nor span")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

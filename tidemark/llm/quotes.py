@@ -121,7 +121,7 @@ def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_co
     ``thread`` is the turn of the message that the chain of replies starts with, ``depth``
     the length of the chain, and ``place`` the position in the conversation in reply
     order: threads by their first turn, and in each the replies below what they answer,
-    by turn.  Chains are followed by doubling, a join a round.
+    by turn.
 
     Rows without conversation or turn keep their text and have null links; repeated
     (conversation, turn) rows share their links; null and empty texts have no
@@ -145,11 +145,56 @@ def format_conversations(messages: DataFrame, conv_col: str = "conv_id", turn_co
     return out.select(F.col("c").alias("conv_id"), F.col("t").alias("turn"), "role", "text", "n_quotes", "max_level", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), "reply_to", "thread", "depth", "place")
 
 
-def _reply_order(tree: DataFrame) -> DataFrame:
-    """(c, t, reply_to, n_linked, thread, depth, place) of a forest of replies, a conversation at a time.
+#: Turns up to which a conversation is ordered in one task.
+HELD_TURNS = 50_000
 
-    A conversation's turns stream through in order and only their numbers are held.
+
+def _reply_order(tree: DataFrame, held: int = HELD_TURNS) -> DataFrame:
+    """(c, t, reply_to, n_linked, thread, depth, place) of a forest of replies.
+
+    Conversations of up to ``held`` turns stream through tasks, which hold the numbers of
+    one at a time; longer ones are ordered by joins alone.
+    """
+    sizes = tree.groupBy("c").count()
+    long = stage(sizes.where(F.col("count") > held).select("c"), "long-conversations")
+    if long.isEmpty():
+        return _streamed_order(tree)
+    return _streamed_order(tree.join(long, "c", "left_anti")).unionByName(_joined_order(stage(tree.join(long, "c", "left_semi"), "long-trees")))
+
+
+def _joined_order(tree: DataFrame) -> DataFrame:
+    """The order of ``_streamed_order`` by pointer doubling: threads and depths up the replies, places along an Euler tour.
+
+    Each node is entered (element 2t) and left (2t + 1); an element's successor is the
+    first reply's entry or its own exit, then the next sibling's entry or the parent's
+    exit.  Its distance to the end, in entries, comes from log2 of the length rounds of
+    one join each.
     """
+    up = stage(tree.select("c", "t", F.coalesce("reply_to", "t").alias("p"), F.when(F.col("reply_to").isNull(), 0).otherwise(1).alias("n")), "up")
+    while True:
+        a = up.select("c", F.col("t").alias("p"), F.col("p").alias("p2"), F.col("n").alias("n2"))
+        new = stage(up.join(a, ["c", "p"]).select("c", "t", F.col("p2").alias("p"), (F.col("n") + F.col("n2")).alias("n"), (F.col("p") != F.col("p2")).alias("moved")), "up")
+        up = new.drop("moved")
+        if new.where("moved").isEmpty():
+            break
+    first = tree.where("reply_to IS NOT NULL").groupBy("c", F.col("reply_to").alias("t")).agg(F.min("t").alias("child"))
+    sibling = tree.withColumn("next", F.lead("t").over(Window.partitionBy("c", "reply_to").orderBy("t")))
+    enter = tree.join(first, ["c", "t"], "left").select("c", (2 * F.col("t")).alias("e"), F.coalesce(2 * F.col("child"), 2 * F.col("t") + 1).alias("s"), F.lit(1).cast("long").alias("w"))
+    leave = sibling.select("c", (2 * F.col("t") + 1).alias("e"), F.coalesce(2 * F.col("next"), 2 * F.col("reply_to") + 1).alias("s"), F.lit(0).cast("long").alias("w"))
+    tour = stage(enter.unionByName(leave), "tour")
+    while True:
+        on = tour.select("c", F.col("e").alias("s"), F.col("s").alias("s2"), F.col("w").alias("w2"))
+        tour = stage(tour.join(on, ["c", "s"], "left").select("c", "e", F.col("s2").alias("s"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")), "tour")
+        if tour.where("s IS NOT NULL").isEmpty():
+            break
+    total = tree.groupBy("c").agg(F.count("*").alias("all"))
+    place = tour.where("e % 2 = 0").join(total, "c").select("c", (F.col("e") / 2).cast("long").alias("t"), (F.col("all") - F.col("w")).cast("int").alias("place"))
+    out = tree.join(up.select("c", "t", F.col("p").alias("thread"), F.col("n").cast("int").alias("depth")), ["c", "t"]).join(place, ["c", "t"])
+    return out.select("c", "t", "reply_to", "n_linked", "thread", "depth", "place")
+
+
+def _streamed_order(tree: DataFrame) -> DataFrame:
+    """Whole conversations in order, one after the other."""
     schema = StructType.fromDDL("c long, t long, reply_to long, n_linked long, thread long, depth int, place int")
     arrow = to_arrow_schema(schema)
 
@@ -184,7 +229,7 @@ def _reply_order(tree: DataFrame) -> DataFrame:
 
 
 def chat_documents(formatted: DataFrame) -> DataFrame:
-    """(conv_id, messages): conversations in reply order, without quotations."""
+    """(conv_id, messages): a row for each conversation, its messages in reply order without quotations."""
     m = F.struct("place", "turn", "reply_to", "role", "text")
     return formatted.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(m)).alias("messages"))
 
