@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import share_code
+
 #: Stands for a null id inside the operators: it orders last.
 NULL_ID = 2**63 - 1
 
@@ -92,6 +94,7 @@ def map_rows(df: DataFrame, columns: list[str], f: Callable[[dict[str, list]], d
     """
     from pyspark.sql.types import StructType
 
+    share_code(df.sparkSession)
     out_schema = _arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,4 +167,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return share_code(spark).read.parquet(f"{sf_dir}/{table}.parquet")
