@@ -46,11 +46,11 @@ PATTERNS = [
     ("email", r"(?<![\w.+-])[\w.+-]+@(?:[\w-]+\.)+\w{2,}"),
     ("secret", r"\bAKIA[0-9A-Z]{16}\b|(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)([^\s\"',;]{6,})"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("card", r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])"),
+    ("card", r"(?<![\d.-])(?:\d{13,19}|\d{4}(?P<csep>[ -])\d{4}(?P=csep)\d{4}(?P=csep)\d{1,7}|\d{4}(?P<asep>[ -])\d{6}(?P=asep)\d{5})(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("ip", r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"),
     ("ip6", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){2,7}(?::?[0-9a-fA-F]{1,4})+(?![\w:])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w+])\+\d{8,15}\b"),
+    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-]|\.\d)|(?<![\w+])\+\d{8,15}\b"),
 ]
 _NAME = rf"(?:\b(?i:{'|'.join(sorted(map(re.escape, _TITLES), key=len, reverse=True))})\b\.? +)?(?:{'|'.join(sorted(map(re.escape, (n for ns in GIVEN.values() for n in ns)), key=len, reverse=True))})(?:[ -]+{_U}[\w'’-]+)?|\b(?:{'|'.join(sorted(map(re.escape, _WRITTEN), key=len, reverse=True))})\.? +{_U}[\w'’-]+(?: +{_U}[\w'’-]+)?"
 _SCAN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
@@ -97,16 +97,16 @@ def detect(text: str | None) -> list[Mention]:
     text = text or ""
     out: list[Mention] = []
     if _DIGIT.search(text) or "@" in text or _SECRET.search(text):
-        for m in _SCAN.finditer(text):
-            kind, (a, b) = m.lastgroup, m.span(m.lastgroup)
-            if kind is None or kind not in _KINDS:  # the inner group of a secret
-                kind = "secret"
-            if kind == "secret" and m.group(m.lastindex) is not None:
-                inner = m.group(_INNER)
-                a, b = m.span(_INNER) if inner is not None else m.span()
-            said = text[a:b]
-            if form := _form(kind, said):
+        at = 0
+        while m := _SCAN.search(text, at):
+            kind, (a, b) = m.lastgroup, m.span()
+            if kind == "secret" and m.group(_INNER) is not None:
+                a, b = m.span(_INNER)
+            if form := _form(kind, text[a:b]):
                 out.append(Mention(a, b, *form, ""))
+                at = m.end()
+            else:  # something else may start inside of what only looked like an entity
+                at = _RUN.match(text, m.start()).end()
     if _CAPITAL.search(text):
         taken = [(m.start, m.end) for m in out]
         for m in _NAMES.finditer(text):
@@ -115,8 +115,8 @@ def detect(text: str | None) -> list[Mention]:
     return sorted(out)
 
 
-_KINDS = {k for k, _ in PATTERNS}
-_INNER = next(i for i, n in enumerate(range(1, _SCAN.groups + 1), 1) if i not in _SCAN.groupindex.values())
+_INNER = next(i for i in range(1, _SCAN.groups + 1) if i not in _SCAN.groupindex.values())  # the secret itself, after its name
+_RUN = re.compile(r"\w+|\W")
 _DIGIT = re.compile(r"\d{2}")
 _SECRET = re.compile(r"(?i)passw|pwd|secret|token|api.?key|AKIA")
 _CAPITAL = re.compile("|".join(sorted({re.escape(n) for ns in GIVEN.values() for n in ns} | {re.escape(t) + r"\.? " for t in _WRITTEN})))
