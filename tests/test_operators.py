@@ -226,3 +226,24 @@ def test_new_entrants(spark):
     rows = spark.createDataFrame([("x", day(0)), ("x", day(100)), ("y", day(95)), ("y", day(101)), ("z", day(100))], "a string, d date")
     w = spark.createDataFrame([("w", day(100), day(101))], "id string, s date, e date")
     assert tuple(relational.new_entrants(rows, w, "id", "a", "d", "s", "e").first()) == ("w", 3, 2)
+
+
+def test_events_are_split_absorbed_and_shattered(spark):
+    up, down = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    members = spark.createDataFrame([(o, "storm" if o != "d" else "flood", k) for o, ks in {"a": [1, 2, 3, 4], "b": [3, 4, 5], "c": [8, 9], "d": [1, 2, 3]}.items() for k in ks], "occurrence string, kind string, key long")
+    occ = spark.createDataFrame([(o, "storm" if o != "d" else "flood", day(d), day(d), day(d + 1), 1.0, 0.5, 0.6) for o, d in (("a", 0), ("b", 3), ("c", 90), ("d", 1))], "occurrence string, kind string, peak date, core_start date, core_end date, mass double, intensity double, confidence double")
+    centres = spark.createDataFrame([("a", up), ("b", up), ("c", down), ("d", up)], "occurrence string, centroid array<double>")
+    one = spark.createDataFrame([(o, 0) for o in "abcd"], "occurrence string, cluster int")
+    parts = {r.occurrence: r.cluster for r in events.split_disconnected(one, occ, members, centres, "key").collect()}
+    assert parts["a"] == parts["b"] == parts["d"] != parts["c"]
+    own = spark.createDataFrame([(o, o) for o in "abcd"], "occurrence string, cluster string")
+    into = {r.occurrence: r.cluster for r in events.absorb(own, members, "key").collect()}
+    assert into == {"a": "a", "b": "b", "c": "c", "d": "a"}
+    roles = {r.kind: r.role for r in events.type_structure(one, occ, members, "key").collect()}
+    assert roles == {"storm": "constitutive", "flood": "constitutive"}
+    rows = spark.createDataFrame([(k, [float(x) for x in (up if k < 6 else down)]) for k in range(1, 10)], "key long, v array<double>")
+    shards = {r.key: r.part for r in events.coherence_gate(one, members, rows, "key", "v").collect()}
+    assert len({shards[k] for k in (1, 2, 3, 4, 5)}) == 1 and shards[8] == shards[9] != shards[1]
+    belong = members.select("key", "occurrence").withColumn("belonging", F.lit(0.5))
+    s = events.summarise(one, occ, belong, rows, "key", 5).first()
+    assert s.occurrences == 4 and s.rows == 7 and 0 < s.strength < 1

@@ -200,3 +200,94 @@ def regimes(daily: DataFrame, kind: str, day: str, value: str) -> DataFrame:
     lead = smooth.groupBy(day).agg(F.max_by(kind, F.struct("_v", kind)).alias("after"))
     x = lead.withColumn("before", F.lag("after").over(Window.orderBy(day)))  # one row a day
     return x.where("before <> after").select(day, "before", "after")
+
+
+def split_disconnected(clusters: DataFrame, occurrence: DataFrame, members: DataFrame, centres: DataFrame, key: str, near: float = 0.5, gap_days: int = 30) -> DataFrame:
+    """(occurrence, cluster): clusters split into parts that hang together, by shared rows, or by likeness within some days.
+
+    Links are joined inside each cluster, and parts are the links' components.
+    """
+    from ..functions.exprs import cosine
+    from .graph import components
+
+    o = clusters.join(occurrence.select("occurrence", "peak"), "occurrence").join(centres.select("occurrence", "centroid"), "occurrence").withColumn("id", F.xxhash64("occurrence"))
+    held = clusters.join(members.select("occurrence", key).distinct(), "occurrence").withColumn("id", F.xxhash64("occurrence")).select("cluster", key, "id")
+    shared = held.withColumnRenamed("id", "src").join(held.withColumnRenamed("id", "dst"), ["cluster", key]).where("src < dst").select("src", "dst")
+    a, b = o.select("cluster", F.col("id").alias("src"), F.col("peak").alias("p1"), F.col("centroid").alias("c1")), o.select("cluster", F.col("id").alias("dst"), F.col("peak").alias("p2"), F.col("centroid").alias("c2"))
+    alike = a.join(b, "cluster").where((F.col("src") < F.col("dst")) & (F.abs(F.datediff("p1", "p2")) <= gap_days) & (cosine(F.col("c1"), F.col("c2")) >= near)).select("src", "dst")
+    part = components(shared.unionByName(alike))
+    x = o.join(part, F.col("id") == F.col("node"), "left").select("occurrence", "cluster", F.coalesce("component", "id").alias("part"))
+    return x.select("occurrence", F.concat_ws("/", "cluster", F.dense_rank().over(Window.partitionBy("cluster").orderBy("part"))).alias("cluster"))
+
+
+def contained(clusters: DataFrame, members: DataFrame, key: str, threshold: float = 0.70) -> DataFrame:
+    """(small, large, share): clusters most of whose rows another, larger one holds; ties go to the smaller name."""
+    m = clusters.join(members.select("occurrence", key).distinct(), "occurrence").select("cluster", key).distinct()
+    size = m.groupBy("cluster").agg(F.count("*").alias("n"))
+    both = m.withColumnRenamed("cluster", "a").join(m.withColumnRenamed("cluster", "b"), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    x = both.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
+    first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a").cast("string") > F.col("b").cast("string")))
+    return x.where(first & (F.col("c") / F.col("na") >= threshold)).select(F.col("a").alias("small"), F.col("b").alias("large"), (F.col("c") / F.col("na")).alias("share"))
+
+
+def absorb(clusters: DataFrame, members: DataFrame, key: str, threshold: float = 0.70, rounds: int = 20) -> DataFrame:
+    """(occurrence, cluster): contained clusters are absorbed by the largest that holds them, until none is."""
+    from ..functions.staging import stage
+
+    now = stage(clusters.select("occurrence", F.col("cluster").cast("string").alias("cluster")), "absorb")
+    for _ in range(rounds):
+        into = contained(now, members, key, threshold).groupBy("small").agg(F.max_by("large", F.struct("share", "large")).alias("large"))
+        into = stage(into, "absorb-into")
+        if into.isEmpty():
+            break
+        # a cluster that is absorbed itself in this round takes nothing in
+        free = into.join(into.select(F.col("small").alias("large")), "large", "left_anti")
+        x = now.join(free, F.col("cluster") == F.col("small"), "left")
+        now = stage(x.select("occurrence", F.coalesce("large", "cluster").alias("cluster")), "absorb")
+    return now
+
+
+def type_structure(clusters: DataFrame, occurrence: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """(cluster, kind, mass, links, role): types of an event; constitutive ones share rows with another type or lead in mass."""
+    held = clusters.join(members.select("occurrence", "kind", key).distinct(), "occurrence").select("cluster", "kind", key).distinct()
+    pairs = held.withColumnRenamed("kind", "k1").join(held.withColumnRenamed("kind", "k2"), ["cluster", key]).where("k1 <> k2").groupBy("cluster", F.col("k1").alias("kind")).agg(F.count_distinct("k2").alias("links"))
+    mass = clusters.join(occurrence.select("occurrence", "kind", "mass"), "occurrence").groupBy("cluster", "kind").agg(F.sum("mass").alias("mass"))
+    top = F.max("mass").over(Window.partitionBy("cluster"))
+    x = mass.join(pairs, ["cluster", "kind"], "left").fillna(0, ["links"])
+    return x.withColumn("role", F.when((F.col("links") > 0) | (F.col("mass") == top), "constitutive").otherwise("satellite"))
+
+
+def summarise(clusters: DataFrame, occurrence: DataFrame, belonging: DataFrame, rows: DataFrame, key: str, outlet_count: int) -> DataFrame:
+    """One row an event: occurrences, types, mass, core days (extremes of its occurrences), coverage, strength."""
+    o = clusters.join(occurrence, "occurrence")
+    base = o.groupBy("cluster").agg(F.count("*").alias("occurrences"), F.count_distinct("kind").alias("kinds"), F.sum("mass").alias("mass"), F.avg("intensity").alias("intensity"), F.avg("confidence").alias("confidence"), F.min("core_start").alias("core_start"), F.max("core_end").alias("core_end"), F.max_by("peak", "mass").alias("peak"))
+    docs = clusters.join(belonging, "occurrence").groupBy("cluster").agg(F.count_distinct(key).alias("rows"), F.avg("belonging").alias("coherence"))
+    x = base.join(docs, "cluster", "left").fillna(0, ["rows", "coherence"])
+    total = rows.agg(F.count_distinct(key).alias("_t"))
+    x = x.crossJoin(F.broadcast(total))  # one row
+    return x.withColumn("strength", strength(F.col("mass"), F.col("rows") / F.greatest(F.col("_t"), F.lit(1)), F.col("intensity"), F.col("coherence"), F.least(F.lit(1.0), F.col("kinds") / outlet_count))).drop("_t")
+
+
+def coherence_gate(clusters: DataFrame, members: DataFrame, rows: DataFrame, key: str, vector: str, diameter: float = 0.16, least: int = 4, most: int = 20_000) -> DataFrame:
+    """(cluster, key, part): rows of an event shattered by meaning and regrouped by complete linkage up to a diameter.
+
+    Events under ``least`` rows stay whole; one beyond ``most`` is refused.
+    """
+    x = clusters.join(members.select("occurrence", key).distinct(), "occurrence").select(F.col("cluster").cast("string").alias("cluster"), key).distinct().join(rows.select(key, vector).dropDuplicates([key]), key)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise ValueError(f"an event has {len(pdf)} rows: split it first")
+        pdf = pdf.sort_values(key).reset_index(drop=True)
+        label = np.zeros(len(pdf), int)
+        if len(pdf) >= least:
+            u = _units(np.stack(pdf[vector].to_numpy()).astype(float))
+            d = np.clip(1 - u @ u.T, 0, 2)
+            np.fill_diagonal(d, 0)
+            fine = cluster.refine(d, np.zeros(len(pdf), int))
+            far = np.array([[d[np.ix_(fine == a, fine == b)].max() for b in range(fine.max() + 1)] for a in range(fine.max() + 1)])
+            np.fill_diagonal(far, 0)
+            label = cluster.cut(cluster.linkage(far, "complete"), len(far), height=diameter)[fine] if len(far) > 1 else fine
+        return pd.DataFrame({"cluster": pdf["cluster"], key: pdf[key], "part": label.astype(int)})
+
+    return x.groupBy("cluster").applyInPandas(run, f"cluster string, {key} {dict(rows.dtypes)[key]}, part int")

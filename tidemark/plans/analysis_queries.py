@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.staging import stage
 from ..operators import detect, events as ev, impact, paradigm, resolve, series, vectors
 from . import detect_queries as dq
 from .tables import articles, daily, table
@@ -34,7 +35,7 @@ def _clusters(spark, sf):
     r = event_rows(spark, sf)
     s = ev.seeds(r, "kind", "w", "all")
     m = ev.cluster_seeds(s, "kind", "key", "day", "embedding", cut=0.62)
-    return r, m
+    return stage(r, "rows"), stage(m, "members")
 
 
 @query("event_seeds", """WITH x AS (SELECT event_id AS key, event_type AS kind, least(abs(value) / 100, 1) AS w FROM events JOIN embeddings ON event_id = vec_id WHERE abs(value) > 0), t AS (SELECT *, max(w) OVER (PARTITION BY kind) AS m FROM x),
@@ -51,8 +52,9 @@ def event_hac(spark, sf):
 
 def _belonging(spark, sf):
     r, m = _clusters(spark, sf)
-    o = ev.occurrences(m, r, "kind", "key", "day", "w")
+    o = stage(ev.occurrences(m, r, "kind", "key", "day", "w"), "occurrences")
     c = vectors.centroids(m.join(r.select("key", "embedding"), "key"), ["occurrence"], "embedding", DIM).drop("n").join(o.select("occurrence", "kind", "peak"), "occurrence")
+    c = stage(c, "centres")
     return r, m, o, c, ev.soft_assign(r, c, "kind", "key", "day", "embedding", "w")
 
 
@@ -93,7 +95,7 @@ def event_regimes(spark, sf):
 def _states(spark, sf):
     w = series.weekly(daily(spark, sf), "f", "d")
     groups = sorted(r[0] for r in w.select("f").distinct().limit(100).collect())  # a closed vocabulary
-    return paradigm.states(w, "f", "week", "proportion", groups, step_days=7)
+    return stage(paradigm.states(w, "f", "week", "proportion", groups, step_days=7), "states")
 
 
 @query("dominance_states")
@@ -113,7 +115,7 @@ def shift_episodes(spark, sf):
 
 
 def _scored(spark, sf):
-    b = detect.detect_bursts(dq.signals(spark, sf), "f", "d", "composite", dq.LOW_BAR)
+    b = stage(detect.detect_bursts(dq.signals(spark, sf), "f", "d", "composite", dq.LOW_BAR), "bursts")
     return detect.score_bursts(b, dq.rows(spark, sf), "f", "d", "c", "outlet", "s")
 
 
@@ -125,7 +127,7 @@ def weighted_lift(spark, sf):
 
 @query("shift_attribution")
 def shift_attribution(spark, sf):
-    b = _scored(spark, sf)
+    b = stage(_scored(spark, sf), "scored")
     lifts = paradigm.weighted_lift(b, daily(spark, sf).select("f", "d", "proportion"), "f", "d", "proportion")
     return paradigm.attribute(paradigm.shifts(_states(spark, sf)), b, lifts, "f", least_score=0.0)
 
@@ -219,3 +221,24 @@ def group_correlations(spark, sf):
     return x.groupBy("yr").applyInPandas(run, "yr int, pairs long, actors long")
 
 
+
+
+@query("event_parts")
+def event_parts(spark, sf):
+    """Events split into connected parts, contained ones absorbed, with their strength."""
+    r, m, o, c, b = _belonging(spark, sf)
+    parts = ev.split_disconnected(stage(ev.group_occurrences(o, m, c, "key"), "clusters"), o, m, c, "key")
+    whole = ev.absorb(parts, m, "key")
+    return ev.summarise(whole, o, b, r, "key", 5)
+
+
+@query("event_types")
+def event_types(spark, sf):
+    _, m, o, c, _ = _belonging(spark, sf)
+    return ev.type_structure(ev.group_occurrences(o, m, c, "key"), o, m, "key")
+
+
+@query("event_coherence")
+def event_coherence(spark, sf):
+    r, m, o, c, _ = _belonging(spark, sf)
+    return ev.coherence_gate(ev.group_occurrences(o, m, c, "key"), m, r, "key", "embedding")

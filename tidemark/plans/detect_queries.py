@@ -51,7 +51,9 @@ def pelt_bursts(spark, sf):
 
 @query("scored_bursts")
 def scored_bursts(spark, sf):
-    b = detect.detect_bursts(signals(spark, sf), "f", "d", "composite", LOW_BAR)
+    from ..functions.staging import stage
+
+    b = stage(detect.detect_bursts(signals(spark, sf), "f", "d", "composite", LOW_BAR), "bursts")
     return detect.score_bursts(b, rows(spark, sf), "f", "d", "c", "outlet", "s")
 
 
