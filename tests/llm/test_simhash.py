@@ -107,3 +107,31 @@ def test_null_ids_and_empty_table(spark):
     assert sorted(r.text for r in simhash.keep_one(docs).collect()) == ["a b c d", "other words stand here"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def _pair(rng, same, only):
+    """Texts whose sets of five-word shingles have ``same`` in common and ``only`` each of their own."""
+    say = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    head = say(same + 4)
+    return " ".join(head + say(only)), " ".join(head + say(only))
+
+
+def test_exactly_from_0_8_on(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k in range(500):
+        same, only = [(160, 20), (159, 20), (180, 12), (130, 25)][k % 4]  # J = 0.8, 0.799, 0.882, 0.722
+        rows += [(2 * k, (p := _pair(rng, same, only))[0]), (2 * k + 1, p[1])]
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k + (same / (same + 2 * only) < 0.8)}
+    chain = [f"c{x}" for x in range(700)]  # each of these is only like its neighbours
+    rows += [(2000 + k, " ".join(chain[20 * k : 20 * k + 300])) for k in range(20)]
+    want |= {2000 + k: 2000 for k in range(20)}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_minhash_keys_meet():
+    rng = np.random.default_rng(6)
+    for _ in range(2000):
+        v = rng.integers(0, 2**64, 360, dtype=np.uint64)
+        assert (simhash.table_keys(v[:324]) == simhash.table_keys(v[36:])).any()  # 288 / 360 = 0.8

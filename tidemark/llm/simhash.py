@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, compared over vertical bit planes."""
+"""Near-duplicates: by SimHash, compared over vertical bit planes, or by exact Jaccard similarity of shingle sets."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, connected_components, from_id, keyed, local_roots, map_rows, read, stage
@@ -20,18 +20,20 @@ _EDGES = (0, 11, 22, 33, 43, 54, 64)
 BUCKET = 4096
 #: Lanes of a block that is abandoned as one: 64 words of 64 lanes.
 _BLOCK = 64
+#: Candidates by MinHash: so many tables, each keyed by so many minima.
+TABLES, MINIMA = 48, 6
+_FACTORS, _OFFSETS = np.random.default_rng(20).integers(0, 2**32, (2, TABLES * MINIMA, 1), dtype=np.uint32) | np.array([1, 0], np.uint32)[:, None, None]
 
 
-def fingerprint_words(text: str | None, width: int = 3, words: int = 1) -> np.ndarray:
-    """SimHash of the word shingles of a text, 64 bits to a word, XXH64 (seed 42) of each, repeats included.
+def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle of a text, repeats included.
 
     A-Z are lower-cased; words are split at ASCII white space; a text of fewer words
-    than ``width`` is one shingle, and without words the fingerprint is zero.  Bits
-    beyond the first 64 come from the same hash, mixed again.
+    than ``width`` is one shingle, and one without words has none.
     """
     said = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not said:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     if len(said) <= width:
         shingles = [b" ".join(said)]
     elif width == 3:
@@ -39,21 +41,36 @@ def fingerprint_words(text: str | None, width: int = 3, words: int = 1) -> np.nd
     else:
         shingles = [b" ".join(w) for w in zip(*(said[i:] for i in range(width)))]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
-    out = np.zeros(words, np.uint64)
-    for k in range(words):
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, len(h), 65536):
-            counts += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0]
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return out
+    return np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
+
+
+def _majority(h: np.ndarray) -> int:
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(h), 65536):
+        counts += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
-    """The first 64 bits of ``fingerprint_words``."""
-    return int(fingerprint_words(text, width)[0])
+    """SimHash of ``shingle_hashes``, 64 bits; without words it is zero."""
+    return _majority(shingle_hashes(text, width))
+
+
+def table_keys(hashes: np.ndarray) -> np.ndarray:
+    """The MinHash keys of a shingle set, one for each of ``TABLES``.
+
+    Two sets of Jaccard similarity J share one key at least with probability
+    1 - (1 - J^6)^48: at 0.8 all but 5 in 10 million pairs do.
+    """
+    low = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(TABLES * MINIMA, 2**32 - 1, np.uint32)
+    for at in range(0, len(low), 1024):
+        np.minimum(least, (low[at : at + 1024] * _FACTORS + _OFFSETS).min(axis=1), out=least)
+    k = np.arange(TABLES, dtype=np.uint64)
+    for x in least.reshape(TABLES, MINIMA).T.astype(np.uint64):
+        k = (k ^ x) * np.uint64(0x9E3779B97F4A7C15)
+        k ^= k >> np.uint64(29)
+    return k
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
@@ -205,16 +222,41 @@ def similar_radius(similarity: float, bits: int) -> int:
     return int(bits * p + 1.9 * np.sqrt(bits * p * (1 - p)))
 
 
-def link_similar(prints: DataFrame, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) of fingerprints of three words (columns f, f1, f2) by estimated Jaccard similarity.
+def link_similar(rows: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """Links (a, b) that join every two shingle sets which share a MinHash key and have this Jaccard similarity.
 
-    48 tables are keyed by 16 of the 192 bits; two sets of similarity 0.8 meet in one
-    of them 97 times in 100, of 0.85 over 99 times, and those that meet are compared on
-    all bits.  Unrelated texts differ in some 96 bits, the limit at 0.8 is 38.
+    ``rows`` has (d, h, s, n, keys): document, hash of its text, key and size of its
+    shingle set, and MinHash keys; ``texts`` is (__tm_d, h, __tm_t).  Every link is
+    verified on the whole sets.  First each set is compared with the smallest key of
+    each of its buckets; then all pairs of a bucket that these links haven't joined
+    are compared.  Nothing is capped or skipped.
     """
-    cols = ["f", "f1", "f2"]
-    keys = [_key(t, [(cols[b // 8], b % 8 * 8, 8) for b in (i, (i + o) % 24)]) for t, (o, i) in enumerate((o, i) for o in (1, 7) for i in range(24))]
-    return _link_tables(prints, cols, keys, similar_radius(similarity, 64 * len(cols)), bucket)
+    whole = Window.partitionBy("k")
+    met = rows.select("s", "n", F.explode("keys").alias("k")).withColumn("lo", F.min(F.struct("s", "n")).over(whole)).withColumn("hi", F.max("s").over(whole))
+    met = stage(met.where("lo.s <> hi").select("k", "s", "n", F.col("lo.s").alias("lo"), F.col("lo.n").alias("lo_n")).distinct(), "minhash-met")
+    of = rows.groupBy("s").agg(F.min(F.struct("d", "h")).alias("of")).join(met.select("s").distinct(), "s").select("s", F.col("of.d").alias("__tm_d"), F.col("of.h").alias("h"))
+    found = texts.join(of, ["__tm_d", "h"]).select("s", "__tm_t")
+    sets = stage(map_rows(found, ["s", "__tm_t"], lambda c: {"s": c["s"], "v": [_shingle_set(shingle_hashes(t, width)).view(np.int64) for t in c["__tm_t"]]}, "s long, v array<long>").dropDuplicates(["s"]), "minhash-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(sets.select(F.col("s").alias("a"), F.col("v").alias("va")), "a").join(sets.select(F.col("s").alias("b"), F.col("v").alias("vb")), "b")
+        c = F.size(F.array_intersect("va", "vb"))
+        return stage(x.where(c / (F.size("va") + F.size("vb") - c) >= similarity).select("a", "b"), "minhash-links")
+
+    likely = F.least("n", "lo_n") / F.greatest("n", "lo_n") >= similarity  # the sizes allow it
+    links = verified(met.where("s <> lo").where(likely).select(F.col("s").alias("a"), F.col("lo").alias("b")).distinct())
+    roots = connected_components(links)
+    left = met.join(roots, F.col("s") == F.col("node"), "left").select("k", "s", "n", "lo", F.coalesce("root", "s").alias("c"))
+    left = left.withColumn("c0", F.min("c").over(whole)).withColumn("c1", F.max("c").over(whole)).where("c0 <> c1 AND s <> lo").select("k", "s", "n", "c")
+    left = stage(left, "minhash-left")
+    other = left.select("k", *[F.col(x).alias(f"{x}2") for x in ("s", "n", "c")])
+    pairs = left.join(other, "k").where("s < s2 AND c <> c2").where(F.least("n", "n2") / F.greatest("n", "n2") >= similarity)
+    return links.unionByName(verified(pairs.select(F.col("s").alias("a"), F.col("s2").alias("b")).distinct()))
+
+
+def _shingle_set(h: np.ndarray) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted; texts without words have one of their own."""
+    return np.unique(h) if len(h) else np.array([xxhash.xxh64_intdigest(b"", 42)], np.uint64)
 
 
 def _key(table: int, slices: list[tuple[str, int, int]]) -> F.Column:
@@ -249,31 +291,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: (id, text_hash, fingerprint long, class_print, component_id).
 
     With ``similarity``, documents are linked whose sets of ``width``-word shingles have
-    that Jaccard similarity or more, as 192-bit fingerprints estimate it.  With None,
-    those are linked, without exception, whose 64-bit fingerprints differ in ``radius``
-    bits or fewer.  ``component_id`` is the smallest id that links reach, and
-    ``class_print`` the component's smallest fingerprint.  Texts that are null, empty or
+    that Jaccard similarity or more, computed on the whole sets; of pairs at 0.8, MinHash
+    tables miss 5 in 10 million, and none is linked below it.  With None, those are linked, without
+    exception, whose 64-bit fingerprints differ in ``radius`` bits or fewer, in buckets
+    of ``bucket``.  ``component_id`` is the smallest id that links reach, and
+    ``class_print`` stands for the component: its smallest fingerprint or, with
+    ``similarity``, its smallest key of a shingle set.  Texts that are null, empty or
     blank have fingerprint zero and are linked like any other.  A null id takes part,
     orders last, and is returned as null (a component of null ids only has a null
-    component_id).  Repeated rows each come back.  Copies count as one fingerprint
-    throughout; only distinct fingerprints are compared.
+    component_id).  Repeated rows each come back.  Copies count as one fingerprint, or
+    set, throughout; only distinct ones are compared.
     """
-    cols = ["f"] if similarity is None else ["f", "f1", "f2"]
+    if similarity is not None and similarity < 0.8:
+        raise ValueError("similarity is 0.8 or more: the MinHash tables are made for that")
 
     def prints(c):
-        got = np.array([fingerprint_words(t, width, len(cols)) for t in c["__tm_t"]], np.uint64).reshape(-1, len(cols)).view(np.int64)
-        return {"d": c["__tm_d"], "h": c["h"]} | {n: got[:, i] for i, n in enumerate(cols)}
+        out = {"d": c["__tm_d"], "h": c["h"], "f": [fingerprint(t, width) for t in c["__tm_t"]]} if similarity is None else {"d": c["__tm_d"], "h": c["h"], "f": [], "s": [], "n": [], "keys": []}
+        for t in c["__tm_t"] if similarity is not None else ():
+            h = shingle_hashes(t, width)
+            v = _shingle_set(h)
+            out["f"].append(_majority(h))
+            out["s"].append(xxhash.xxh64_intdigest(v.tobytes()))
+            out["n"].append(len(v))
+            out["keys"].append(table_keys(v).view(np.int64))
+        return out | {x: np.array(out[x], np.uint64).view(np.int64) for x in ("f", "s") if x in out}
 
     base = keyed(docs, id_col, text_col).select("__tm_d", F.xxhash64("__tm_t").alias("h"), "__tm_t")
-    rows = stage(map_rows(base, ["__tm_d", "h", "__tm_t"], prints, "d long, h long, " + ", ".join(f"{c} long" for c in cols)), "simhash")
-    nodes = stage(rows.groupBy("f").agg(F.min("d").alias("d"), *[F.min(c).alias(c) for c in cols[1:]]), "simhash-distinct")
-    links = link_fingerprints(nodes.select("f"), radius, bucket) if similarity is None else link_similar(nodes.select(*cols), similarity, bucket)
+    rows = stage(map_rows(base, ["__tm_d", "h", "__tm_t"], prints, "d long, h long, f long" + (", s long, n int, keys array<long>" if similarity is not None else "")), "simhash")
+    node = "f" if similarity is None else "s"
+    nodes = stage(rows.groupBy(node).agg(F.min("d").alias("d")), "simhash-distinct")
+    links = link_fingerprints(nodes.select("f"), radius, bucket) if similarity is None else link_similar(rows, base, similarity, width)
     roots = connected_components(links)
-    held = nodes.join(roots, nodes["f"] == roots["node"], "left").select(nodes["f"], "d", F.coalesce("root", nodes["f"]).alias("root"))
+    held = nodes.join(roots, nodes[node] == roots["node"], "left").select(nodes[node], "d", F.coalesce("root", nodes[node]).alias("root"))
     held = stage(held, "simhash-roots")
     least = held.groupBy("root").agg(F.min("d").alias("component"))
-    by_print = held.select("f", "root").join(least, "root")
-    got = rows.join(by_print, "f")
+    by_print = held.select(node, "root").join(least, "root")
+    got = rows.select(*{"d": 0, "h": 0, "f": 0, node: 0}).join(by_print, node)
     return got.select(from_id(F.col("d")).alias(id_col), F.col("h").alias("text_hash"), F.col("f").alias("fingerprint"), F.col("root").alias("class_print"), from_id(F.col("component")).alias("component_id"))
 
 
