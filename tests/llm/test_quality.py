@@ -58,3 +58,9 @@ def test_edges(spark):
     assert sorted(out.columns) == ["doc_id", "predicted", "score", "text"] and out.count() == len(rows)
     assert quality.classify_quality(docs.limit(0), lab).count() == 0
     assert {r.predicted for r in quality.classify_quality(docs, lab.limit(0)).collect()} == {1}
+
+
+def test_long_texts_are_compressed_whole():
+    for text in ("buy cheap pills now ! " * 12_000, "buy cheap pills now ! " * 120_000):  # 264,000 and 2.6 million bytes
+        assert abs(quality.features(text)[13] - len(zlib.compress(text.encode(), 1)) / len(text)) < 1e-3
+        assert quality.features(text)[13] < 0.02

@@ -16,6 +16,8 @@ from .common import map_rows, read
 
 HASHED = 256
 _SHAPES = 15
+#: Bytes that are compressed at a time.
+_PIECE = 1 << 20
 
 
 def features(text: str | None) -> np.ndarray:
@@ -49,7 +51,7 @@ def features(text: str | None) -> np.ndarray:
         len(set(words)) / nw,
         len(set(lines)) / len(lines),
         np.log1p(n / len(lines)) / 10,
-        len(zlib.compress(raw.tobytes(), 1)) / n if n < 200_000 else 0.4,
+        _compressed(raw) / n,
         sum(map(str.isupper, words)) / nw,
     )
     # byte pairs inside and at the ends of words, hashed; frequencies
@@ -59,6 +61,12 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
+def _compressed(raw: np.ndarray) -> int:
+    """Bytes that the whole text takes when compressed, piece by piece."""
+    c = zlib.compressobj(1)
+    return sum(len(c.compress(raw[at : at + _PIECE])) for at in range(0, len(raw), _PIECE)) + len(c.flush())
+
+
 @dataclass
 class Model:
     """A standardised one-hidden-layer network and the prior that it was fitted with."""
