@@ -247,3 +247,16 @@ def test_events_are_split_absorbed_and_shattered(spark):
     belong = members.select("key", "occurrence").withColumn("belonging", F.lit(0.5))
     s = events.summarise(one, occ, belong, rows, "key", 5).first()
     assert s.occurrences == 4 and s.rows == 7 and 0 < s.strength < 1
+
+
+def test_registered_states_slide_by_a_day_and_drop_no_group(spark, tmp_path):
+    from tidemark.plans import analysis_queries
+    from tidemark.plans.tables import vocabulary
+
+    rows = [(k, dt.datetime(2020, 1, 1) + dt.timedelta(days=k // 4), f"p{k % 3}", k % 7, "O", 1.0) for k in range(440)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp, o_orderpriority string, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    ends = sorted(r.window_end for r in analysis_queries.dominance_states(spark, str(tmp_path)).collect())
+    assert len(ends) > 7 and {b - a for a, b in zip(ends, ends[1:])} == {dt.timedelta(days=1)}
+    assert len(vocabulary(spark.range(150), "id")) == 150
+    with pytest.raises(ValueError):
+        vocabulary(spark.range(150), "id", most=100)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.staging import stage
 from ..operators import detect, events as ev, impact, paradigm, resolve, series, vectors
 from . import detect_queries as dq
-from .tables import articles, daily, table
+from .tables import articles, daily, table, vocabulary
 
 Q: dict = {}
 SQL: dict = {}
@@ -94,8 +94,8 @@ def event_regimes(spark, sf):
 
 def _states(spark, sf):
     w = series.weekly(daily(spark, sf), "f", "d")
-    groups = sorted(r[0] for r in w.select("f").distinct().limit(100).collect())  # a closed vocabulary
-    return stage(paradigm.states(w, "f", "week", "proportion", groups, step_days=7), "states")
+    groups = vocabulary(w, "f")
+    return stage(paradigm.states(w, "f", "week", "proportion", groups), "states")
 
 
 @query("dominance_states")
@@ -156,13 +156,13 @@ def _weekly_mass(spark, sf):
 @query("stability_selection")
 def stability_selection(spark, sf):
     w, m = _weekly_mass(spark, sf)
-    return impact.select_drivers(w, m, "model", "week", "proportion", "entity", samples=30, bootstraps=200)
+    return impact.select_drivers(w, m, "model", "week", "proportion", "entity")
 
 
 @query("hac_ols")
 def hac_ols(spark, sf):
     w, m = _weekly_mass(spark, sf)
-    return impact.select_drivers(w, m, "model", "week", "proportion", "entity", ar=True, samples=30, bootstraps=200)
+    return impact.select_drivers(w, m, "model", "week", "proportion", "entity", ar=True)
 
 
 @query("temporal_validation")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import blocking_keys, clean_author, clean_entity, normal_name, rounded, tag_present
 from ..operators import relational as rel
 from ..operators import series
-from .tables import ARTICLES, articles, daily, events, table
+from .tables import ARTICLES, articles, daily, events, table, vocabulary
 
 Q: dict = {}
 SQL: dict = {}
@@ -155,7 +155,7 @@ def set_alignment(spark, sf):
 SELECT d, CAST(sum(n) AS BIGINT) AS n, round(-sum(p * ln(p)), 6) AS entropy, round(1 + sum(p * ln(p)) / ln(5), 6) + 0 AS concentration FROM p GROUP BY d""")
 def entropy_concentration(spark, sf):
     e = events(spark, sf)
-    kinds = sorted(r[0] for r in e.select("event_type").distinct().limit(100).collect())  # a closed vocabulary
+    kinds = vocabulary(e, "event_type")
     got = rel.group_entropy(e, ["d"], "event_type", kinds)
     return got.select("d", "n", rounded(F.col("entropy")).alias("entropy"), rounded(F.col("concentration")).alias("concentration"))
 
@@ -311,7 +311,7 @@ SELECT round(avg(h) FILTER (early), 6) AS early, round(avg(h) FILTER (NOT early)
 def convergence_halves(spark, sf):
     """Diversity of the first half of the days less that of the second: one row a day is ranked."""
     e = events(spark, sf)
-    kinds = sorted(r[0] for r in e.select("event_type").distinct().limit(100).collect())
+    kinds = vocabulary(e, "event_type")
     h = rel.group_entropy(e, ["d"], "event_type", kinds)
     k = h.select("entropy", (F.row_number().over(Window.orderBy("d")) <= F.floor(F.count("*").over(Window.partitionBy()) / 2)).alias("early"))
     a, b = F.avg(F.when(F.col("early"), F.col("entropy"))), F.avg(F.when(~F.col("early"), F.col("entropy")))

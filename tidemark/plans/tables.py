@@ -26,6 +26,14 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
 
 
+def vocabulary(df: DataFrame, column: str, most: int = 10_000) -> list:
+    """The values of a closed vocabulary, sorted; more than ``most`` are refused."""
+    got = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(got) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(got)
+
+
 ARTICLES = """o AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS f, o_custkey AS c, o_orderstatus AS s, o_totalprice AS v FROM orders)"""
 
 DAILY = ARTICLES + """,
