@@ -249,6 +249,13 @@ def test_events_are_split_absorbed_and_shattered(spark):
     assert s.occurrences == 4 and s.rows == 7 and 0 < s.strength < 1
 
 
+def test_far_rows_belong_whatever_the_number_of_centres(spark):
+    rows = spark.createDataFrame([("storm", k, day(at), [1.0, 0.0], 0.9) for k, at in enumerate((0, 61, 500))], "kind string, key long, day date, v array<double>, w double")
+    centres = spark.createDataFrame([(o, "storm", day(0), [0.9, float(np.sqrt(0.19))]) for o in ("a", "b")], "occurrence string, kind string, peak date, centroid array<double>")
+    near, blocks = [{(r.key, r.occurrence): round(r.belonging, 9) for r in events.soft_assign(rows, centres, "kind", "key", "day", "v", "w", most=most).collect()} for most in (50_000, 1)]
+    assert len(near) == 6 and blocks == near
+
+
 def test_registered_states_slide_by_a_day_and_drop_no_group(spark, tmp_path):
     from tidemark.plans import analysis_queries
     from tidemark.plans.tables import vocabulary

@@ -80,17 +80,26 @@ def soft_assign(rows: DataFrame, centres: DataFrame, kind: str, key: str, day: s
     """(key, occurrence, belonging): how far each row belongs to each occurrence of its type; only what is above zero.
 
     Distance: 0.30 time, 0.45 cosine, 0.25 the row's own weight.  Centres (occurrence,
-    kind, peak, centroid) are broadcast after a check of their number; beyond it they
-    are joined on the type and a window of days, without a broadcast.
+    kind, peak, centroid) are broadcast after a check of their number; beyond ``most``
+    they are so in blocks, one after another.
     """
     n = centres.limit(most + 1).count()
     if n > most:
-        near = centres.withColumn("_d", F.explode(F.sequence(F.date_sub("peak", 60), F.date_add("peak", 60))))
-        x = rows.join(near, (rows[kind] == near[kind]) & (rows[day] == near["_d"]))
-        from ..functions.exprs import cosine
+        from ..functions.staging import stage
 
-        d = 0.30 * (1 - F.exp(-F.abs(F.datediff(rows[day], "peak")) / 14)) + 0.45 * (1 - F.greatest(F.lit(0.0), cosine(rows[vector], F.col("centroid")))) + 0.25 * (1 - F.least(F.lit(1.0), rows[weight]))
-        return x.select(rows[key], "occurrence", (1 - d / tau).alias("belonging")).where("belonging > 0")
+        held = stage(centres.select("occurrence", kind, "peak", "centroid"), "centres")
+        blocks = -(-2 * held.count() // max(1, most))  # by hash, so half full on average
+        mine, out = stage(rows.select(kind, key, day, vector, weight), "assign-rows"), None
+        for k in range(blocks):
+            block = held.where(F.pmod(F.xxhash64("occurrence"), F.lit(blocks)) == k)
+            got = stage(_assign(mine, block, kind, key, day, vector, weight, tau), "assigned")
+            out = got if out is None else out.unionByName(got)
+        return out
+    return _assign(rows, centres, kind, key, day, vector, weight, tau)
+
+
+def _assign(rows: DataFrame, centres: DataFrame, kind: str, key: str, day: str, vector: str, weight: str, tau: float) -> DataFrame:
+    """Each row against all centres of its type, which are broadcast."""
     local = centres.select("occurrence", kind, "peak", "centroid").toPandas()
     c = {k: (g["occurrence"].tolist(), pd.to_datetime(g["peak"]).map(pd.Timestamp.toordinal).to_numpy(float), _units(np.stack(g["centroid"].to_numpy()).astype(float))) for k, g in local.groupby(kind)}
     held = rows.sparkSession.sparkContext.broadcast(c)
