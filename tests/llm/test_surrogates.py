@@ -77,3 +77,9 @@ def test_distinct_and_coreferent(spark):
         for e in r.entities:
             assert r.text[e.start : e.end]
     assert sg.anonymise(docs.limit(0), "k").count() == 0
+
+
+def test_addresses_without_two_digits_side_by_side():
+    for said, kind in (("8.8.8.8", "ip"), ("a:b:c:d:e:f:a:1", "ip6"), ("a:b:c:d:e:f:a:b", "ip6")):
+        for text in (f"ask {said} first", f"ask {said} first, 12 times"):
+            assert [(m.kind, text[m.start : m.end]) for m in sg.detect(text)] == [(kind, said)]

@@ -117,7 +117,8 @@ def detect(text: str | None) -> list[Mention]:
 
 _INNER = next(i for i in range(1, _SCAN.groups + 1) if i not in _SCAN.groupindex.values())  # the secret itself, after its name
 _RUN = re.compile(r"\w+|\W")
-_DIGIT = re.compile(r"\d{2}")
+#: What every pattern without an "@" or a secret's name implies.
+_DIGIT = re.compile(r"\d|[a-fA-F]:[a-fA-F]")
 _SECRET = re.compile(r"(?i)passw|pwd|secret|token|api.?key|AKIA")
 _CAPITAL = re.compile("|".join(sorted({re.escape(n) for ns in GIVEN.values() for n in ns} | {re.escape(t) + r"\.? " for t in _WRITTEN})))
 
