@@ -99,3 +99,16 @@ def test_long_conversations_are_ordered_alike(spark):
     tree = spark.createDataFrame(rows, "c long, t long, reply_to long, n_linked long, linked boolean")
     want = {tuple(r) for r in q._streamed_order(tree).collect()}
     assert {tuple(r) for r in q._reply_order(tree, held=10).collect()} == want and len(want) == 270
+
+
+def test_nested_top_posted_quotes_are_linked(spark):
+    intro = "On Tue, 3 May 2022 at 10:11, Bob Smith wrote:"
+    say = lambda k: " ".join(f"{k}word{i}" for i in range(20))
+    first = say("a")
+    second = f"{say('b')}\n\n{intro}\n\n> {first}"
+    third = f"{say('c')}\n\n{intro}\n\n> {say('b')}\n>\n> {intro}\n>\n> > {first}"
+    rows = [(1, 0, "user", first), (1, 1, "user", second), (1, 2, "user", "between"), (1, 3, "user", third)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    links = {(r.t, r.level): (r.to_t, r.share) for r in q.link_quotes(df).collect()}
+    assert links == {(1, 1): (0, 1.0), (3, 1): (1, 1.0), (3, 2): (0, 1.0)}
+    assert {r.turn: r.reply_to for r in q.format_conversations(df).collect()} == {0: None, 1: 0, 2: 1, 3: 1}

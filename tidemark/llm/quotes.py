@@ -50,14 +50,16 @@ def own_text(text: str | None) -> str:
     for i, (level, passage) in enumerate(parts):
         if level:
             continue
-        if i + 1 < len(parts):
-            lines = passage.rstrip("\n").split("\n")
-            if _INTRO.search(lines[-1]):
-                passage = "\n".join(lines[:-1])
-        kept.append(passage)
+        kept.append(_without_intro(passage) if i + 1 < len(parts) else passage)
     return "\n".join(kept).strip("\n")
 
 
+def _without_intro(passage: str) -> str:
+    """A passage that a quotation follows, without the line that introduces it."""
+    lines = passage.rstrip().split("\n")
+    return "\n".join(lines[:-1]) if _INTRO.search(lines[-1]) else passage
+
+
 def shingles(text: str, width: int = WINDOW) -> list[int]:
     """Signed 64-bit hashes of the distinct word shingles of a normalised text (fewer words: all of them)."""
     words = [w.lower() for w in _WORD.findall(text)]
@@ -83,7 +85,10 @@ def _parse(width: int):
         for c, t, text in zip(cols["c"], cols["t"], cols["x"]):
             add(c, t, -1, 0, 0, shingles(own_text(text), width))
             if text and ">" in text:
-                for p, (level, passage) in enumerate(levels(text)):
+                parts = levels(text)
+                for p, (level, passage) in enumerate(parts):
+                    if level and p + 1 < len(parts) and parts[p + 1][0] > level:
+                        passage = _without_intro(passage)
                     if level and (hs := shingles(passage, width)):
                         add(c, t, p, level, 1, hs)
         return out
