@@ -256,6 +256,20 @@ def test_far_rows_belong_whatever_the_number_of_centres(spark):
     assert len(near) == 6 and blocks == near
 
 
+def test_unfinished_iterations_raise(spark):
+    from tidemark.operators import graph
+
+    path = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    assert {r.core for r in graph.core_numbers(path).collect()} == {1}
+    for f in (lambda: graph.core_numbers(path, rounds=3), lambda: graph.components(path, rounds=1)):
+        with pytest.raises(RuntimeError):
+            f()
+    own = spark.createDataFrame([(o, o) for o in "abc"], "occurrence string, cluster string")
+    members = spark.createDataFrame([(o, "storm", k) for o, n in (("a", 9), ("b", 7), ("c", 5)) for k in range(n)], "occurrence string, kind string, key long")
+    with pytest.raises(RuntimeError):
+        events.absorb(own, members, "key", rounds=1)
+
+
 def test_registered_states_slide_by_a_day_and_drop_no_group(spark, tmp_path):
     from tidemark.plans import analysis_queries
     from tidemark.plans.tables import vocabulary

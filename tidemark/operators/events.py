@@ -239,7 +239,7 @@ def contained(clusters: DataFrame, members: DataFrame, key: str, threshold: floa
     return x.where(first & (F.col("c") / F.col("na") >= threshold)).select(F.col("a").alias("small"), F.col("b").alias("large"), (F.col("c") / F.col("na")).alias("share"))
 
 
-def absorb(clusters: DataFrame, members: DataFrame, key: str, threshold: float = 0.70, rounds: int = 20) -> DataFrame:
+def absorb(clusters: DataFrame, members: DataFrame, key: str, threshold: float = 0.70, rounds: int = 10_000) -> DataFrame:
     """(occurrence, cluster): contained clusters are absorbed by the largest that holds them, until none is."""
     from ..functions.staging import stage
 
@@ -253,6 +253,8 @@ def absorb(clusters: DataFrame, members: DataFrame, key: str, threshold: float =
         free = into.join(into.select(F.col("small").alias("large")), "large", "left_anti")
         x = now.join(free, F.col("cluster") == F.col("small"), "left")
         now = stage(x.select("occurrence", F.coalesce("large", "cluster").alias("cluster")), "absorb")
+    else:
+        raise RuntimeError(f"absorption did not settle in {rounds} rounds")
     return now
 
 

@@ -66,10 +66,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         e = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(e, F.col("node") == F.col("u"), "left").select("node", F.coalesce("v", "node").alias("component"))
 
 
-def core_numbers(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def core_numbers(edges: DataFrame, rounds: int = 100_000) -> DataFrame:
     """(node, core): each node takes the h-index of its neighbours' numbers, from its degree down, until none moves."""
     two = stage(both_ways(edges), "core-edges")
     core = stage(two.groupBy("src").agg(F.count("*").alias("c")), "core")
@@ -84,6 +86,8 @@ def core_numbers(edges: DataFrame, rounds: int = 200) -> DataFrame:
         core = new.drop("moved")
         if done:
             break
+    else:
+        raise RuntimeError(f"core numbers did not settle in {rounds} rounds")
     return core.select(F.col("src").alias("node"), F.col("c").alias("core"))
 
 
