@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -20,3 +23,9 @@ def share_code(spark: SparkSession) -> SparkSession:
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join(p for p in [_ROOT, *paths] if p)
     return spark
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with workers that find this package."""
+    share_code(df.sparkSession)
+    return df.mapInArrow(run, schema)
