@@ -73,3 +73,17 @@ def test_compare_versions_and_columns(spark):
     r = fp.compare_versions(docs, ["id"], "old", "new").first()
     assert len(r.removed) == len(r.added) == 1 and r.likeness == pytest.approx(1 / 3)
     assert fp.document_fingerprints(docs, "id", "old").columns == ["id", "old", "new", "fingerprint"]
+
+
+def test_a_key_that_very_many_rows_repeat(spark):
+    """Its rows are dealt out to ranges of its own, and the order stays whole."""
+    rows = [(None, "same")] * 400 + [(5, "five")] * 90 + [(i, f"t{i}") for i in range(10, 60)] + [(7, "x"), (7, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    f = lambda ids, a, b: {"doc_id": ids, "t": a, "n": b}
+    from collections import Counter
+
+    got = Counter(tuple(r) for r in fp.map_with_next(docs, f, "doc_id long, t string, n string", range_rows=20, batch=7).collect())
+    assert sum(got.values()) == len(rows)
+    assert got[None, "same", "same"] == 399 and got[None, "same", "t59"] == 1 and got[5, "five", "five"] == 89 and got[5, "five", "same"] == 1
+    keys = fp._cuts(docs.selectExpr("coalesce(doc_id, -9223372036854775808) AS d", "xxhash64(text) AS h", "octet_length(text) AS size"), 20)
+    assert (keys[0] == -(2**63)).sum() > 5

@@ -88,7 +88,7 @@ def benchmark_rows():
     return rows, items
 
 
-@pytest.mark.parametrize("options", [{}, {"block_words": 60}])
+@pytest.mark.parametrize("options", [{}, {"block_words": 60}, {"block_words": 25}])
 def test_benchmark_against_brute_force(spark, options):
     rows, items = benchmark_rows()
     docs = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, row int, items string").repartition(4)

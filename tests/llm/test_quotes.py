@@ -74,17 +74,33 @@ def test_links_against_brute_force(spark):
                 quote = "> " + " ".join(part) + "\n"
             said.append(own)
             rows.append((c, t, "user", quote + own))
+    rows += [(9, t, "user", ("> thanks\n" if t % 3 == 2 else "") + "thanks") for t in range(60)]  # the same, over and over
     m = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
     want = {}
     for c, t, _, text in rows:
-        for p, (level, passage) in enumerate(q.levels(text)):
-            if level:
-                hs = set(q.shingles(passage))
-                options = [(len(hs & set(q.shingles(q.own_text(x)))) / len(hs), t2) for c2, t2, _, x in rows if c2 == c and t2 < t]
-                options = [o for o in options if o[0] >= 0.8]
-                if options:
-                    want[c, t, p] = max(options)[1]
-    assert {(r.c, r.t, r.p): r.to_t for r in q.link_quotes(m).collect()} == want and want
+        if not text.startswith("> "):
+            continue
+        said = text.split("\n")[0][2:].split()
+        k = min(5, len(said))
+        windows = {tuple(said[i : i + k]) for i in range(len(said) - k + 1)}
+        best = None
+        for c2, t2, _, other in rows:
+            if c2 == c and t2 < t:
+                own = other.split("\n")[-1].split()
+                share = len(windows & {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}) / len(windows)
+                if share >= 0.8:
+                    best = max(best or (0, 0), (share, t2))
+        if best:
+            want[c, t] = (best[1], best[0])
+    got = {(r.c, r.t): (r.to_t, r.share) for r in q.link_quotes(m).collect()}
+    assert got == want and len(want) > 40 and any(len(x[3].split("\n")[0].split()) < 5 for x in rows if (x[0], x[1]) in want)
+
+
+def test_short_quotations_and_earlier_conversations(spark):
+    rows = [(1, 0, "user", "I think we should all meet at noon tomorrow near the station"), (1, 1, "user", "> meet at noon\nfine"), (1, 2, "user", "> station\nwhich"), (1, 3, "user", "> noon meet\nno"), (2, 4, "user", "> all meet\nyes")]
+    m = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    assert {(r.c, r.t): (r.to_c, r.to_t) for r in q.link_quotes(m).collect()} == {(1, 1): (1, 0), (1, 2): (1, 0)}
+    assert {(r.c, r.t): (r.to_c, r.to_t) for r in q.link_quotes(m, across=True).collect()} == {(1, 1): (1, 0), (1, 2): (1, 0), (2, 4): (1, 0)}
 
 
 def test_long_conversations_are_ordered_alike(spark):

@@ -65,7 +65,7 @@ def corpus(seed):
     return [(i * 3, t) for i, t in enumerate(texts)] + [(None, texts[7]), (0, texts[0])]
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_runs": 2, "shard_bytes": 300}])
+@pytest.mark.parametrize("options", [{}, {"shard_runs": 2, "shard_bytes": 300, "most_shards": 99}, {"shard_runs": 2, "shard_bytes": 300, "most_shards": 1}])
 def test_against_brute_force(spark, options):
     rows = corpus(4)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, d string, removed int").repartition(4)
@@ -86,5 +86,17 @@ def test_production_width(spark, tmp_path):
         assert (got[d].n_bytes, got[d].n_spans, got[d].n_removed) == (n, len(spans), sum(b - a for a, b in spans))
 
 
+def test_rows_of_one_id_are_told_apart(spark):
+    """Null ids with texts whose 32-bit hashes are equal."""
+    from pyspark.sql import functions as F
+
+    tail = " ".join(f"w{i}" for i in range(60))
+    hashed = spark.range(200_000).select("id", F.hash(F.concat(F.col("id").cast("string"), F.lit(" " + tail))).alias("h"))
+    a, b = sorted(hashed.groupBy("h").agg(F.collect_list("id").alias("ids")).where("size(ids) > 1").first().ids)[:2]
+    rows = [(None, f"{a} {tail}"), (None, f"{b} {tail}"), (1, f"{a} {tail}")]
+    got = sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), width=len(tail) + 3 + len(str(min(a, b)))).collect()
+    assert sorted((r.doc_id is None, len(r.kept) > 0) for r in got) == sorted((d is None, len(k) > 0) for d, _, _, k in brute(rows, len(tail) + 3 + len(str(min(a, b)))))
+
+
 def test_empty(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -83,3 +83,49 @@ def test_addresses_without_two_digits_side_by_side():
     for said, kind in (("8.8.8.8", "ip"), ("a:b:c:d:e:f:a:1", "ip6"), ("a:b:c:d:e:f:a:b", "ip6")):
         for text in (f"ask {said} first", f"ask {said} first, 12 times"):
             assert [(m.kind, text[m.start : m.end]) for m in sg.detect(text)] == [(kind, said)]
+
+
+def test_full_kinds_are_widened(spark):
+    """All addresses of 192.168/16: no surrogate of that range is unseen."""
+    entities = spark.range(65536).selectExpr("'ip' AS kind", "concat('192.168.', id div 256, '.', id % 256) AS form")
+    short = spark.range(1000).selectExpr("'secret' AS kind", "lpad(id, 3, '0') AS form")
+    got = sg.assign_surrogates(entities.unionByName(short), "k").collect()
+    new = {r.new for r in got}
+    assert len(got) == len(new) == 66536 and not new & {r.form for r in got}
+
+
+def test_other_scripts_and_private_ranges():
+    for text in ("פגישה@example.com", "password=عربيعربي"):
+        (m,) = sg.detect(text)
+        new = sg.surrogate(KEY, m.kind, m.form, 0)
+        assert [sg.script_of(c) for c in new.split("@")[0]] == [sg.script_of(c) for c in m.form.split("@")[0]]
+    (m,) = sg.detect("محمد")
+    assert m.gender == "m" and sg.surrogate(KEY, m.kind, m.form, 0) in sg.GIVEN["arabic", "m"]
+    assert sg.surrogate(KEY, "ip", "172.20.1.1", 0).startswith("172.")
+    assert set(sg._like("٣٤", sg._Draw(KEY, "x"))) <= set("٠١٢٣٤٥٦٧٨٩")
+
+
+def test_against_brute_force(spark):
+    """Every mention is replaced, equal ones alike, different ones differently; what is between stays."""
+    import random
+
+    rnd = random.Random(5)
+    said = [f"u{i}@mail.example.org" for i in range(8)] + [f"10.0.{i}.7" for i in range(8)] + ["219-09-9999", "4964387191552220", "+1 (547) 555-3286", "+1 547 555 3286", "Anna", "Pierre"]
+    rows = [(i, " ".join(x for _ in range(6) for x in (f"w{rnd.randrange(99)}x", rnd.choice(said)))) for i in range(60)]
+    got = {r.doc_id: r.text for r in sg.anonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    want_same, phone = {}, {"+1 (547) 555-3286", "+1 547 555 3286"}
+    for d, text in rows:
+        rest, at = [], 0
+        parts = re.split(r"(w\d+x)", text)
+        pattern = "".join(re.escape(p) if re.fullmatch(r"w\d+x", p) else r"(.*)" for p in parts)
+        m = re.fullmatch(pattern, got[d])
+        assert m, (text, got[d])
+        old = [p.strip() for p in parts if p.strip() and not re.fullmatch(r"w\d+x", p)]
+        new = [g.strip() for g in m.groups() if g.strip()]
+        assert len(old) == len(new)
+        for a, b in zip(old, new):
+            assert a != b and want_same.setdefault(a, b) == b
+    digits = lambda x: re.sub(r"\D", "", x)
+    assert len({digits(want_same[p]) for p in phone}) == 1
+    others = [v for k, v in want_same.items() if k not in phone]
+    assert len(set(others)) == len(others) and not set(want_same.values()) & set(said)

@@ -13,9 +13,6 @@ Rules that hold for all of them:
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,57 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import share_code
+from ..functions.session import map_arrow, share_code
+from ..functions.staging import drop_stage, shared_dir, stage
 
 #: Stands for a null id inside the operators: it orders last.
 NULL_ID = 2**63 - 1
 
-_roots: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This session's own folder in the one that ``spark.checkpoint.dir`` names.
-
-    Only where that setting is absent (single-machine sessions, as in tests) is a
-    temporary folder made instead.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        root = f"{base.rstrip('/')}/tidemark-{app}-{uuid.uuid4().hex[:8]}"
-        _roots[app] = root
-        atexit.register(_remove, spark, root)
-    return _roots[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended before us: nothing can be removed through it
-        pass
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there.
-
-    Every reader sees one result, whatever executors are lost in between.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:10]}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tm_path = path
-    return out
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Remove a staged table that nothing reads any more."""
-    if path := getattr(df, "_tm_path", None):
-        _remove(df.sparkSession, path)
-
-
 def as_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
@@ -94,7 +46,6 @@ def map_rows(df: DataFrame, columns: list[str], f: Callable[[dict[str, list]], d
     """
     from pyspark.sql.types import StructType
 
-    share_code(df.sparkSession)
     out_schema = _arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +57,7 @@ def map_rows(df: DataFrame, columns: list[str], f: Callable[[dict[str, list]], d
                 got = f({c: part.column(i).to_pylist() for i, c in enumerate(columns)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, type=t.type) for x, t in ((got[t.name], t) for t in out_schema)], schema=out_schema)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return map_arrow(df.select(*columns), run, schema)
 
 
 def _arrow_schema(schema) -> pa.Schema:

@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import read
+from .common import map_arrow, map_rows, read, stage
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -109,13 +111,10 @@ def _scanner(held, text_at: int, schema: pa.Schema) -> Callable[[Iterator[pa.Rec
 
 
 def _scan(docs: DataFrame, text_col: str, items: list[tuple], width: int) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     held = docs.sparkSession.sparkContext.broadcast(WindowIndex(items, width))
     added = StructType.fromDDL("__tm_n long, __tm_s array<struct<first:int,last:int>>, __tm_i array<string>")
     schema = StructType(docs.schema.fields + added.fields)
-    return docs.mapInArrow(_scanner(held, docs.columns.index(text_col), to_arrow_schema(schema)), schema)
+    return map_arrow(docs, _scanner(held, docs.columns.index(text_col), to_arrow_schema(schema)), schema)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, block_words: int = 2_000_000) -> DataFrame:
@@ -124,8 +123,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     A window is ``width`` consecutive words of an item; a shorter item, but not an
     empty one, is one window.  A hash set of the windows goes to every executor; hits
     are verified word by word.  Its size is checked first: a benchmark of more than
-    ``block_words`` words is cut into blocks by item, each scanned in a pass of its
-    own over all documents, and the passes are merged, so that no broadcast ever
+    ``block_words`` words is cut into blocks, each scanned in a pass of its own over
+    all documents, whose rows are numbered for that, and the passes are merged.  Long
+    items are cut into pieces that overlap by a window less a word, so that no block
     exceeds the bound.
 
     Null or empty texts have no words; null item ids are left out; items that repeat
@@ -137,24 +137,54 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     names = docs.columns
     bench = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null")
     words = F.coalesce(F.octet_length("t"), F.lit(0)) / 2 + 1  # a word takes two bytes or more, with what follows it
-    n_blocks = int((bench.agg(F.sum(words)).first()[0] or 0) // block_words) + 1
-    if n_blocks == 1:
+    if (bench.agg(F.sum(words)).first()[0] or 0) <= block_words:
         scanned = _scan(docs, text_col, [tuple(r) for r in bench.collect()], width)
     else:
-        tagged = docs.withColumn("__tm_k", F.xxhash64(*[F.to_json(F.struct(*names))]))
-        passes = []
-        for k in range(n_blocks):
-            block = bench.where(F.pmod(F.xxhash64(F.col("i").cast("string")), F.lit(n_blocks)) == k)
-            passes.append(_scan(tagged.select("__tm_k", text_col), text_col, [tuple(r) for r in block.collect()], width).drop(text_col))
-        both = passes[0]
-        for p in passes[1:]:
-            both = both.unionByName(p)
-        merged = both.groupBy("__tm_k").agg(F.max("__tm_n").alias("__tm_n"), F.flatten(F.collect_set("__tm_s")).alias("__tm_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("__tm_i")))).alias("__tm_i"))
-        union = F.udf(_union_spans, "array<struct<first:int,last:int>>")
-        scanned = tagged.join(merged.withColumn("__tm_s", union("__tm_s")), "__tm_k")
+        tagged = stage(docs.withColumn("__tm_k", F.monotonically_increasing_id()), "decontaminate")  # numbers that are settled once staged
+        both = None
+        for block in _blocks(bench, width, block_words):
+            one = _scan(tagged.select("__tm_k", text_col), text_col, [tuple(r) for r in block.collect()], width).drop(text_col)
+            both = one if both is None else both.unionByName(one.where(F.size("__tm_s") > 0))
+        merged = both.groupBy("__tm_k").agg(F.max("__tm_n").alias("__tm_n"), F.flatten(F.collect_list("__tm_s")).alias("__tm_s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__tm_i")))).alias("__tm_i"))
+        merged = map_rows(merged, ["__tm_k", "__tm_n", "__tm_s", "__tm_i"], lambda c: c | {"__tm_s": [_union_spans(s) for s in c["__tm_s"]]}, "__tm_k long, __tm_n long, __tm_s array<struct<first:int,last:int>>, __tm_i array<string>")
+        scanned = tagged.join(merged, "__tm_k")
     return scanned.select(*names, F.col("__tm_n").alias("n_words"), F.col("__tm_s").alias("hit_spans"), F.array_distinct("__tm_i").alias("items"))
 
 
+def _blocks(bench: DataFrame, width: int, block_words: int) -> Iterator[DataFrame]:
+    """The items (i, t) in blocks of ``block_words`` words at most."""
+    most = max(width, block_words // 16)
+
+    def cut(c):
+        out = {"i": [], "t": [], "n": []}
+        for i, t in zip(c["i"], c["t"]):
+            words = words_of(t)
+            for at in range(0, len(words) - width + 1, most - width + 1) if len(words) > most else [0]:
+                piece = words[at : at + most]
+                out["i"].append(i)
+                out["t"].append(b" ".join(piece).decode("utf-8", "surrogatepass"))
+                out["n"].append(len(piece))
+        return out
+
+    pieces = stage(map_rows(bench.select(F.col("i").cast("string").alias("i"), "t"), ["i", "t"], cut, "i string, t string, n long").where("n > 0").distinct(), "benchmark-pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    buckets = 64 * (-(-total // block_words)) or 1
+    while True:
+        bucket = F.pmod(F.xxhash64("i", "t"), F.lit(buckets))
+        sizes = {r.b: r.n for r in pieces.groupBy(bucket.alias("b")).agg(F.sum("n").alias("n")).collect()}  # 64 rows or so a block
+        if max(sizes.values(), default=0) <= block_words:
+            break
+        buckets *= 4
+    held, n = [], 0
+    for b in sorted(sizes):
+        if held and n + sizes[b] > block_words:
+            yield pieces.where(bucket.isin(held)).select("i", "t")
+            held, n = [], 0
+        held.append(b)
+        n += sizes[b]
+    yield pieces.where(bucket.isin(held)).select("i", "t")
+
+
 def _union_spans(spans):
     out: list[list[int]] = []
     for s in sorted((s["first"], s["last"]) for s in spans):
@@ -182,9 +212,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     if action == "document":
         return found.where(F.size("hit_spans") == 0).select("__tm_r.*")
     if action == "span":
-        cut = F.udf(lambda t, s: cut_words(t, [(x["first"], x["last"] + 1) for x in s]))
-        text = F.when(F.size("hit_spans") > 0, cut("__tm_t", "hit_spans")).otherwise(F.col("__tm_t"))
-        return found.select(*[text.alias(c) if c == text_col else F.col(f"__tm_r.{c}") for c in names])
+        text_at = names.index(text_col)
+        schema = StructType([*docs.schema.fields[:text_at], StructField(text_col, StringType()), *docs.schema.fields[text_at + 1 :]])
+        arrow = to_arrow_schema(schema)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                new = [cut_words(t, [(x["first"], x["last"] + 1) for x in s]) if s else t for t, s in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*b.columns[:text_at], pa.array(new, pa.string()), *b.columns[text_at + 1 : len(names)]], schema=arrow)
+
+        return map_arrow(found.select("__tm_r.*", "hit_spans"), cut, schema)
     raise ValueError(f"action is {action!r}, neither document nor span")
 
 

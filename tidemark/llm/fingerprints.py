@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_rows, read
+from .common import map_arrow, map_rows, read
 
 #: Cells of the fingerprint itself; three hashes, a third of the cells to each.
 CELLS = 24
@@ -184,7 +185,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 part = batch.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sketch_documents(part.column(at).to_pylist())[1], pa.string())], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def compare_versions(pairs: DataFrame, key_cols: list[str], old: str, new: str) -> DataFrame:
@@ -205,44 +206,88 @@ def compare_versions(pairs: DataFrame, key_cols: list[str], old: str, new: str)
 _NULL = -(2**63)
 
 
-def map_with_next(docs: DataFrame, f: Callable[[list[int | None], list[str], list[str]], dict[str, list]], schema: str, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 4096, batch: int = 256) -> DataFrame:
+def _cuts(rows: DataFrame, range_rows: int, most: int = 1 << 14, each: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending keys (d, h) that end ranges of some ``range_rows`` rows, or as many more as make ``most`` ranges.
+
+    Keys are sampled by their hash, ``each`` to a range, with the bytes they stand for;
+    keys that hold a range's rows and more are all among them, so that they may end
+    several ranges.  The driver gets ``each + 1`` times ``most`` rows at most or so.  The
+    last key is the largest of all.
+    """
+    n = rows.count()
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    per = max(range_rows, -(-n // most))
+    one_in = max(1, per // each)
+    counted = rows.groupBy("d", "h").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    some = counted.where((F.col("n") >= per) | (F.pmod(F.xxhash64("h", "d"), F.lit(one_in)) == 0)).select("d", "h", F.when(F.col("n") >= per, F.col("n")).otherwise(F.col("n") * one_in).alias("n"), "size")
+    top = rows.agg(F.max(F.struct("d", "h")).alias("m")).select("m.*").first()
+    got = sorted((r.d, r.h, r.n, r.size) for r in some.collect())
+    d, h = (np.array([r[k] for r in got] + [top[k]], np.int64) for k in (0, 1))
+    count = np.array([r[2] for r in got] + [0], np.float64)
+    size = count * np.array([r[3] + 64 for r in got] + [0], np.float64)
+    share = count / max(1.0, count.sum()) + size / max(1.0, size.sum())  # rows and bytes count alike
+    upto = np.floor(np.cumsum(share) / 2 * max(1, n // per) + 1e-9).astype(np.int64)
+    times = np.diff(np.concatenate([[0], upto]))
+    times[-1] = max(1, times[-1])
+    times = np.where(count >= per, times, np.minimum(times, 1))
+    return np.repeat(d, times), np.repeat(h, times)
+
+
+def map_with_next(docs: DataFrame, f: Callable[[list[int | None], list[str], list[str]], dict[str, list]], schema: str, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 512, batch: int = 256) -> DataFrame:
     """Apply ``f`` to ids, texts and the texts of the next documents by descending id.
 
     After the last document comes the first again.  Null ids order last; rows of one
     id are ordered by a hash of their text.  Null texts are empty.
 
-    Ids are cut into ranges at ids that occur (one in ``range_rows``, by hash; a list
-    of that size goes to the driver), so the first id of each range is known: its
-    rows also go to the range before, to end it.  Each text is shuffled once,
-    compressed, and those at the cuts twice; a task streams its sorted ranges and
-    holds ``batch`` documents at a time.
+    Rows are cut into ranges at keys (id, hash) that occur, of which a bounded sample
+    goes to the driver, so the first row of each range is known: it also goes to the
+    range before, to end it.  A key that very many rows repeat has ranges of its own,
+    among which its rows are dealt out: each is followed by its like.  Each text is
+    shuffled once, compressed, and those at the cuts once more a task; a task streams
+    its sorted ranges and holds ``batch`` documents at a time.
     """
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    ids = base.select("d")
-    top = ids.agg(F.max("d")).first()[0]
-    some = ids.where(F.pmod(F.xxhash64("d"), F.lit(range_rows)) == 0).distinct()
-    cuts = np.array(sorted({r.d for r in some.collect()} | ({top} if top is not None else set())), np.int64)  # range r: cuts[r] and below
-    held = docs.sparkSession.sparkContext.broadcast(cuts)
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    keys = _cuts(base.select("d", "h", F.octet_length("t").alias("size")), range_rows)
+    held = docs.sparkSession.sparkContext.broadcast(keys)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts, zip_ = held.value, zstandard.ZstdCompressor(level=1)
+        zip_ = zstandard.ZstdCompressor(level=1)
+        cuts = list(zip(*(k.tolist() for k in held.value)))  # range r: the keys above cuts[r - 1], to cuts[r]
+        ends = {c: (bisect_left(cuts, c), bisect_right(cuts, c)) for c in set(cuts)}
+        turns: dict[tuple, int] = {}
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                d = part.column(0).to_numpy()
-                r = np.searchsorted(cuts, d)
-                z = [zip_.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(1).to_pylist()]
-                first = np.flatnonzero(cuts[r] == d)  # these also end the range of the ids above
-                rows = np.concatenate([np.arange(len(d)), first])
-                where = np.concatenate([r, (r[first] + 1) % len(cuts)])
-                look = np.arange(len(rows)) >= len(d)
-                h = part.column(2).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), pa.array(look), pa.array(d[rows]), pa.array(h[rows]), pa.array([z[i] for i in rows.tolist()], pa.binary())], names=["r", "look", "d", "h", "z"])
+                out: list[tuple] = []
+                for d, h, t in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    z = zip_.compress(t.encode("utf-8", "surrogatepass"))
+                    first, last = ends.get((d, h), (None, None))
+                    if first is None:
+                        out.append((bisect_left(cuts, (d, h)), False, d, h, z))
+                        continue
+                    turn = turns.get((d, h), 0)
+                    turns[d, h] = turn + 1
+                    out.append((first + turn % (last - first), False, d, h, z))
+                    if not turn:  # it also ends the range of the keys above it
+                        out.append((last % len(cuts), True, d, h, z))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()))], names=["r", "look", "d", "h", "z"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, now, last = zstandard.ZstdDecompressor(), None, None
+        unzip, now, last, ended = zstandard.ZstdDecompressor(), None, None, False
+        cuts = list(zip(*(k.tolist() for k in held.value)))
         ds, texts, nexts = [], [], []
 
+        def add(text: str) -> Iterator[pa.RecordBatch]:
+            nonlocal ds, texts, nexts
+            if last is not None:
+                ds.append(last[0])
+                texts.append(last[1])
+                nexts.append(text)
+                if len(ds) >= batch:
+                    yield out()
+                    ds, texts, nexts = [], [], []
+
         def out() -> pa.RecordBatch:
             got = f([None if d == _NULL else d for d in ds], texts, nexts)
             return pa.RecordBatch.from_arrays([pa.array(got[x.name], x.type) for x in arrow], schema=arrow)
@@ -250,24 +295,22 @@ def map_with_next(docs: DataFrame, f: Callable[[list[int | None], list[str], lis
         for b in batches:
             for r, look, d, z in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 4))):
                 if r != now:
-                    now, last = r, None
-                elif look and last is None:
-                    continue  # only the first row after the range counts
+                    if last is not None:  # a further range of a key: its last row is followed by its like
+                        yield from add(last[1])
+                    now, last, ended = r, None, False
+                if look and (ended or (r and cuts[r] == cuts[r - 1])):
+                    continue  # one row after the range counts, and none after a further range of a key
                 text = unzip.decompress(z).decode("utf-8", "surrogatepass")
-                if last is not None:
-                    ds.append(last[0])
-                    texts.append(last[1])
-                    nexts.append(text)
-                    if len(ds) >= batch:
-                        yield out()
-                        ds, texts, nexts = [], [], []
-                last = None if look else (d, text)
+                yield from add(text)
+                last, ended = (None, True) if look else ((d, text), False)
+        if last is not None:
+            yield from add(last[1])
         if ds:
             yield out()
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
-    rows = base.select("d", "t", F.xxhash64("t").alias("h")).mapInArrow(spread, "r int, look boolean, d long, h long, z binary")
-    return rows.repartition("r").sortWithinPartitions("r", "look", F.desc("d"), "h").mapInArrow(pairs, schema)
+    rows = map_arrow(base.select("d", "h", "t"), spread, "r int, look boolean, d long, h long, z binary")
+    return map_arrow(rows.repartition("r").sortWithinPartitions("r", "look", F.desc("d"), F.desc("h")), pairs, schema)
 
 
 def edited(text: str, following: str) -> str:

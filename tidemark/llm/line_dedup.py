@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_id, ascii_lower, read
+from .common import as_id, ascii_lower, read, stage
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -19,10 +19,11 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stand for a key.  All columns of ``docs`` come back, with ``n_lines`` (before
     dropping) and ``n_dropped``; columns of those names are replaced.
 
-    Plan: (hash, id, position) rows are counted with map-side combination, joined on
-    the hash with the few hashes that are shared (skewed hashes are split by AQE, as
-    the other side has one row for each), and only positions go back to the texts,
-    which are shuffled once, never sorted.
+    Plan: (hash, id, position) rows are counted with map-side combination, and the
+    hashes that are shared are staged, one row for each.  Rows and shared hashes are
+    joined as two bare exchanges, so that AQE splits the rows of a hot line over tasks.
+    Only positions go back to the texts, which are shuffled once; rows of one id and
+    text are split in the same way, as their positions are staged, too.
 
     Null or empty text: one empty line, nothing dropped.  Null ids are one document
     that orders last.  Rows of one id are one document: a key they alone hold is not
@@ -37,7 +38,9 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         shared = lines.groupBy("h1", "h2").agg(F.min("__tm_d").alias("keeper"), F.max("__tm_d").alias("last")).where("keeper <> last")
     else:
         shared = lines.select("h1", "h2", "__tm_d").distinct().groupBy("h1", "h2").agg(F.min("__tm_d").alias("keeper"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    drop = lines.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"]).where("__tm_d <> keeper").groupBy("__tm_d", "__tm_h").agg(F.collect_set("pos").alias("__tm_p"))
+    shared = stage(shared.select("h1", "h2", "keeper"), "shared-lines")
+    drop = lines.join(shared, ["h1", "h2"]).where("__tm_d <> keeper").groupBy("__tm_d", "__tm_h").agg(F.collect_set("pos").alias("__tm_p"))
+    drop = stage(drop, "dropped-lines")
     joined = base.join(drop.hint("shuffle_hash"), ["__tm_d", "__tm_h"], "left").withColumn("__tm_l", F.split("__tm_t", "\n"))
     n = F.size("__tm_l")
     left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__tm_p"))

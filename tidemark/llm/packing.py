@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,32 +90,46 @@ def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """Staged pieces (d, h, piece, start, length, ids little-endian uint32) of every whole text.
+    """Staged pieces (d, u, piece, start, length, ids little-endian uint32) of every whole text.
 
     Each document ends with ``end_id``, so that a null or empty one has a single id.
+    ``u`` numbers the pieces (place in a task, and the task); it is settled once staged.
     """
 
     def encode(cols):
-        out = {k: [] for k in ("d", "h", "piece", "start", "length", "ids")}
-        enc = tokens.encoder(path)
-        for d, h, text in zip(cols["__tm_d"], cols["h"], cols["__tm_t"]):
+        out = {k: [] for k in ("d", "u", "piece", "start", "length", "ids")}
+        enc, task = tokens.encoder(path), TaskContext.get()
+        for d, text in zip(cols["__tm_d"], cols["__tm_t"]):
             ids = np.append(enc.encode(text), np.uint32(end_id)).astype("<u4")
             for k, (start, n) in enumerate(cut(ids, capacity)):
-                for name, x in zip(out, (d, h, k, start, n, ids[start : start + n].tobytes())):
+                for name, x in zip(out, (d, _next(task), k, start, n, ids[start : start + n].tobytes())):
                     out[name].append(x)
         return {k: pa.array(v, type=pa.binary()) if k == "ids" else v for k, v in out.items()}
 
-    base = keyed(docs, id_col, text_col).select("__tm_d", F.xxhash64("__tm_t").alias("h"), "__tm_t")
-    return stage(map_rows(base, ["__tm_d", "h", "__tm_t"], encode, "d long, h long, piece int, start long, length int, ids binary"), "pieces")
+    return stage(map_rows(keyed(docs, id_col, text_col), ["__tm_d", "__tm_t"], encode, "d long, u long, piece int, start long, length int, ids binary"), "pieces")
+
+
+_numbered: dict[int, int] = {}
+
+
+def _next(task: TaskContext) -> int:
+    """A number that no other piece has: the count of a task's pieces above its partition."""
+    attempt = task.taskAttemptId()
+    n = _numbered.get(attempt, 0)
+    if not n:
+        _numbered.clear()
+    _numbered[attempt] = n + 1
+    return task.partitionId() << 40 | n
 
 
 def assign_slots(pieces: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
-    """``pieces`` (with d, h, piece, length) and the sequence_id and offset of each.
+    """``pieces`` (with u, length) and the sequence_id and offset of each.
 
     The plan is made on the driver from at most ``capacity`` counts.  A piece's slot
     is found by its rank among the pieces of its length; lengths that many share are
-    split by hash into groups of some ``ranked`` pieces, each ranked by itself from
-    where the groups before it end, so that no length is ever gathered in one task.
+    split by a hash of the piece's number u into groups of some ``ranked`` pieces, each
+    ranked by itself from where the groups before it end, so that no length, nor any
+    number of equal rows, is ever gathered in one task.
     """
     spark = pieces.sparkSession
     counts = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
@@ -123,10 +138,10 @@ def assign_slots(pieces: DataFrame, capacity: int = CAPACITY, ranked: int = RANK
         return pieces.select("*", F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
     groups = spark.createDataFrame([(n, -(-c // ranked)) for n, c in counts.items()], "length int, groups int")  # at most capacity rows
     slots = spark.createDataFrame([tuple(map(int, p)) for p in plan], "length int, first long, end long, sequence long, per long, at long")  # bounded by the capacity
-    marked = pieces.join(F.broadcast(groups), "length").withColumn("g", F.pmod(F.xxhash64("d", "h", "piece"), F.col("groups")).cast("int")).drop("groups")
+    marked = pieces.join(F.broadcast(groups), "length").withColumn("g", F.pmod(F.xxhash64("u"), F.col("groups")).cast("int")).drop("groups")
     sizes = marked.groupBy("length", "g").count()
     bases = sizes.select("length", "g", (F.sum("count").over(Window.partitionBy("length").orderBy("g")) - F.col("count")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("length", "g").orderBy("d", "h", "piece")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "g").orderBy("u")) - 1
     local = marked.withColumn("local", rank)
     ranked_rows = local.join(bases, ["length", "g"]).withColumn("rank", F.col("base") + F.col("local")).drop("base", "local", "g")
     p = slots.withColumnRenamed("length", "plan_length")
@@ -144,7 +159,7 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     no rows.  Other columns of ``docs`` are left out.
     """
     pieces = token_pieces(docs, path, id_col, text_col, capacity, end_id)
-    cols = ["d", "h", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *["ids"] * with_ids]
+    cols = ["d", "u", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), *["ids"] * with_ids]
     slots = assign_slots(pieces.select(*cols), capacity)
     return slots.select(from_id(F.col("d")).alias(id_col), "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_rows, read
+from .common import map_arrow, map_rows, read
 
 HASHED = 256
 _SHAPES = 15
@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Both samples are bounded: the ``max_positive`` positives and ``max_unlabelled``
     documents of the smallest hash of id and seed (of all documents; their labels are
-    not looked at).  Ids that are labelled more than once count if all labels are 1.
+    not looked at).  Ids that are labelled more than once count if all labels are 1; of
+    several texts of an id the one of the smallest hash is taken.
     The class prior is estimated in two rounds: a first fit scores both samples
     (positives of the other half), and the best-bin estimate of these scores is the
     prior of the final fit.  Null ids and labels are left out of the samples.  Without
@@ -177,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return indifferent()
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(d,) for d in sorted({*pos, *unl})], "d long")  # at most the sum of both bounds
-    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).join(F.broadcast(wanted), "d")
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("h")).join(F.broadcast(wanted), "d")
+    one = texts.groupBy("d").agg(F.min("h").alias("h"))
+    texts = texts.join(F.broadcast(one), ["d", "h"]).dropDuplicates(["d"])  # a row for each wanted id
 
     def rows(c):
         return {"d": c["d"], "x": [features(t).tobytes() for t in c["t"]]}
@@ -208,7 +211,7 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                 x = np.array([features(t) for t in part.column(at).to_pylist()], np.float32).reshape(part.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(x).astype(float))], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 THRESHOLD = 0.7

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import map_rows, read, stage
+from .common import map_arrow, map_rows, read, stage
 
 #: Words of a shingle; similarity a passage needs with its message (share of its shingles).
 WINDOW, SIMILAR = 5, 0.8
@@ -69,52 +70,108 @@ def shingles(text: str, width: int = WINDOW) -> list[int]:
     return [x - (1 << 64) if x >> 63 else x for x in sorted(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts)]
 
 
-_PARSED = "c long, t long, p int, level int, kind int, hs array<long>"
+_PARSED = "c long, t long, p int, level int, kind int, w int, s long, hs array<long>"
 
 
 def _parse(width: int):
-    """Messages (c, t, text) to their quoted passages (kind 1) and, always, their own text (kind 0)."""
+    """Messages (c, t, text) to their quoted passages (kind 1, at their own width w) and, always, their own text (kind 0).
+
+    ``s`` stands for what a passage or message says: equal ones have one.
+    """
 
     def f(cols):
-        out = {k: [] for k in ("c", "t", "p", "level", "kind", "hs")}
+        out = {k: [] for k in ("c", "t", "p", "level", "kind", "w", "s", "hs")}
 
         def add(*row):
             for k, v in zip(out, row):
                 out[k].append(v)
 
         for c, t, text in zip(cols["c"], cols["t"], cols["x"]):
-            add(c, t, -1, 0, 0, shingles(own_text(text), width))
+            own = _normal(own_text(text))
+            add(c, t, -1, 0, 0, 0, _digest(own), None)
             if text and ">" in text:
                 parts = levels(text)
                 for p, (level, passage) in enumerate(parts):
                     if level and p + 1 < len(parts) and parts[p + 1][0] > level:
                         passage = _without_intro(passage)
-                    if level and (hs := shingles(passage, width)):
-                        add(c, t, p, level, 1, hs)
+                    if level and (said := _normal(passage)):
+                        w = min(width, said.count(" ") + 1)
+                        add(c, t, p, level, 1, w, _digest(said), shingles(said, w))
         return out
 
     return f
 
 
+def _normal(text: str) -> str:
+    return " ".join(w.lower() for w in _WORD.findall(text))
+
+
+def _digest(said: str) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(said.encode("utf-8", "surrogatepass"))).view(np.int64))
+
+
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", across: bool = False, width: int = WINDOW, similar: float = SIMILAR) -> DataFrame:
     """(c, t, p, level, to_c, to_t, share): each quoted passage and the message it is linked to.
 
     The message is an earlier one (of the same conversation, or with ``across`` of any,
     ordered by conversation and turn) whose own text holds ``similar`` or more of the
-    passage's shingles; of several the one with the largest share, then the latest.
-    Shingle rows of messages are joined only for hashes that some passage has.  A hash
-    that very many messages share stays complete: rows are counted pair by pair after
-    the join, whose hot keys AQE splits.
+    passage's shingles; of several the one with the largest share, then the latest.  A
+    passage of fewer words than ``width`` is one shingle of that many words.
+
+    What a conversation says more than once is compared once: passages and messages are
+    reduced to distinct texts.  A message that holds ``similar`` of n shingles holds one at
+    least of any n - ceil(similar n) + 1, so only the rarest so many of each passage, by
+    how many of the messages have them, are looked up; the candidates are verified on
+    whole sets.  Only shingles that some passage has are ever shuffled.  The latest earlier
+    message is found by an ordered pass over the turns that say the same.
     """
     base = messages.select(F.col(conv_col).cast("long").alias("c"), F.col(turn_col).cast("long").alias("t"), F.col(text_col).cast("string").alias("x")).where("c IS NOT NULL AND t IS NOT NULL")
     parsed = stage(map_rows(base, ["c", "t", "x"], _parse(width), _PARSED), "quotes")
-    quotes = parsed.where("kind = 1").select("c", "t", "p", "level", F.size("hs").alias("n"), F.explode("hs").alias("h"))
-    own = parsed.where("kind = 0").select(F.col("c").alias("to_c"), F.col("t").alias("to_t"), F.explode("hs").alias("h2")).distinct()
-    earlier = (F.col("to_c") < F.col("c")) | ((F.col("to_c") == F.col("c")) & (F.col("to_t") < F.col("t"))) if across else (F.col("to_t") < F.col("t"))
-    same = F.lit(True) if across else F.col("c") == F.col("to_c")
-    pairs = quotes.join(own, (F.col("h") == F.col("h2")) & same & earlier)
-    counted = pairs.groupBy("c", "t", "p", "level", "to_c", "to_t").agg((F.count_distinct("h") / F.first("n")).alias("share")).where(F.col("share") >= similar)
-    best = counted.groupBy("c", "t", "p", "level").agg(F.max(F.struct("share", "to_c", "to_t")).alias("b"))
+    g = F.lit(0).cast("long") if across else F.col("c")  # what is compared
+    quotes = parsed.where("kind = 1").withColumn("g", g)
+    sets = stage(quotes.groupBy("g", "w", "s").agg(F.first("hs").alias("hs")), "quote-sets")
+    wanted = stage(sets.select("w", F.explode("hs").alias("h")).distinct() if across else sets.select("g", "w", F.explode("hs").alias("h")).distinct(), "quote-shingles")
+    if wanted.isEmpty():
+        return quotes.limit(0).select("c", "t", "p", "level", F.col("c").alias("to_c"), F.col("t").alias("to_t"), F.lit(0.0).alias("share"))
+    said = parsed.where("kind = 0").withColumn("g", g)
+    spoken = stage(said.groupBy("g", "s").agg(F.min(F.struct("c", "t")).alias("of")).select("g", "s", F.col("of.c").alias("c"), F.col("of.t").alias("t")), "spoken")
+    texts = base.join(spoken, ["c", "t"]).join(quotes.select("g").distinct(), "g", "left_semi").select("g", "s", "x")
+
+    def held(cols):
+        out = {"g": [], "m": [], "w": [], "h": []}
+        for i, s, x in zip(cols["g"], cols["s"], cols["x"]):
+            own = _normal(own_text(x))
+            if _digest(own) != s:  # another text of a repeated turn
+                continue
+            for w in range(1, width + 1):
+                hs = shingles(own, w) if own.count(" ") + 1 >= w and own else []
+                out["g"] += [i] * len(hs)
+                out["m"] += [s] * len(hs)
+                out["w"] += [w] * len(hs)
+                out["h"] += hs
+        return out
+
+    widths = [r.w for r in quotes.select("w").distinct().collect()]  # width at most
+    spread = map_rows(texts, ["g", "s", "x"], held, "g long, m long, w int, h long", rows=32).where(F.col("w").isin(widths))
+    own = stage(spread.join(wanted, ["w", "h"] if across else ["g", "w", "h"], "left_semi").distinct(), "own-shingles")
+    often = own.groupBy("g", "w", "h").agg(F.count("*").alias("n"))
+    terms = sets.select("g", "w", "s", F.size("hs").alias("k"), F.explode("hs").alias("h")).join(often, ["g", "w", "h"])
+    # shingles that no message has count first: they need no look-up
+    lacking = terms.groupBy("g", "w", "s").agg((F.first("k") - F.count("*")).alias("none"))
+    need = F.col("k") - F.ceil(F.col("k") * similar - 1e-9) + 1
+    place = F.row_number().over(Window.partitionBy("g", "w", "s").orderBy("n", "h"))
+    probes = terms.withColumn("i", place).join(lacking, ["g", "w", "s"]).where(F.col("i") <= need - F.col("none")).select("g", "w", "s", "k", "h")
+    pairs = stage(probes.join(own, ["g", "w", "h"]).select("g", "w", "s", "k", "m").distinct(), "quote-candidates")
+    whole = sets.select("g", "w", "s", F.explode("hs").alias("h")).join(pairs.select("g", "w", "s", "k", "m"), ["g", "w", "s"])
+    alike = whole.join(own, ["g", "w", "m", "h"]).groupBy("g", "w", "s", "m").agg((F.count("*") / F.first("k")).alias("share")).where(F.col("share") >= similar - 1e-12)
+    alike = stage(alike, "quote-pairs")
+    # the latest earlier turn of each message text that a passage is like
+    asked = quotes.select("g", "c", "t", "p", "level", "w", "s").join(alike, ["g", "w", "s"]).select("g", "m", "c", "t", "p", "level", "share", F.lit(1).alias("ask"))
+    told = said.select("g", F.col("s").alias("m"), "c", "t").join(alike.select("g", "m").distinct(), ["g", "m"], "left_semi").distinct().select("g", "m", "c", "t", F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("double").alias("share"), F.lit(0).alias("ask"))
+    # asks come first among equals: a message doesn't quote itself
+    earlier = F.last(F.when(F.col("ask") == 0, F.struct("c", "t")), ignorenulls=True).over(Window.partitionBy("g", "m").orderBy("c", "t", F.desc("ask")).rowsBetween(Window.unboundedPreceding, -1))
+    found = asked.unionByName(told).withColumn("to", earlier).where("ask = 1 AND to IS NOT NULL")
+    best = found.groupBy("c", "t", "p", "level").agg(F.max(F.struct("share", F.col("to.c").alias("to_c"), F.col("to.t").alias("to_t"))).alias("b"))
     return best.select("c", "t", "p", "level", "b.to_c", "b.to_t", "b.share")
 
 
@@ -230,7 +287,7 @@ def _streamed_order(tree: DataFrame) -> DataFrame:
         if now:
             yield close()
 
-    return tree.select("c", "t", "reply_to", "n_linked", "linked").repartition("c").sortWithinPartitions("c", "t").mapInArrow(run, schema)
+    return map_arrow(tree.select("c", "t", "reply_to", "n_linked", "linked").repartition("c").sortWithinPartitions("c", "t"), run, schema)
 
 
 def chat_documents(formatted: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, connected_components, from_id, keyed, local_roots, map_rows, read, stage
+from .common import NULL_ID, connected_components, from_id, keyed, local_roots, map_arrow, map_rows, read, stage
 
 BITS = 64
 #: Blocks of the fingerprint; two that differ in r bits agree on all but r blocks.
@@ -282,7 +282,7 @@ def _link_tables(prints: DataFrame, cols: list[str], keys: list[F.Column], radiu
     out = None
     for part in (plain, pieces):
         if part is not None:
-            got = part.select("k", *cols).repartition("k").sortWithinPartitions("k").mapInArrow(_link_batches(radius, len(cols)), "a long, b long")
+            got = map_arrow(part.select("k", *cols).repartition("k").sortWithinPartitions("k"), _link_batches(radius, len(cols)), "a long, b long")
             out = got if out is None else out.unionByName(got)
     return out
 

@@ -5,8 +5,9 @@ substring (winnowing: Schleimer and others, 2003).  So the windows of a text fal
 runs that share that anchor, equal windows meet under one anchor hash, and only
 anchors that occur twice matter.  Of these, equal runs need no comparison; the distinct
 runs of an anchor go to one shard, whose suffix array (Larsson-Sadakane refinement) and
-common prefixes (Kasai) show which windows occur twice.  An anchor with very many
-distinct runs is spread over several shards, merged two by two by binary search.
+common prefixes (Kasai) show which windows occur twice.  An anchor with many distinct
+runs is spread over several shards, merged two by two by binary search; with very many,
+its windows are counted by their digests.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import from_id, keyed, read, stage
+from .common import from_id, keyed, map_arrow, read, stage
 
 WIDTH, GRAM = 200, 32
 #: Distinct runs of one anchor in a shard; more are spread over several shards.
 SHARD_RUNS = 8192
+#: Shards of one anchor up to which they are merged two by two.
+MOST_SHARDS = 8
 #: Bytes of the runs that make up a shard.
 SHARD_BYTES = 1 << 21
 _U = np.uint64
@@ -228,7 +231,7 @@ class Shard:
 
 # --- over documents -------------------------------------------------------------
 
-_RUN = "d long, x int, m long, s long, a int, b int"
+_RUN = "d long, x long, m long, s long, a int, b int"
 
 
 def _find_runs(width: int, gram: int, block: int = 1 << 18):
@@ -247,7 +250,7 @@ def _find_runs(width: int, gram: int, block: int = 1 << 18):
             digest = xxhash.xxh3_64_intdigest
             s = np.fromiter((digest(raw[a : b + width]) for a, b in zip(first.tolist(), last.tolist())), _U, len(first))
             shift = starts[owner] - np.array([p[2] for p in parts], np.int64)[owner]
-            cols = [np.array([p[0] for p in parts], np.int64)[owner], np.array([p[1] for p in parts], np.int32)[owner], m.view(np.int64), s.view(np.int64), (first - shift).astype(np.int32), (last - shift).astype(np.int32)]
+            cols = [np.array([p[0] for p in parts], np.int64)[owner], np.array([p[1] for p in parts], np.int64)[owner], m.view(np.int64), s.view(np.int64), (first - shift).astype(np.int32), (last - shift).astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["d", "x", "m", "s", "a", "b"])
 
         for batch in batches:
@@ -268,8 +271,9 @@ def _find_runs(width: int, gram: int, block: int = 1 << 18):
     return run
 
 
-def _zipped(docs: DataFrame) -> DataFrame:
-    """(d, x, z): the texts compressed, for a shuffle."""
+def _zipped(docs: DataFrame, *more: str) -> DataFrame:
+    """(d, x, z, ...): the texts compressed, for a shuffle, and other long columns."""
+    names = ["d", "x", "z", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
@@ -277,9 +281,9 @@ def _zipped(docs: DataFrame) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 z = [zip_.compress(t.encode("utf-8", "surrogatepass")) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary())], names=["d", "x", "z"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(z, pa.binary()), *part.columns[3:]], names=names)
 
-    return docs.mapInArrow(run, "d long, x int, z binary")
+    return map_arrow(docs.select("d", "x", "t", *more), run, ", ".join(["d long, x long, z binary", *(f"{c} long" for c in more)]))
 
 
 def _extract(width: int):
@@ -288,7 +292,7 @@ def _extract(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         names = ["d", "x", "a", "m", "s", "c", "n", "t"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part, rows = batch.slice(at, 128), []
@@ -307,7 +311,7 @@ def _search(width: int, size: int):
     compared with each other, many groups in one suffix array.  Groups with sides 0 and
     1 are two shards of one anchor, compared with one another.
     """
-    names, types = ["d", "x", "a", "b"], [pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names, types = ["d", "x", "a", "b"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def found(rows: list[tuple], shard: Shard, hit: np.ndarray) -> list[tuple]:
         return [(r[2], r[3], r[4] + a, r[4] + b) for r, rs in zip(rows, shard.ranges(hit)) if r[5] == 1 for a, b in rs]
@@ -354,25 +358,53 @@ def _search(width: int, size: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_runs: int = SHARD_RUNS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(d, x, a, b): stretches of windows of documents (d, x, text) that also start elsewhere."""
-    runs = stage(docs.mapInArrow(_find_runs(width, gram), _RUN), "runs")
-    often = runs.groupBy("m").count().where(F.col("count") > 1).select("m")
+def _windows(width: int):
+    """Rows (d, x, a, c, t) of runs to one row (d, x, a, c, w) a window, with a 128-bit digest."""
+    types = {"d": pa.int64(), "x": pa.int64(), "a": pa.int32(), "c": pa.int64(), "w": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                rows = [(d, x, a + k, c, digest(t[k : k + width])) for d, x, a, c, t in zip(*(part.column(i).to_pylist() for i in range(5))) for k in range(len(t) - width + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [[]] * 5, types.values())], names=[*types])
+
+    return run
+
+
+def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_runs: int = SHARD_RUNS, shard_bytes: int = SHARD_BYTES, most_shards: int = MOST_SHARDS) -> DataFrame:
+    """(d, x, a, b): stretches of windows of documents (d, x, text t) that also start elsewhere.
+
+    Anchors of up to ``shard_runs`` distinct runs are compared in one shard, of up to
+    ``most_shards`` times as many in shards that meet two by two.  Beyond that, pairs of
+    shards would grow as the square: the windows of such an anchor's runs are counted by
+    their digests, in rows that grow in proportion.
+    """
+    runs = stage(map_arrow(docs.select("d", "x", "t"), _find_runs(width, gram), _RUN), "runs")
+    # small sides of joins are staged, so that AQE sees two exchanges and splits a hot anchor
+    often = stage(runs.groupBy("m").count().where(F.col("count") > 1).select("m"), "often")
     shared = stage(runs.join(often, "m"), "shared-runs")
     # the distinct runs of each anchor, with one occurrence, how often each occurs, and how many there are
     distinct = shared.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("d", "x", "a", "b")).alias("r"))
     distinct = stage(distinct.select("m", "s", "c", "r.*"), "distinct-runs")
     whole = shared.join(distinct.where("c > 1").select("m", "s"), ["m", "s"]).select("d", "x", "a", "b")
-    mixed = distinct.groupBy("m").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1 AND least = 1").select("m", "n")
+    mixed = stage(distinct.groupBy("m").agg(F.count("*").alias("n"), F.min("c").alias("least")).where("n > 1 AND least = 1").select("m", "n"), "mixed")
     wanted = distinct.join(mixed, "m").groupBy("d", "x").agg(F.collect_list(F.struct("a", "b", "m", "s", "c", "n")).alias("w"))
     texts = _zipped(docs).join(wanted.hint("shuffle_hash"), ["d", "x"])
-    got = stage(texts.select("d", "x", "z", "w").mapInArrow(_extract(width), "d long, x int, a int, m long, s long, c long, n long, t binary"), "run-bytes")
+    got = stage(map_arrow(texts.select("d", "x", "z", "w"), _extract(width), "d long, x long, a int, m long, s long, c long, n long, t binary"), "run-bytes")
     plain = got.where(F.col("n") <= shard_runs).select(F.col("m").alias("k"), F.lit(2).alias("side"), "d", "x", "a", "c", "t")
     shards = F.ceil(F.col("n") / shard_runs)
-    piece = got.where(F.col("n") > shard_runs).withColumn("p", F.pmod(F.col("s"), shards)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
+    piece = got.where((F.col("n") > shard_runs) & (shards <= most_shards)).withColumn("p", F.pmod(F.col("s"), shards)).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), shards - 1)))
     pieces = piece.select(F.xxhash64("m", F.least("p", "o"), F.greatest("p", "o")).alias("k"), F.when(F.col("p") == F.col("o"), 2).otherwise((F.col("p") > F.col("o")).cast("int")).alias("side"), "d", "x", "a", "c", "t")
-    single = plain.unionByName(pieces).repartition("k").sortWithinPartitions("k", "side").mapInArrow(_search(width, shard_bytes), "d long, x int, a int, b int")
-    return whole.unionByName(single)
+    single = map_arrow(plain.unionByName(pieces).repartition("k").sortWithinPartitions("k", "side"), _search(width, shard_bytes), "d long, x long, a int, b int")
+    out = whole.unionByName(single)
+    hot = got.where(shards > most_shards).select("d", "x", "a", "c", "t")
+    if not hot.isEmpty():
+        windows = map_arrow(hot, _windows(width), "d long, x long, a int, c long, w binary")
+        twice = stage(windows.groupBy("w").count().where(F.col("count") > 1).select("w"), "hot-windows")
+        out = out.unionByName(windows.where("c = 1").join(twice, "w").select("d", "x", "a", F.col("a").alias("b")))
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, **options) -> DataFrame:
@@ -384,9 +416,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     returned as null; rows that repeat an id and text repeat each other's bytes; an
     empty table gives no rows.  Other columns are left out.
     """
-    base = keyed(docs, id_col, text_col).select(F.col("__tm_d").alias("d"), F.hash("__tm_t").alias("x"), F.col("__tm_t").alias("t"))
-    spans = repeated_windows(base, width, **options).groupBy("d", "x").agg(F.collect_set(F.struct("a", "b")).alias("w"))
-    rows = _zipped(base).join(spans.hint("shuffle_hash"), ["d", "x"], "left").select("d", "z", "w")
+    # a row is known by 128 bits of its id and text
+    base = keyed(docs, id_col, text_col).select(F.xxhash64("__tm_d", "__tm_t").alias("d"), F.xxhash64("__tm_t", "__tm_d").alias("x"), F.col("__tm_t").alias("t"), F.col("__tm_d").alias("i"))
+    spans = stage(repeated_windows(base, width, **options).groupBy("d", "x").agg(F.collect_set(F.struct("a", "b")).alias("w")), "repeats")
+    rows = _zipped(base, "i").join(spans.hint("shuffle_hash"), ["d", "x"], "left").select("i", "z", "w")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
@@ -405,7 +438,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], span), pa.array(out[3], pa.binary())], names=["d", "n_bytes", "removed", "kept"])
 
-    got = rows.mapInArrow(cut, "d long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
+    got = map_arrow(rows, cut, "d long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary")
     return got.select(from_id(F.col("d")).alias(id_col), "n_bytes", "removed", "kept")
 
 

@@ -15,6 +15,7 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import as_id, read, stage
+from .common import as_id, map_arrow, read, stage
 
 GIVEN = {
     ("latin", "f"): "Anna Maria Laura Sophie Julia Emma Clara Lucia Elena Carmen Sarah Emily Hannah Charlotte Alice Camille Claire Juliette Manon Ingrid Katrin Sabine Ursula Heike Isabel Pilar Rosa Teresa Olivia Grace Nancy Susan Linda Barbara Patricia Jennifer Monique Brigitte Renate Beatriz",
@@ -32,6 +33,10 @@ GIVEN = {
     ("cyrillic", "m"): "Иван Александр Дмитрий Сергей Андрей Алексей Николай Михаил Владимир Павел Юрий Олег",
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Βασιλική Γεωργία Δέσποινα",
     ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παναγιώτης Χρήστος Ανδρέας",
+    ("arabic", "f"): "فاطمة عائشة مريم خديجة زينب ليلى سلمى نور",
+    ("arabic", "m"): "محمد أحمد علي حسين خالد عمر يوسف إبراهيم",
+    ("hebrew", "f"): "שרה רחל לאה מרים רבקה נועה תמר אסתר",
+    ("hebrew", "m"): "משה דוד יוסף אברהם יעקב יצחק שמואל דניאל",
 }
 GIVEN = {k: v.split() for k, v in GIVEN.items()}
 _GENDER = {n.lower(): g for (_, g), ns in GIVEN.items() for n in ns}
@@ -78,12 +83,12 @@ def iban_ok(s: str) -> bool:
 
 
 def script_of(word: str) -> str:
+    """The script of a word's first letter that isn't Latin, in lower case ("cjk", "arabic"), else latin."""
     for c in word:
-        name = unicodedata.name(c, "")
-        if name.startswith("CYRILLIC"):
-            return "cyrillic"
-        if name.startswith("GREEK"):
-            return "greek"
+        if c.isalpha() and not "A" <= c <= "z":
+            name = unicodedata.name(c, "LATIN").split()[0].split("-")[0].lower()
+            if name not in ("latin", "modifier", "feminine", "masculine", "micro"):
+                return name
     return "latin"
 
 
@@ -151,7 +156,7 @@ def _names(text: str, start: int, end: int) -> Iterator[Mention]:
         low = word.lower()
         if low in _TITLES and not given:
             gender = _TITLES[low]
-        elif not word[0].isupper() or word.isupper() and len(word) > 1:
+        elif not word[0].isupper() and not (_caseless(word) and (low in _GENDER and not given or gender and not given)) or word.isupper() and len(word) > 1:
             return
         elif low in _GENDER and not given:
             gender, given = _GENDER[low], True
@@ -163,6 +168,11 @@ def _names(text: str, start: int, end: int) -> Iterator[Mention]:
             return
 
 
+def _caseless(word: str) -> bool:
+    """Whether a word's script has no capitals; such words are names only if listed or after a title."""
+    return unicodedata.category(word[0]) == "Lo"
+
+
 # --- surrogates ----------------------------------------------------------------
 
 
@@ -183,6 +193,21 @@ class _Draw:
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 
+@lru_cache(4096)
+def _kin(c: str) -> str:
+    """Characters of the script, case and class of a letter or digit."""
+    if "0" <= c <= "9" or not c.isalpha() and unicodedata.category(c) != "Nd":
+        return _ALPHABETS[0]
+    if not c.isalpha():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    script = script_of(c)
+    if script in ("latin", "cyrillic", "greek"):
+        return _ALPHABETS[{"latin": 1, "cyrillic": 3, "greek": 5}[script] + c.isupper()]
+    page = range(ord(c) & ~0xFF, (ord(c) | 0xFF) + 1)
+    return "".join(x for x in map(chr, page) if unicodedata.category(x) == unicodedata.category(c) and script_of(x) == script)
+
+
 def _like(s: str, draw: _Draw, hexed: bool = False) -> str:
     """Every letter and digit drawn again from its own script, case and class."""
     out = []
@@ -190,27 +215,34 @@ def _like(s: str, draw: _Draw, hexed: bool = False) -> str:
         if hexed and c in "0123456789abcdef":
             out.append("0123456789abcdef"[draw.below(16)])
         elif c.isalnum():
-            script = {"latin": 1, "cyrillic": 3, "greek": 5}[script_of(c)]
-            a = _ALPHABETS[0 if c.isdigit() else script + c.isupper()]
+            a = _kin(c)
             out.append(a[draw.below(len(a))])
         else:
             out.append(c)
     return "".join(out)
 
 
+_PRIVATE = [ipaddress.ip_network(n) for n in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")]
+
+
 def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
-    """The canonical surrogate of an entity at an attempt; attempts differ in what they draw."""
+    """The canonical surrogate of an entity at an attempt; attempts differ in what they draw.
+
+    Later attempts draw from wider spaces, in the end by longer strings (addresses of
+    version 6 for those of version 4), so that no corpus can use up a kind.
+    """
     draw = _Draw(key, kind, form, attempt)
+    wider = max(0, attempt - 10) // 3  # digits or characters more
     if kind == "email":
         local, _, domain = form.rpartition("@")
         labels = domain.split(".")
         host = ".".join(_like(x, _Draw(key, "domain", domain, i)) for i, x in enumerate(labels[:-2])) or _like(labels[0], _Draw(key, "domain", domain))
-        extra = "" if attempt < 6 else _like("aaa", draw)
+        extra = _like("aaa" * (attempt // 6), draw)
         return f"{_like(local, draw)}{extra}@{host}.example.{('com', 'net', 'org')[_Draw(key, 'tld', domain).below(3)]}"
     if kind == "phone":
         if len(form) == 11 and form[0] == "1":
-            return "1" + str(2 + draw.below(8)) + _like("00", draw) + ("555" if form[4:7] == "555" and attempt < 8 else str(2 + draw.below(8)) + _like("00", draw)) + _like("0000", draw)
-        return form[:2] + _like(form[2:], draw)
+            return "1" + str(2 + draw.below(8)) + _like("00", draw) + ("555" if form[4:7] == "555" and attempt < 8 else str(2 + draw.below(8)) + _like("00", draw)) + _like("0000" + "0" * wider, draw)
+        return form[:2] + _like(form[2:] + form[-1] * wider, draw)
     if kind == "card":
         body = form[0] + _like(form[1:-1], draw)
         return body + str(-_luhn(body + "0") % 10)
@@ -218,23 +250,32 @@ def surrogate(key: bytes, kind: str, form: str, attempt: int) -> str:
         body = _like(form[4:], draw)
         return form[:2] + f"{98 - int(''.join(str(int(c, 36)) for c in body + form[:2] + '00')) % 97:02d}" + body
     if kind == "ssn":
-        return "9" + _like(form[1:], draw)
+        return "9" + _like(form[1:] + "0" * wider, draw)
     if kind == "ip":
         old = ipaddress.ip_address(form)
-        if old.is_private and form.startswith(("10.", "192.168.")):
-            return str(ipaddress.ip_address((10 << 24) + draw.below(1 << 24))) if form.startswith("10.") else str(ipaddress.ip_address((192 << 24) + (168 << 16) + draw.below(1 << 16)))
-        return str(ipaddress.ip_address((240 << 24) + draw.below((15 << 24))))  # a range that nobody is given
+        if attempt < 24:
+            own = next((n for n in _PRIVATE if old in n), None)
+            if own and attempt >= 8:
+                own = _PRIVATE[0]
+            if own or old.is_private:
+                own = own or _PRIVATE[0]
+                return str(own[draw.below(own.num_addresses)])
+            return str(ipaddress.ip_address((240 << 24) + draw.below((15 << 24))))  # a range that nobody is given
+        kind = "ip6"
     if kind == "ip6":
         return str(ipaddress.ip_address((0x20010DB8 << 96) + (draw.below(1 << 48) << 48) + draw.below(1 << 48)))
     if kind == "secret":
         head = "AKIA" if form.startswith("AKIA") else ""
-        return head + _like(form[len(head) :], draw, hexed=bool(re.fullmatch(r"[0-9a-f]{8,}", form)))
+        rest = form[len(head) :]
+        return head + _like(rest + rest[:1] * wider, draw, hexed=bool(re.fullmatch(r"[0-9a-f]{8,}", form)))
     if kind == "given":
         script, gender, _ = form.split(":")
         names = GIVEN[script, gender]
         first = names[draw.below(len(names))]
         return first if attempt < 6 else "-".join([first, *(names[draw.below(len(names))] for _ in range(1 + (attempt - 6) // 4))])
-    script = form.split(":")[0]
+    script, stem = form.split(":", 1)
+    if script not in _PARTS:
+        return _like(stem + stem[-1:] * wider, draw)
     parts, ends = _PARTS[script], _ENDS[script]
     n = 2 + attempt // 3
     return "".join(parts[draw.below(len(parts))] for _ in range(n)).capitalize() + ends[draw.below(len(ends))]
@@ -253,8 +294,8 @@ def render(said: str, m: Mention, new: str) -> str:
     """A surrogate in the format of a mention: its separators, grouping, case and gender."""
     if m.kind in ("phone", "card", "ssn"):
         n = sum(c.isdigit() for c in said)
-        digits = iter(new[-n:])
-        return "".join(next(digits) if c.isdigit() else c for c in said)
+        digits = iter(new[len(m.form) - n : len(m.form)])
+        return "".join(next(digits) if c.isdigit() else c for c in said) + new[len(m.form) :]
     if m.kind == "iban":
         rest = iter(new)
         return "".join(next(rest) if c != " " else c for c in said)
@@ -300,7 +341,7 @@ def assign_surrogates(entities: DataFrame, key: str, max_attempts: int = 64) ->
                 new = [surrogate(raw, k, f, attempt) for k, f in zip(kinds, forms)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string()), pa.array([canonical(k, n) for k, n in zip(kinds, new)], pa.string())], names=["kind", "form", "new", "shape"])
 
-        drawn = stage(open_.select("kind", "form").mapInArrow(draw, "kind string, form string, new string, shape string"), "drawn")
+        drawn = stage(map_arrow(open_.select("kind", "form"), draw, "kind string, form string, new string, shape string"), "drawn")
         free = drawn.join(real, ["kind", "shape"], "left_anti")
         if taken is not None:
             free = free.join(taken.select("kind", "shape"), ["kind", "shape"], "left_anti")
@@ -316,49 +357,45 @@ def anonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     """``docs`` with ``text_col`` rid of personal data, and ``entities`` (kind, and place in the new text).
 
     Entities that are equal in the whole corpus have one surrogate, others never share
-    one.  Two passes detect; only documents with an entity are shuffled.  Null texts
-    stay null; null ids and repeated rows are handled like any other row; an existing
-    column ``entities`` is replaced; texts without an entity come back unchanged.
+    one.  Texts are scanned once and staged with their mentions; only documents with an
+    entity are shuffled.  Null texts stay null; null ids and repeated rows are handled
+    like any other row; an existing column ``entities`` is replaced; texts without an
+    entity come back unchanged.
     """
     docs = docs.drop("entities")
     names = docs.columns
     text_at = names.index(text_col)
     schema = StructType([*docs.schema.fields, *StructType.fromDDL("entities array<struct<kind:string,start:int,end:int>>").fields])
     arrow = to_arrow_schema(schema)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = b.filter(pa.array([not detect(t) for t in b.column(text_at).to_pylist()], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array([[]] * keep.num_rows, arrow.field(len(names)).type)], schema=arrow)
-
-    found_schema = StructType([*docs.schema.fields, *StructType.fromDDL("__tm_m array<struct<kind:string,form:string>>").fields])
+    found_schema = StructType([*docs.schema.fields, *StructType.fromDDL("__tm_m array<struct<start:int,end:int,kind:string,form:string,gender:string>>").fields])
     found_arrow = to_arrow_schema(found_schema)
 
-    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [detect(t) for t in b.column(text_at).to_pylist()]
-            keep = b.filter(pa.array([bool(f) for f in found], pa.bool_()))
-            said = [[{"kind": k, "form": f} for k, f in sorted({(m.kind, m.form) for m in ms})] for ms in found if ms]
-            yield pa.RecordBatch.from_arrays([*keep.columns, pa.array(said, found_arrow.field(len(names)).type)], schema=found_arrow)
-
-    hits = stage(docs.mapInArrow(hit, found_schema).withColumn("__tm_k", F.struct(as_id(id_col).alias("d"), F.xxhash64(text_col).alias("h"))), "private")
-    mentions = hits.select("__tm_k", F.explode("__tm_m").alias("m")).select("__tm_k", "m.*").distinct()
+            said = [[m._asdict() for m in detect(t)] for t in b.column(text_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, found_arrow.field(len(names)).type)], schema=found_arrow)
+
+    found = map_arrow(docs, find, found_schema).withColumn("__tm_k", F.struct(as_id(id_col).alias("d"), F.xxhash64(text_col).alias("h")))
+    found = stage(found.withColumn("__tm_hit", F.size("__tm_m") > 0), "private")
+    clean = found.where(~F.col("__tm_hit")).select(*names, F.array().cast(schema[-1].dataType).alias("entities"))
+    hits = found.where("__tm_hit")
+    mentions = hits.select("__tm_k", F.explode("__tm_m").alias("m")).select("__tm_k", "m.kind", "m.form").distinct()
     mapping = assign_surrogates(mentions.select("kind", "form"), key)
-    held = mentions.join(mapping, ["kind", "form"]).groupBy("__tm_k").agg(F.collect_list(F.struct("kind", "form", "new")).alias("__tm_s"))
-    joined = hits.drop("__tm_m").join(held, "__tm_k").select(*names, "__tm_s")
+    held = stage(mentions.join(mapping, ["kind", "form"]).groupBy("__tm_k").agg(F.collect_list(F.struct("kind", "form", "new")).alias("__tm_s")), "surrogates-of")
+    joined = hits.join(held, "__tm_k").select(*names, "__tm_m", "__tm_s")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, places = [], []
-            for t, s in zip(b.column(text_at).to_pylist(), b.column(len(names)).to_pylist()):
-                ms = detect(t)
+            for t, said, s in zip(*(b.column(i).to_pylist() for i in (text_at, len(names), len(names) + 1))):
+                ms = [Mention(**m) for m in said]
                 new, spans = replace(t, ms, {(x["kind"], x["form"]): x["new"] for x in s})
                 texts.append(new)
                 places.append([{"kind": m.kind, "start": a, "end": e} for m, (a, e) in zip(ms, spans)])
-            cols = [pa.array(texts, arrow.field(text_at).type) if i == text_at else c for i, c in enumerate(b.columns[:-1])]
+            cols = [pa.array(texts, arrow.field(text_at).type) if i == text_at else c for i, c in enumerate(b.columns[:-2])]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(places, arrow.field(len(names)).type)], schema=arrow)
 
-    return docs.mapInArrow(clean, schema).unionByName(joined.mapInArrow(write, schema))
+    return clean.unionByName(map_arrow(joined, write, schema))
 
 
 #: The key of the query; in use it is a secret of whoever runs the pipeline.

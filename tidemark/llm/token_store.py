@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import from_id, keyed, map_rows, read, shared_dir
+from .common import from_id, keyed, map_arrow, map_rows, read, shared_dir
 
 LEAST, MEAN, MOST, WINDOW = 128, 512, 2048, 16
 
@@ -216,12 +216,13 @@ def write_store(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     each; an empty table makes a store without rows.
     """
     base = keyed(docs, id_col, text_col).select("__tm_d", F.xxhash64("__tm_t").alias("h"), "__tm_t")
-    rows = base.mapInArrow(_encode(path, end_id), _ROWS)
-    rows = rows.repartition("key").sortWithinPartitions("kind", "digest").mapInArrow(_first_of_each, _ROWS)
+    rows = map_arrow(base, _encode(path, end_id), _ROWS)
+    rows = map_arrow(rows.repartition("key").sortWithinPartitions("kind", "digest"), _first_of_each, _ROWS)
     rows.drop("key").write.option("compression", "none").partitionBy("kind").parquet(f"{folder}/rows")
     spark = docs.sparkSession
     every = spark.read.schema("digest binary, n int, payload binary, doc long, text_hash long, digests array<binary>, sizes array<int>, kind string").parquet(f"{folder}/rows")
-    recipes = every.where("kind = 'doc'").select("doc", "text_hash", "digests", "sizes").repartitionByRange("doc", "text_hash").sortWithinPartitions("doc", "text_hash").mapInArrow(_number, _RECIPE)
+    recipes = every.where("kind = 'doc'").select("doc", "text_hash", "digests", "sizes").repartitionByRange("doc", "text_hash").sortWithinPartitions("doc", "text_hash")
+    recipes = map_arrow(recipes, _number, _RECIPE)
     recipes.write.option("compression", "zstd").parquet(f"{folder}/recipes")
     _manifest(spark, folder).coalesce(1).write.parquet(f"{folder}/manifest")
 
@@ -264,7 +265,7 @@ def _roots(leaves: DataFrame) -> DataFrame:
         for r in out:
             yield pa.RecordBatch.from_arrays([pa.array([r[0]], pa.int32()), pa.array([r[1]], pa.int64()), pa.array([r[2]], pa.int64()), pa.array([r[3]], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
 
-    return leaves.repartition("part").sortWithinPartitions("part", "pos").mapInArrow(run, "part int, n_docs long, n_tokens long, root binary")
+    return map_arrow(leaves.repartition("part").sortWithinPartitions("part", "pos"), run, "part int, n_docs long, n_tokens long, root binary")
 
 
 def _manifest(spark: SparkSession, folder: str) -> DataFrame:
