@@ -6,7 +6,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from tidemark.functions import stats
@@ -100,7 +100,8 @@ def brute_partition(x, penalty, least):
 
 
 @given(st.lists(st.floats(-5, 5), min_size=6, max_size=24), st.sampled_from([0.5, 1.0, 2.0]), st.integers(2, 4))
-@settings(max_examples=80, deadline=None)
+@example([0, 0, 2, 2, 3, 2.25, 0], 0.5, 3)
+@settings(max_examples=500, deadline=None)
 def test_pelt_is_optimal(values, penalty, least):
     x = np.array(values)
     ends = stats.pelt(x, penalty, least)
@@ -112,6 +113,13 @@ def test_pelt_is_optimal(values, penalty, least):
     assert got == pytest.approx(want, abs=1e-9) and all(b - a >= least for a, b in zip([0, *ends[:-1]], ends))
 
 
+@given(st.lists(st.floats(-5, 5).map(lambda v: round(v, 2)), min_size=3, max_size=40))
+@settings(max_examples=200, deadline=None)
+def test_median_gap_without_pairs(values):
+    x = np.array(values)
+    assert stats.median_gap(x, 0) == pytest.approx(stats.median_gap(x), rel=1e-9, abs=1e-12)
+
+
 def test_pelt_finds_a_step():
     x = np.concatenate([np.zeros(40), np.ones(30) * 4, np.zeros(40)]) + np.random.default_rng(0).normal(0, 0.2, 110)
     assert stats.pelt(x, 2, 7) == [40, 70, 110]

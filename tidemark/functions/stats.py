@@ -442,36 +442,63 @@ def weighted_percentile(values: np.ndarray, weights: np.ndarray, p: float) -> fl
     return float(np.interp(p, (np.cumsum(w) - w / 2) / w.sum(), v)) if len(v) else float("nan")
 
 
+def median_gap(x: np.ndarray, direct: int = 2048) -> float:
+    """Median of the squared differences of all pairs.
+
+    Up to ``direct`` values it is taken over the pairs; beyond, the middle differences
+    are found by bisection over the sorted values, in memory of their number.
+    """
+    n = len(x)
+    if n <= direct:
+        return float(np.median(((x[:, None] - x[None, :]) ** 2)[np.triu_indices(n, 1)]))
+    v, pairs = np.sort(x), n * (n - 1) // 2
+    above = np.arange(1, n + 1)
+
+    def smallest(k: int) -> float:
+        """The k-th smallest difference, from 1."""
+        low, high = 0.0, float(v[-1] - v[0])
+        if int((np.searchsorted(v, v, "right") - above).sum()) >= k:
+            return 0.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            if mid in (low, high):
+                break
+            low, high = (low, mid) if int((np.searchsorted(v, v + mid, "right") - above).sum()) >= k else (mid, high)
+        return high
+
+    middle = {smallest((pairs + 1) // 2), smallest(pairs // 2 + 1)}
+    return sum(m * m for m in middle) / len(middle)
+
+
 def pelt(x: np.ndarray, penalty: float, least: int) -> list[int]:
-    """Segment ends of the optimal partition under a Gaussian-kernel cost (median bandwidth) and a penalty a segment."""
+    """Segment ends of the optimal partition under a Gaussian-kernel cost (median bandwidth) and a penalty a segment.
+
+    Every start is tried for every end, so the partition is optimal also where pruning
+    would not be safe (segments of a least length); kernel sums run along with the end,
+    so that memory grows with the length only.
+    """
+    x = np.asarray(x, float)
     n = len(x)
     if n < 2 * least:
         return [n]
-    d = (x[:, None] - x[None, :]) ** 2
-    med = float(np.median(d[np.triu_indices(n, 1)]))
-    k = np.exp(-np.clip(d / med if med > 0 else d, 1e-2, 100))
-    np.fill_diagonal(k, 1.0)
-    total = np.zeros((n + 1, n + 1))
-    total[1:, 1:] = k.cumsum(0).cumsum(1)
-    diag = np.concatenate([[0], np.cumsum(np.diag(k))])
-
-    def cost(a: np.ndarray, b: int) -> np.ndarray:
-        return diag[b] - diag[a] - (total[b, b] - total[a, b] - total[b, a] + total[a, a]) / (b - a)
-
+    med = median_gap(x) or 1.0
     best, last = np.full(n + 1, np.inf), np.zeros(n + 1, int)
     best[0] = -penalty
-    starts = np.array([0])
-    for b in range(least, n + 1):
-        ok = starts[b - starts >= least]
-        c = cost(ok, b)
-        value = best[ok] + c + penalty
-        best[b], last[b] = float(value.min()), int(ok[int(value.argmin())])
-        keep = starts[(b - starts < least)]
-        starts = np.concatenate([ok[best[ok] + c <= best[b] + 1e-12], keep, [b]])
+    sums = np.zeros(n)  # of the kernel over pairs of each start's segment so far
+    for b in range(1, n + 1):
+        k = np.exp(-np.clip((x[: b - 1] - x[b - 1]) ** 2 / med, 1e-2, 100))
+        sums[: b - 1] += 2 * np.cumsum(k[::-1])[::-1]
+        sums[:b] += 1
+        if b < least:
+            continue
+        size = b - np.arange(b - least + 1)
+        value = best[: b - least + 1] + size - sums[: b - least + 1] / size + penalty
+        last[b] = int(value.argmin())
+        best[b] = float(value[last[b]])
     ends, b = [], n
     while b > 0:
         ends.append(b)
-        b = last[b]
+        b = int(last[b])
     return ends[::-1]
 
 
