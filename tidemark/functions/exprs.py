@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,14 @@ def flag(c: str | Column) -> Column:
     return (F.coalesce(c.try_cast("double"), F.lit(0.0)) > 0).cast("int")
 
 
+def annotation(df: DataFrame, name: str) -> Column:
+    """The values of an annotation: the column of that name, else its sum, else its mean; none is an error."""
+    for c in (name, f"{name}_sum", f"{name}_mean"):
+        if c in df.columns:
+            return F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
+    raise ValueError(f"there is no {name}, {name}_sum or {name}_mean")
+
+
 def first_max(columns: Sequence[str], labels: Sequence[str] | None = None) -> Column:
     """Label of the first column that holds the largest value; null if none is above zero."""
     top = F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in columns]) if len(columns) > 1 else F.coalesce(F.col(columns[0]), F.lit(0))

@@ -182,61 +182,123 @@ def classify(score: Column) -> Column:
     return F.when(score >= 0.65, "strong").when(score >= 0.40, "moderate").when(score >= 0.25, "weak").otherwise("none")
 
 
-def score_bursts(bursts: DataFrame, rows: DataFrame, group: str, day: str, actor: str, outlet: str, source: str) -> DataFrame:
-    """Four dimensions and a total of each burst: temporal, participation, convergence, source.
-
-    Rows of the bursts' days are joined by exploded days.  Participation: entropy of the
-    ten busiest actors, outlets of 20, newcomers against the 90 days before, share of
-    days on which the number of actors grew.  Source: decline of the actors' entropy
-    from the first half to the second, concentration of sources.  Convergence without
-    vectors: how alike the outlets' source shares are.  A burst of fewer than three
-    rows, or of one outlet, scores 0.
+def network_terms(inside: DataFrame, day: str, actor: str) -> DataFrame:
+    """(burst_id, nodes, edges, density, modularity, clustering): each burst's network of actors with rows on one day."""
+    from .graph import network_summary
+
+    edges = inside.select("burst_id", day, actor).where(F.col(actor).isNotNull()).distinct()
+    pairs = edges.withColumnRenamed(actor, "src").join(edges.withColumnRenamed(actor, "dst"), ["burst_id", day]).where("src < dst").groupBy("burst_id", "src", "dst").agg(F.count("*").alias("weight"))
+    return network_summary(pairs, "burst_id").withColumnRenamed("graph", "burst_id").select("burst_id", "nodes", "density", "modularity", "clustering")
+
+
+def participation_terms(bursts: DataFrame, rows: DataFrame, group: str, day: str, actor: str, outlet: str, network: bool = True, outlets: int = 20) -> DataFrame:
+    """One row a burst: counts, and the six terms of participation.
+
+    diversity: entropy of the ten busiest actors; cross_media: outlets of ``outlets``;
+    newcomers: share of actors without a row in the 90 days before; growth: share of days
+    on which actors joined; structure: clustering over density, a twentieth of it (0.5
+    below five nodes); cohesion: one less modularity.
     """
     key = ["burst_id"]
     days = bursts.select(*key, group, "onset", "end", F.explode(F.sequence("onset", "end")).alias(day))
     inside = rows.join(days, [group, day])
     base = inside.groupBy(*key).agg(F.count("*").alias("n_rows"), F.count_distinct(actor).alias("n_actors"), F.count_distinct(outlet).alias("n_outlets"))
 
-    counts = inside.groupBy(*key, actor).agg(F.count("*").alias("n"))
+    counts = inside.where(F.col(actor).isNotNull()).groupBy(*key, actor).agg(F.count("*").alias("n"))
     top = counts.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), actor))).where("r <= 10")
     share = F.col("n") / F.sum("n").over(Window.partitionBy(*key))
     diversity = top.withColumn("p", share).groupBy(*key).agg(F.when(F.count("*") > 1, -F.sum(F.col("p") * F.ln("p")) / F.ln(F.count("*").cast("double"))).otherwise(0.0).alias("diversity"))
 
     ahead = bursts.select(*key, group, F.explode(F.sequence(F.date_sub("onset", 90), F.date_sub("onset", 1))).alias(day))
     before = rows.join(ahead, [group, day]).select(*key, actor).distinct()
-    fresh = inside.select(*key, actor).distinct().join(before, [*key, actor], "left_anti").groupBy(*key).agg(F.count("*").alias("n_new"))
+    fresh = inside.select(*key, actor).distinct().join(before, [*key, actor], "left_anti").groupBy(*key).agg(F.count(actor).alias("n_new"))
 
     first = inside.groupBy(*key, actor).agg(F.min(day).alias(day)).groupBy(*key, day).agg(F.count("*").alias("new"))
     w = Window.partitionBy(*key).orderBy(day)
     grown = days.select(*key, day).join(first, [*key, day], "left").fillna(0, ["new"]).withColumn("r", F.row_number().over(w))
     growth = grown.groupBy(*key).agg(F.coalesce(F.avg(F.when(F.col("r") > 1, (F.col("new") > 0).cast("double"))), F.lit(0.0)).alias("growth"), (F.sum("new") / F.count("*")).alias("velocity"))
 
-    half = F.when(F.datediff(day, "onset") * 2 < F.datediff("end", "onset"), "early").otherwise("late")
-
-    def entropy_of(df: DataFrame, by: list[str], item: str, name: str) -> DataFrame:
-        c = df.groupBy(*by, item).agg(F.count("*").alias("n"))
-        p = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
-        return p.groupBy(*by).agg((-F.sum(F.col("p") * F.ln("p"))).alias(name), F.count("*").alias("k"))
-
-    halves = entropy_of(inside.withColumn("half", half), [*key, "half"], actor, "h").groupBy(*key).agg(F.max(F.when(F.col("half") == "early", F.col("h"))).alias("early"), F.max(F.when(F.col("half") == "late", F.col("h"))).alias("late"))
-    sources = entropy_of(inside, key, source, "hs").select(*key, F.when(F.col("k") > 1, F.col("hs") / F.ln(F.col("k").cast("double"))).otherwise(0.0).alias("source_entropy"))
-
-    mix = inside.groupBy(*key, outlet, source).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*key, outlet)))
-    lengths = mix.groupBy(*key, outlet).agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("l"))
-    units = mix.join(lengths, [*key, outlet]).withColumn("u", F.col("p") / F.col("l"))
-    sums = units.groupBy(*key, source).agg(F.sum("u").alias("_su"))
-    alike = sums.groupBy(*key).agg(F.sum(F.col("_su") * F.col("_su")).alias("ss")).join(base, key).select(*key, F.when(F.col("n_outlets") > 1, (F.col("ss") - F.col("n_outlets")) / (F.col("n_outlets") * (F.col("n_outlets") - 1))).otherwise(0.0).alias("alignment"))
-
-    x = bursts.join(base, key, "left")
-    for part in (diversity, fresh, growth, halves, sources, alike):
+    x = bursts.select(*key).join(base, key, "left")
+    for part in (diversity, fresh, growth):
         x = x.join(part, key, "left")
-    x = x.fillna(0, ["n_rows", "n_actors", "n_outlets", "n_new", "diversity", "growth", "velocity", "alignment", "source_entropy"])
+    x = x.fillna(0, ["n_rows", "n_actors", "n_outlets", "n_new", "diversity", "growth", "velocity"])
+    x = x.withColumns({"cross_media": F.least(F.lit(1.0), F.col("n_outlets") / outlets), "newcomers": F.when(F.col("n_actors") > 0, F.col("n_new") / F.col("n_actors")).otherwise(0.0)})
+    if network:
+        x = x.join(network_terms(inside, day, actor), key, "left")
+        nodes, density = F.coalesce("nodes", "n_actors"), F.coalesce("density", F.lit(0.0))
+        structure = F.when((density > 0) & (nodes >= 5), F.least(F.lit(1.0), F.col("clustering") / density / 20)).when(nodes < 5, 0.5).otherwise(0.0)
+        x = x.withColumns({"structure": structure, "cohesion": clip(1 - F.coalesce("modularity", F.lit(0.0)), 0, 1)}).drop("nodes", "density", "modularity", "clustering")
+    return x
+
+
+def source_terms(bursts: DataFrame, rows: DataFrame, group: str, day: str, source: str, kinds: int) -> DataFrame:
+    """One row a burst: decline and concentration, from the entropy of sources over ``kinds`` kinds.
+
+    Entropies are shares of ln ``kinds``, and 0.5 without a source.  decline: by how much
+    it falls from the first half of the burst to the second, damped by log2 of the rows
+    over log2 100; concentration: one less the entropy of all.
+    """
+    days = bursts.select("burst_id", group, "onset", "end", F.explode(F.sequence("onset", "end")).alias(day))
+    inside = rows.join(days, [group, day]).withColumn("half", F.when(2 * F.datediff(day, "onset") <= F.datediff("end", "onset"), 1).otherwise(2))
+    n = inside.groupBy("burst_id", "half", source).agg(F.count("*").alias("_n"))
+
+    def entropy(counts: DataFrame, by: list[str], name: str) -> DataFrame:
+        p = counts.where(F.col(source).isNotNull()).groupBy(*by, source).agg(F.sum("_n").alias("_n")).withColumn("_p", F.col("_n") / F.sum("_n").over(Window.partitionBy(*by)))
+        return p.groupBy(*by).agg((-F.sum(F.col("_p") * F.ln("_p")) / math.log(max(2, kinds))).alias(name))
+
+    size = n.groupBy("burst_id").agg(F.sum("_n").alias("_all"), F.count_if(F.col("half") == 1).alias("_one"), F.count_if(F.col("half") == 2).alias("_two"))
+    halves = entropy(n, ["burst_id", "half"], "h").groupBy("burst_id").agg(F.max(F.when(F.col("half") == 1, F.col("h"))).alias("h1"), F.max(F.when(F.col("half") == 2, F.col("h"))).alias("h2"))
+    x = size.join(halves, "burst_id", "left").join(entropy(n, ["burst_id"], "h"), "burst_id", "left")
+    h1, h2 = F.coalesce("h1", F.lit(0.5)), F.coalesce("h2", F.lit(0.5))
+    damp = clip(F.log2(F.col("_all").cast("double")) / math.log2(100), 0, 1)
+    decline = F.when((F.col("_one") > 0) & (F.col("_two") > 0) & (h1 > 0), clip((h1 - h2) / h1 * damp, 0, 1)).otherwise(0.0)
+    return x.select("burst_id", decline.alias("decline"), clip(1 - F.coalesce("h", F.lit(0.5)), 0, 1).alias("concentration"))
+
+
+def outlet_likeness(bursts: DataFrame, rows: DataFrame, group: str, day: str, outlet: str, source: str) -> DataFrame:
+    """(burst_id, alignment): mean cosine of the outlets' source shares, where rows have no vectors."""
+    days = bursts.select("burst_id", group, F.explode(F.sequence("onset", "end")).alias(day))
+    mix = rows.join(days, [group, day]).groupBy("burst_id", outlet, source).agg(F.count("*").alias("n")).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("burst_id", outlet)))
+    lengths = mix.groupBy("burst_id", outlet).agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("l"))
+    sums = mix.join(lengths, ["burst_id", outlet]).groupBy("burst_id", source).agg(F.sum(F.col("p") / F.col("l")).alias("_su"))
+    k = lengths.groupBy("burst_id").agg(F.count("*").alias("k"))
+    got = sums.groupBy("burst_id").agg(F.sum(F.col("_su") * F.col("_su")).alias("ss")).join(k, "burst_id")
+    return got.select("burst_id", F.when(F.col("k") > 1, (F.col("ss") - F.col("k")) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("alignment"))
+
+
+def score_bursts(bursts: DataFrame, rows: DataFrame, group: str, day: str, actor: str, outlet: str, source: str, key: str | None = None, vector: str | None = None, dim: int = 0, kinds: int | None = None) -> DataFrame:
+    """Four dimensions and a total of each burst: temporal (4 terms), participation (6), convergence (4), source (3).
+
+    Rows of the bursts' days are joined by exploded days.  With a ``vector`` (and its row
+    ``key``) convergence has four terms: similarity less half of the syndication, trend,
+    alignment of outlets and decay of novelty; source has the coordination of actors as
+    its third.  Without vectors, convergence is the likeness of the outlets' sources.
+    ``kinds`` is the number of kinds of sources, else those that occur.  A burst of fewer
+    than three rows, or without actors, scores 0.
+    """
+    from ..functions.staging import stage
+    from . import vectors as vec
+
+    bursts = stage(bursts, "bursts-scored")
+    kinds = kinds or rows.select(source).where(F.col(source).isNotNull()).distinct().count()
     one = F.lit(1.0)
+    x = bursts.join(participation_terms(bursts, rows, group, day, actor, outlet), "burst_id", "left").join(source_terms(bursts, rows, group, day, source, kinds), "burst_id", "left").fillna(0.0, ["decline", "concentration"])
+    if vector:
+        days = bursts.select("burst_id", group, F.explode(F.sequence("onset", "end")).alias(day))
+        inside = rows.join(days, [group, day])
+        m = vec.convergence_metrics(inside, "burst_id", key, day, outlet, actor, vector, dim)
+        m = m.select("burst_id", F.col("n").alias("_vectors"), "similarity", "syndication", "slope", F.col("alignment").alias("outlets_alike"), "decay", "coordination")
+        x = x.join(m, "burst_id", "left").fillna(0.0, ["similarity", "syndication", "slope", "outlets_alike", "decay", "coordination"]).fillna(0, ["_vectors"])
+        parts = (clip(F.col("similarity"), 0, 1) * (1 - 0.5 * F.col("syndication")) + clip((F.col("slope") + 0.05) / 0.10, 0, 1) + clip(F.col("outlets_alike"), 0, 1) + clip(F.col("decay") * F.col("n_rows") / 0.5, 0, 1)) / 4
+        x = x.withColumn("convergence", F.when(F.col("_vectors") >= 2, parts).otherwise(0.0)).withColumn("coordination", clip(F.col("coordination"), 0, 1))
+        source_score = (F.col("decline") + F.col("concentration") + F.col("coordination")) / 3
+    else:
+        x = x.join(outlet_likeness(bursts, rows, group, day, outlet, source), "burst_id", "left").withColumn("convergence", clip(F.coalesce("alignment", F.lit(0.0)), 0, 1))
+        source_score = (F.col("decline") + F.col("concentration")) / 2
     temporal = (F.least(one, F.col("intensity") / 5) + F.least(one, F.col("velocity") / 3) + F.least(one, F.col("days") / 30) + stair(F.col("mwu_p"))) / 4
-    participation = (F.col("diversity") + F.least(one, F.col("n_outlets") / 20) + F.when(F.col("n_actors") > 0, F.col("n_new") / F.col("n_actors")).otherwise(0.0) + F.col("growth")) / 4
-    decline = F.when(F.col("early") > 0, clip((F.col("early") - F.col("late")) / F.col("early"), 0, 1)).otherwise(0.0)
+    participation = (F.col("diversity") + F.col("cross_media") + F.col("newcomers") + F.col("growth") + F.col("structure") + F.col("cohesion")) / 6
     weight = F.least(one, F.log2(F.greatest(F.col("n_outlets").cast("double"), one)) / math.log2(10))
-    x = x.withColumns({"temporal": temporal, "participation": participation, "convergence": clip(F.col("alignment"), 0, 1), "source": (F.coalesce(decline, F.lit(0.0)) * F.least(one, F.log2(F.greatest(F.col("n_rows").cast("double"), one)) / math.log2(100)) + 1 - F.col("source_entropy")) / 2})
+    x = x.withColumns({"temporal": temporal, "participation": participation, "source": source_score})
     total = clip((F.col("temporal") + F.col("participation") + F.col("convergence") + F.col("source")) / 4 * weight, 0, 1)
     x = x.withColumn("total", F.when((F.col("n_rows") < 3) | (F.col("n_actors") == 0), 0.0).otherwise(total))
     return x.select("burst_id", group, "onset", "peak", "end", "days", "n_rows", "n_actors", "n_outlets", "n_new", "q", "effect", "ratio", "method", "temporal", "participation", "convergence", "source", "total", classify(F.col("total")).alias("classification"))

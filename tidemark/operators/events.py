@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -100,8 +103,19 @@ def soft_assign(rows: DataFrame, centres: DataFrame, kind: str, key: str, day: s
 
 def _assign(rows: DataFrame, centres: DataFrame, kind: str, key: str, day: str, vector: str, weight: str, tau: float) -> DataFrame:
     """Each row against all centres of its type, which are broadcast."""
-    local = centres.select("occurrence", kind, "peak", "centroid").toPandas()
-    c = {k: (g["occurrence"].tolist(), pd.to_datetime(g["peak"]).map(pd.Timestamp.toordinal).to_numpy(float), _units(np.stack(g["centroid"].to_numpy()).astype(float))) for k, g in local.groupby(kind)}
+    near = distances(rows, centres, kind, key, day, vector, weight, tau, {"time": 0.30, "meaning": 0.45, "weight": 0.25})
+    return near.select(key, "occurrence", (1 - F.col("d") / tau).alias("belonging"))
+
+
+def distances(rows: DataFrame, centres: DataFrame, kind: str, key: str, day: str, vector: str, weight: str, most: float, share: dict[str, float], entities: str | None = None) -> DataFrame:
+    """(key, occurrence, d) of each row and centre of its type at a distance below ``most``.
+
+    ``share`` weighs time, meaning, the row's own weight and, with ``entities`` (columns of
+    rows and centres), Jaccard distance of entities, which is neutral where both have none.
+    """
+    cols = ["occurrence", kind, "peak", "centroid", *([entities] if entities else [])]
+    local = centres.select(*cols).toPandas()
+    c = {k: (g["occurrence"].tolist(), pd.to_datetime(g["peak"]).map(pd.Timestamp.toordinal).to_numpy(float), _units(np.stack(g["centroid"].to_numpy()).astype(float)), [frozenset(x if x is not None else ()) for x in g[entities]] if entities else None) for k, g in local.groupby(kind)}
     held = rows.sparkSession.sparkContext.broadcast(c)
 
     def run(batches):
@@ -110,15 +124,149 @@ def _assign(rows: DataFrame, centres: DataFrame, kind: str, key: str, day: str,
             for k, g in pdf.groupby(kind):
                 if k not in held.value:
                     continue
-                names, peaks, u = held.value[k]
+                names, peaks, u, sets = held.value[k]
                 t = pd.to_datetime(g[day]).map(pd.Timestamp.toordinal).to_numpy(float)
-                d = 0.30 * (1 - np.exp(-np.abs(t[:, None] - peaks[None, :]) / 14)) + 0.45 * (1 - np.maximum(0, _units(np.stack(g[vector].to_numpy()).astype(float)) @ u.T)) + 0.25 * (1 - np.minimum(1, g[weight].to_numpy(float)))[:, None]
-                i, j = np.nonzero(d < tau)
+                d = share["time"] * (1 - np.exp(-np.abs(t[:, None] - peaks[None, :]) / 14)) + share["meaning"] * (1 - np.maximum(0, _units(np.stack(g[vector].to_numpy()).astype(float)) @ u.T)) + share["weight"] * (1 - np.minimum(1, g[weight].to_numpy(float)))[:, None]
+                if entities:
+                    mine = [frozenset(x if x is not None else ()) for x in g[entities]]
+                    d += share["entities"] * np.array([[1 - len(a & b) / len(a | b) if a or b else 0.5 for b in sets] for a in mine])
+                i, j = np.nonzero(d < most)
                 keys = g[key].to_numpy()
-                out += [(keys[a], names[b], 1 - d[a, b] / tau) for a, b in zip(i, j)]
-            yield pd.DataFrame(out, columns=[key, "occurrence", "belonging"])
+                out += [(keys[a], names[b], float(d[a, b])) for a, b in zip(i, j)]
+            yield pd.DataFrame(out, columns=[key, "occurrence", "d"])
+
+    return rows.select(kind, key, day, vector, weight, *([entities] if entities else [])).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, occurrence string, d double")
+
+
+def assign_twice(rows: DataFrame, seeds: DataFrame, centres: DataFrame, kind: str, key: str, day: str, vector: str, weight: str, dim: int, entities: str | None = None, rounds: int = 2, least: float = 0.05, most: float = 0.50) -> tuple[DataFrame, DataFrame]:
+    """((key, occurrence, belonging), centres): soft membership with a threshold for each occurrence, in two rounds.
 
-    return rows.select(kind, key, day, vector, weight).mapInPandas(run, f"{key} {dict(rows.dtypes)[key]}, occurrence string, belonging double")
+    Distance: 0.25 time, 0.35 meaning, 0.25 weight, 0.15 entities (a constant half without).
+    The first threshold is twice the median distance of the seeds (twice the largest of
+    fewer than three), the second twice the median of the rows whose belonging is in the
+    top quarter; both within ``least`` and ``most``.  Between them centres move to the mean
+    of their rows, by belonging and weight.  Seeds always belong, if only by 0.
+    """
+    from ..functions.staging import stage
+    from .vectors import mean_vector
+
+    share = {"time": 0.25, "meaning": 0.35, "weight": 0.25, "entities": 0.15}
+    now, held = centres, None
+    for k in range(rounds):
+        reach = most if entities else most - 0.075
+        d = distances(rows, now, kind, key, day, vector, weight, reach, share, entities)
+        d = stage(d if entities else d.withColumn("d", F.col("d") + 0.075), "distances")
+        if held is None:
+            at = d.join(seeds.select(key, "occurrence"), [key, "occurrence"]).groupBy("occurrence").agg(F.count("*").alias("n"), F.percentile("d", F.lit(0.5)).alias("mid"), F.max("d").alias("far"))
+            tau = at.select("occurrence", (2 * F.when(F.col("n") >= 3, F.col("mid")).otherwise(F.col("far"))).alias("tau"))
+        else:
+            high = held.where("belonging > 0").groupBy("occurrence").agg(F.percentile("belonging", F.lit(0.75)).alias("p75"))
+            top = held.join(high, "occurrence").where(F.col("belonging") >= F.col("p75")).select(key, "occurrence")
+            tau = d.join(top, [key, "occurrence"]).groupBy("occurrence").agg((2 * F.percentile("d", F.lit(0.5))).alias("tau"))
+        tau = now.select("occurrence").join(tau, "occurrence", "left").select("occurrence", F.least(F.greatest(F.coalesce("tau", F.lit(most)), F.lit(least)), F.lit(most)).alias("tau"))
+        near = d.join(tau, "occurrence").select(key, "occurrence", (1 - F.col("d") / F.col("tau")).alias("belonging")).where("belonging > 0")
+        kept = seeds.select(key, "occurrence").distinct().withColumn("belonging", F.lit(0.0))
+        held = stage(near.unionByName(kept).groupBy(key, "occurrence").agg(F.max("belonging").alias("belonging")), "belonging")
+        if k + 1 < rounds:
+            w = F.col("belonging") * F.greatest(F.col(weight), F.lit(0.01))
+            v = rows.select(kind, key, vector, weight).join(now.select("occurrence", kind), kind).join(held.where("belonging > 0"), [key, "occurrence"])
+            moved = v.groupBy("occurrence").agg(mean_vector(vector, dim, w).alias("_c"))
+            now = stage(now.join(moved, "occurrence", "left").withColumn("centroid", F.coalesce("_c", F.col("centroid").cast("array<double>"))).drop("_c"), "centres")
+    return held, now
+
+
+def merge_types(members: DataFrame, clusters: DataFrame, occurrence: DataFrame, key: str) -> DataFrame:
+    """(kind, key, occurrence): seeds once events of several types are merged into one occurrence of their heaviest type.
+
+    Events of one type keep the occurrences that they consist of.
+    """
+    x = clusters.join(occurrence.select("occurrence", "kind", "mass"), "occurrence")
+    by = x.groupBy("cluster", "kind").agg(F.sum("mass").alias("mass"))
+    lead = by.groupBy("cluster").agg(F.count("*").alias("kinds"), F.max_by("kind", F.struct("mass", "kind")).alias("lead"))
+    many = lead.where("kinds > 1").select("cluster", "lead")
+    to = clusters.join(many, "cluster", "left").select("occurrence", F.coalesce(F.concat(F.lit("event "), F.col("cluster").cast("string")), "occurrence").alias("_to"), "lead")
+    return members.join(to, "occurrence", "left").select(F.coalesce("lead", "kind").alias("kind"), key, F.coalesce("_to", "occurrence").alias("occurrence")).distinct()
+
+
+def retype(belonging: DataFrame, scores: DataFrame, occurrence: DataFrame, key: str, titles: DataFrame | None = None, least: float = 0.5) -> DataFrame:
+    """(occurrence, kind, type_score, best, best_score, type_confidence, retyped): does an occurrence's type fit its rows?
+
+    ``scores`` (key, kind, value) are the rows' values for each type; a type's score is
+    half the mean by belonging, over that of the best type, and half the likeness of
+    ``titles`` (occurrence, kind, similarity).  Below ``least`` of the best score the best
+    type takes over (of equal ones the first by name).
+    """
+    v = belonging.where("belonging > 0").join(scores, key).groupBy("occurrence", F.col("kind").alias("_k")).agg(F.sum(F.col("belonging") * F.col("value")).alias("_v"))
+    total = belonging.where("belonging > 0").groupBy("occurrence").agg(F.sum("belonging").alias("_b"))
+    kinds = scores.select(F.col("kind").alias("_k")).distinct()
+    x = occurrence.select("occurrence", "kind").crossJoin(F.broadcast(kinds)).join(v, ["occurrence", "_k"], "left").join(total, "occurrence", "left")  # the closed list of types
+    mean = F.coalesce(F.col("_v") / F.col("_b"), F.lit(0.0))
+    top = F.max(mean).over(Window.partitionBy("occurrence"))
+    x = x.withColumn("_n", F.when(top > 0, mean / top).otherwise(0.0))
+    if titles is not None:
+        x = x.join(titles.select("occurrence", F.col("kind").alias("_k"), "similarity"), ["occurrence", "_k"], "left")
+        x = x.withColumn("_s", 0.5 * F.col("_n") + 0.5 * F.greatest(F.coalesce("similarity", F.lit(0.0)), F.lit(0.0)))
+    else:
+        x = x.withColumn("_s", 0.5 * F.col("_n"))
+    best = x.groupBy("occurrence", "kind").agg(F.max(F.when(F.col("kind") == F.col("_k"), F.col("_s"))).alias("type_score"), F.max("_s").alias("best_score"), F.min_by("_k", F.struct((-F.col("_s")).alias("s"), "_k")).alias("best")).fillna(0.0, ["type_score"])
+    bad = (F.col("best_score") > 0) & (F.col("type_score") < least * F.col("best_score"))
+    conf = F.when(bad, 1.0).when(F.col("best_score") > 0, F.col("type_score") / F.col("best_score")).otherwise(1.0)
+    return best.select("occurrence", F.when(bad, F.col("best")).otherwise(F.col("kind")).alias("kind"), "type_score", "best", "best_score", conf.alias("type_confidence"), bad.alias("retyped"))
+
+
+def remap(clusters: DataFrame, old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(occurrence, cluster): events by the final occurrences, found by type and set of seeds; those without one go."""
+    sign = lambda m, name: m.select("occurrence", "kind", key).distinct().groupBy("occurrence", "kind").agg(F.array_sort(F.collect_list(key)).alias("_s")).withColumnRenamed("occurrence", name)
+    x = clusters.join(sign(old, "_old"), F.col("occurrence") == F.col("_old")).drop("occurrence", "_old")
+    got = x.join(sign(new, "_new"), ["kind", "_s"]).select(F.col("_new").alias("occurrence"), "cluster").distinct()
+    rank = got.groupBy("cluster").agg(F.min("occurrence").alias("_f"))
+    return got.join(rank, "cluster").select("occurrence", F.sha2(F.concat_ws("|", F.col("cluster").cast("string"), "_f"), 256).substr(1, 12).alias("cluster"))
+
+
+def type_ranking(clusters: DataFrame, occurrence: DataFrame) -> DataFrame:
+    """(cluster, kind, mass, place): types of an event by the mass of their occurrences."""
+    m = clusters.join(occurrence.select("occurrence", "kind", "mass"), "occurrence").groupBy("cluster", "kind").agg(F.sum("mass").alias("mass"))
+    return m.withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("mass"), "kind")))
+
+
+def occurrence_strength(occurrence: DataFrame, belonging: DataFrame, rows: DataFrame, key: str, outlet: str, tones: Sequence[str]) -> DataFrame:
+    """(occurrence, outlets, temporal_intensity, emotional_intensity, tone_coherence), ``tones`` being positive, neutral and negative.
+
+    Intensity: mass a day of the core, and mean |positive - negative| by belonging;
+    coherence: one less the entropy of tones over log2 3.
+    """
+    x = belonging.join(rows.select(key, outlet, *tones), key)
+    b = F.when(F.col("belonging") > 0, F.col("belonging"))
+    t = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in tones]
+    a = x.groupBy("occurrence").agg(F.count_distinct(outlet).alias("outlets"), F.sum(b).alias("_b"), F.sum(b * F.abs(t[0] - t[2])).alias("_e"), *[F.sum(b * c).alias(f"_t{i}") for i, c in enumerate(t)])
+    total = sum((F.col(f"_t{i}") for i in range(1, len(tones))), F.col("_t0"))
+    parts = [F.when((total > 0) & (F.col(f"_t{i}") > 0), -F.col(f"_t{i}") / total * F.log2(F.col(f"_t{i}") / total)).otherwise(0.0) for i in range(len(tones))]
+    h = sum(parts[1:], parts[0])
+    days = F.greatest(F.datediff("core_end", "core_start"), F.lit(1))
+    y = occurrence.join(a, "occurrence", "left")
+    return y.select("occurrence", F.coalesce("outlets", F.lit(0)).alias("outlets"), (F.col("mass") / days).alias("temporal_intensity"), F.when(F.col("_b") > 0, F.col("_e") / F.col("_b")).otherwise(0.0).alias("emotional_intensity"), F.when(F.col("_b") > 0, 1 - h / math.log2(3)).otherwise(0.0).alias("tone_coherence"))
+
+
+def occurrence_entities(belonging: DataFrame, entities: DataFrame, key: str, entity: str, least: int = 3) -> DataFrame:
+    """(occurrence, entity, n): entities that ``least`` or more of an occurrence's rows mention."""
+    x = belonging.select(key, "occurrence").distinct().join(entities.select(key, entity).distinct(), key)
+    return x.groupBy("occurrence", entity).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def burst_metrics(links: DataFrame, occurrence: DataFrame, burst: str = "burst_id", low: float = 0.40) -> DataFrame:
+    """One row a burst over its occurrences: number, types, mean confidence, how many are below ``low``, mean and total mass, and temporal_overlap.
+
+    temporal_overlap is the share of pairs whose cores meet.  Pairs aren't formed: two cores
+    don't meet if one begins after the other ends, so for each end the later starts are counted.
+    """
+    x = links.select(burst, "occurrence").distinct().join(occurrence, "occurrence")
+    base = x.groupBy(burst).agg(F.count("*").alias("n_occurrences"), F.count_distinct("kind").alias("n_types"), F.avg("confidence").alias("mean_confidence"), F.count_if(F.col("confidence") < low).alias("n_low_confidence"), F.avg("mass").alias("mean_mass"), F.sum("mass").alias("total_mass"))
+    marks = x.select(burst, F.explode(F.array(F.struct(F.col("core_start").alias("day"), F.lit(0).alias("is_end")), F.struct(F.col("core_end").alias("day"), F.lit(1).alias("is_end")))).alias("m")).select(burst, "m.*")
+    # starts before an end or on its day come first
+    seen = F.sum(1 - F.col("is_end")).over(Window.partitionBy(burst).orderBy("day", "is_end").rowsBetween(Window.unboundedPreceding, 0))
+    apart = marks.withColumn("_seen", seen).withColumn("_all", F.sum(1 - F.col("is_end")).over(Window.partitionBy(burst))).where("is_end = 1").groupBy(burst).agg(F.sum(F.col("_all") - F.col("_seen")).alias("_apart"))
+    n = F.col("n_occurrences")
+    return base.join(apart, burst).withColumn("temporal_overlap", F.when(n > 1, 1 - F.col("_apart") / (n * (n - 1) / 2)).otherwise(0.0)).drop("_apart")
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -140,8 +288,6 @@ def attribute(occurrence: DataFrame, belonging: DataFrame, bursts: DataFrame, ro
 
 
 def strength(mass: Column, coverage: Column, intensity: Column, coherence: Column, diversity: Column) -> Column:
-    import math
-
     one = F.lit(1.0)
     return 0.20 * F.least(one, F.log2(1 + mass) / math.log2(101)) + 0.25 * coverage + 0.20 * F.least(one, F.log2(1 + intensity) / math.log2(51)) + 0.15 * coherence + 0.20 * diversity
 
@@ -219,8 +365,8 @@ def split_disconnected(clusters: DataFrame, occurrence: DataFrame, members: Data
     from ..functions.exprs import cosine
     from .graph import components
 
-    o = clusters.join(occurrence.select("occurrence", "peak"), "occurrence").join(centres.select("occurrence", "centroid"), "occurrence").withColumn("id", F.xxhash64("occurrence"))
-    held = clusters.join(members.select("occurrence", key).distinct(), "occurrence").withColumn("id", F.xxhash64("occurrence")).select("cluster", key, "id")
+    o = clusters.join(occurrence.select("occurrence", "peak"), "occurrence").join(centres.select("occurrence", "centroid"), "occurrence").withColumn("id", F.col("occurrence"))
+    held = clusters.join(members.select("occurrence", key).distinct(), "occurrence").withColumn("id", F.col("occurrence")).select("cluster", key, "id")
     shared = held.withColumnRenamed("id", "src").join(held.withColumnRenamed("id", "dst"), ["cluster", key]).where("src < dst").select("src", "dst")
     a, b = o.select("cluster", F.col("id").alias("src"), F.col("peak").alias("p1"), F.col("centroid").alias("c1")), o.select("cluster", F.col("id").alias("dst"), F.col("peak").alias("p2"), F.col("centroid").alias("c2"))
     alike = a.join(b, "cluster").where((F.col("src") < F.col("dst")) & (F.abs(F.datediff("p1", "p2")) <= gap_days) & (cosine(F.col("c1"), F.col("c2")) >= near)).select("src", "dst")

@@ -21,10 +21,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def basic(edges: DataFrame) -> DataFrame:
     """One row: nodes, edges, density, mean degree, triangles, transitivity, mean clustering, assortativity, s-metric, R0."""
-    two = both_ways(edges)
-    d = two.groupBy("src").agg(F.count("*").alias("k"))
+    two = stage(both_ways(edges), "graph-edges")
+    d = stage(two.groupBy("src").agg(F.count("*").alias("k")), "graph-degrees")
     n = d.agg(F.count("*").alias("n"), F.sum("k").alias("m2"), F.avg("k").alias("mean_degree"), F.var_pop("k").alias("_v"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("_t"))
-    up = two.where("src < dst")
+    # edges point to the end of more neighbours, so that a hub's own pairs are few
+    up = two.join(d.withColumnRenamed("k", "ka"), "src").join(d.select(F.col("src").alias("dst"), F.col("k").alias("kb")), "dst").where(F.struct("ka", "src") < F.struct("kb", "dst")).select("src", "dst")
     tri = up.alias("a").join(up.alias("b"), F.col("a.dst") == F.col("b.src")).join(up.alias("c"), (F.col("a.src") == F.col("c.src")) & (F.col("b.dst") == F.col("c.dst"))).select(F.col("a.src").alias("x"), F.col("a.dst").alias("y"), F.col("b.dst").alias("z"))
     per = tri.select(F.explode(F.array("x", "y", "z")).alias("src")).groupBy("src").agg(F.count("*").alias("t"))
     local = d.join(per, "src", "left").select(F.coalesce("t", F.lit(0)).alias("t"), F.when(F.col("k") > 1, F.coalesce("t", F.lit(0)) * 2 / (F.col("k") * (F.col("k") - 1))).otherwise(0.0).alias("c"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
@@ -181,3 +183,56 @@ def succession(bursts: DataFrame, group: str, within: int = 21, permutations: in
         return pd.DataFrame([(names[x // k], names[x % k], int(seen[x]), float(z[x])) for x in range(k * k)], columns=["before", "after", "n", "z"])
 
     return bursts.select("burst_id", group, "onset", "end").groupBy().applyInPandas(run, "before string, after string, n long, z double")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, left_day: str, right_day: str, sigma: float = 21.0, least: float = 0.01) -> DataFrame:
+    """Rows of two tables whose days are near: Gaussian proximity of ``least`` and more, as ``proximity``.
+
+    The gate bounds the days between them, so both are joined on buckets of that many
+    days (each row meets its own and the next ones), not all with all.
+    """
+    reach = int(math.floor(sigma * math.sqrt(-2 * math.log(least))))
+    epoch = F.lit("1970-01-01").cast("date")
+    a = left.withColumn("_k", F.floor(F.datediff(left_day, epoch) / (reach + 1)))
+    b = right.withColumn("_k", F.explode(F.array(*[F.floor(F.datediff(right_day, epoch) / (reach + 1)) + i for i in (-1, 0, 1)])))
+    return a.join(b, "_k").withColumn("proximity", proximity(left_day, right_day, sigma)).where(F.col("proximity") >= least).drop("_k")
+
+
+def content_relevance(affinity: Column, alignment: Column, saturation: float = 0.20, floor: float = 0.30) -> Column:
+    """A gate from ``floor`` to 1: 0.6 of the share of a frame (full at ``saturation``), 0.4 of likeness (half if unknown)."""
+    raw = 0.60 * F.least(F.lit(1.0), affinity / saturation) + 0.40 * F.coalesce(F.least(F.greatest(alignment, F.lit(0.0)), F.lit(1.0)), F.lit(0.5))
+    return floor + (1 - floor) * F.least(F.lit(1.0), raw)
+
+
+def attribution_confidence(p: Column, permuted: Column, content: Column, near: Column, alpha: float = 0.10, fdr: float = 0.10) -> Column:
+    """0.30 of the best p-value, 0.30 of the permutation's, 0.25 of content, 0.15 of time; each 0 to 1."""
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return 0.30 * unit(1 - p / alpha) + 0.30 * unit(1 - permuted / fdr) + 0.25 * unit(content) + 0.15 * unit(near)
+
+
+def magnitude(effects: DataFrame, source: str, beta: str, weight: str) -> DataFrame:
+    """(source, magnitude): the length of a source's effects over all targets, times its weight."""
+    return effects.groupBy(source).agg((F.sqrt(F.sum(F.col(beta) * F.col(beta))) * F.max(weight)).alias("magnitude"))
+
+
+def shift_contribution(effects: DataFrame, timeline: DataFrame, source: str, target: str, beta: str, peak: str, day: str, value: str, window: int = 7) -> DataFrame:
+    """(source, contribution): sum over targets of |effect| times the change of the target from ``window`` rows before the peak to as many after.
+
+    The timeline's rows are numbered once for all targets; the row nearest to the peak
+    (the earlier of two) is found by an ordered pass over both, not pair by pair.
+    """
+    days = timeline.select(day).distinct().withColumn("_i", F.row_number().over(Window.orderBy(day)))  # a row a day
+    last = days.agg(F.max("_i").alias("_n"))
+    asked = effects.select(F.col(peak).alias(day)).distinct()
+    both = asked.withColumn("_ask", F.lit(1)).unionByName(days.select(day, F.lit(0).alias("_ask")))
+    w = Window.orderBy(day, F.desc("_ask"))
+    at = F.when(F.col("_ask") == 0, F.col(day))
+    before = F.last(at, True).over(Window.orderBy(day, "_ask").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(at, True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = both.withColumns({"_b": before, "_a": after}).where("_ask = 1")
+    near = near.withColumn("_d", F.when(F.col("_a").isNull() | (F.datediff(day, "_b") <= F.datediff("_a", day)), F.col("_b")).otherwise(F.col("_a")))
+    spot = near.select(F.col(day).alias(peak), F.col("_d").alias(day)).join(days, day).crossJoin(F.broadcast(last)).select(peak, F.greatest(F.col("_i") - window, F.lit(1)).alias("_lo"), F.least(F.col("_i") + window, "_n").alias("_hi"))
+    v = timeline.select(target, day, value).join(days, day)
+    x = effects.join(spot, peak)
+    x = x.join(v.select(target, F.col("_i").alias("_lo"), F.col(value).alias("_v0")), [target, "_lo"]).join(v.select(target, F.col("_i").alias("_hi"), F.col(value).alias("_v1")), [target, "_hi"])
+    return x.groupBy(source).agg(F.sum(F.abs(beta) * F.abs(F.col("_v1") - F.col("_v0"))).alias("contribution"))

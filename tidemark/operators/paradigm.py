@@ -108,27 +108,48 @@ def episodes(shift: DataFrame, gap_days: int = 21) -> DataFrame:
 
 
 def weighted_lift(bursts: DataFrame, timeline: DataFrame, group: str, day: str, value: str, after: int = 42, before: int = 14) -> DataFrame:
-    """Mean of a burst's group from its onset on, weights falling linearly, less the mean of the days before."""
-    spans = bursts.select("burst_id", group, "onset", F.explode(F.sequence(F.date_sub("onset", before), F.date_add("onset", after))).alias(day))
-    x = spans.join(timeline, [group, day]).withColumn("k", F.datediff(day, "onset"))
-    w = F.when(F.col("k") >= 0, 1 - F.col("k") / (after + 1))
-    lift = F.sum(w * F.col(value)) / F.sum(w) - F.avg(F.when(F.col("k") < 0, F.col(value)))
-    return x.groupBy("burst_id").agg(F.coalesce(lift, F.lit(0.0)).alias("own_lift"))
+    """(burst_id, own_lift, structural): what changes with a burst, weights falling linearly over ``after`` days from its onset.
+
+    own_lift: mean of its own group's value less the mean of the days before (of all days
+    where there are none).  structural: cosine distance of all groups' values before and after.
+    """
+    k = F.datediff(day, "onset")
+    near = bursts.select("burst_id", F.col(group).alias("_own"), "onset", F.explode(F.sequence(F.date_sub("onset", before), F.date_add("onset", after))).alias(day))
+    w = F.when(k >= 0, 1 - k / after)
+    x = near.join(timeline.select(group, day, value), day).groupBy("burst_id", "_own", group).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("_post"), F.avg(F.when(k < 0, F.col(value))).alias("_pre"))
+    x = x.join(timeline.groupBy(group).agg(F.avg(value).alias("_all")), group).withColumn("_pre", F.coalesce("_pre", "_all"))
+    own = F.max(F.when(F.col("_own") == F.col(group), F.col("_post") - F.col("_pre")))
+    length = F.sqrt(F.sum(F.col("_pre") * F.col("_pre"))) * F.sqrt(F.sum(F.col("_post") * F.col("_post")))
+    far = F.when((F.count("*") > 1) & (length > 0), 1 - F.least(F.lit(1.0), F.sum(F.col("_pre") * F.col("_post")) / length)).otherwise(0.0)
+    return x.groupBy("burst_id").agg(F.coalesce(own, F.lit(0.0)).alias("own_lift"), F.coalesce(far, F.lit(0.0)).alias("structural"))
+
+
+def composition(scores: DataFrame, group: str, day: str, value: str, dominant: Column) -> DataFrame:
+    """(day, group, share, size): values of the dominant groups over their sum, zero for the others, and how many dominate."""
+    w = Window.partitionBy(day)
+    x = scores.withColumn("_v", F.when(dominant, F.col(value)).otherwise(0.0)).withColumn("_k", F.count(F.when(dominant, 1)).over(w))
+    total = F.sum("_v").over(w)
+    return x.select(day, group, F.when(total > 0, F.col("_v") / total).otherwise(0.0).alias("share"), F.col("_k").alias("size"))
+
+
+def size_label(size: Column) -> Column:
+    return F.when(size == 0, "none").when(size == 1, "mono").when(size == 2, "dual").when(size == 3, "triple").otherwise("multiple")
 
 
-def attribute(shift: DataFrame, bursts: DataFrame, lifts: DataFrame, group: str, lookback_days: int = 84, least_score: float = 0.40, lift: float = 0.05) -> DataFrame:
-    """Bursts that overlap or precede a shift, with their part in it: amplification, destabilisation or dormant.
+def attribute(shift: DataFrame, bursts: DataFrame, lifts: DataFrame, group: str, lookback_days: int = 84, least_score: float = 0.40, lift: float = 0.05, moved: float = 0.010) -> DataFrame:
+    """Bursts that overlap or precede a shift, with their part in it: amplification (its own group rises),
+    destabilisation (the structure of all groups moves, without that) or dormant.
 
     Joined on exploded lookback days, not pair by pair.
     """
-    b = bursts.where(F.col("total") >= least_score).join(lifts, "burst_id", "left").fillna(0, ["own_lift"])
+    b = bursts.where(F.col("total") >= least_score).join(lifts, "burst_id", "left").fillna(0.0, ["own_lift", "structural"])
     reach = b.withColumn("shift_date", F.explode(F.sequence(F.col("onset"), F.date_add("end", lookback_days))))
-    x = shift.select("shift_id", "shift_date", "entering", "exiting", "after").join(reach, "shift_date")
+    x = shift.select("shift_id", "shift_date", "entering", "exiting", "after", "concentration_change").join(reach, "shift_date")
     overlap = clip((F.datediff(F.least("end", "shift_date"), F.greatest("onset", F.date_sub("shift_date", lookback_days))) + 1) / lookback_days, 0, 1)
     recent = 1 - clip(F.datediff("shift_date", F.least("end", "shift_date")) / lookback_days, 0, 1)
     x = x.withColumn("temporal_score", 0.5 * overlap + 0.5 * recent)
     align = F.when(F.array_contains("entering", F.col(group)), 1.0).when(F.array_contains("after", F.col(group)), 0.7).otherwise(0.3)
-    role = F.when(F.col("own_lift") > lift, "amplification").when((F.size("exiting") > 0) & ~F.array_contains("after", F.col(group)) & (F.col("own_lift") < -lift), "destabilisation").otherwise("dormant")
-    size = F.least(F.abs("own_lift") / 0.5, F.lit(1.0))
-    score = F.when(role == "dormant", 0.5 * F.col("temporal_score") + 0.5 * F.col("total")).otherwise(0.30 * F.col("temporal_score") + 0.35 * size + 0.20 * F.col("total") + 0.15 * align)
-    return x.select("shift_id", "burst_id", group, role.alias("role"), score.alias("attribution_score"), "temporal_score", "own_lift")
+    role = F.when(F.col("own_lift") > lift, "amplification").when(F.col("structural") > moved, "destabilisation").otherwise("dormant")
+    size = F.when(role == "destabilisation", F.least(F.col("structural") / 0.10, F.lit(1.0))).otherwise(F.least(F.abs("own_lift") / 0.5, F.lit(1.0)))
+    score = F.when(role == "dormant", 0.5 * F.col("temporal_score") + 0.5 * F.col("total")).otherwise(0.30 * F.col("temporal_score") + 0.35 * size + 0.20 * F.col("total") + 0.15 * F.when(role == "destabilisation", F.least(F.col("_cc") / 0.3, F.lit(1.0))).otherwise(align))
+    return x.select("shift_id", "burst_id", group, role.alias("role"), score.alias("attribution_score"), "temporal_score", "own_lift", "structural")

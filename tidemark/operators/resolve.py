@@ -78,11 +78,12 @@ def pairs(entities: DataFrame, name: str = "name", kind: str = "type") -> DataFr
 def resolve(entities: DataFrame, threshold: float = 0.75, name: str = "name", kind: str = "type", count: str = "n") -> DataFrame:
     """(type, name, n, canonical): names joined at ``threshold`` and above; the canonical one is the longest of the most frequent.
 
-    Components are found on row ids by contraction; nothing is gathered.
+    Components are found on typed names by contraction; nothing is gathered.
     """
     e = entities.groupBy(F.col(kind).alias("type"), F.col(name).alias("name")).agg(F.sum(count).alias("n"))
-    ids = e.withColumn("id", F.xxhash64("type", "name"))
-    links = pairs(e).where(F.col("score") >= threshold).select(F.xxhash64("type", "a").alias("src"), F.xxhash64("type", "b").alias("dst"))
+    ident = lambda n: F.concat_ws("\u0001", "type", n)
+    ids = e.withColumn("id", ident("name"))
+    links = pairs(e).where(F.col("score") >= threshold).select(ident("a").alias("src"), ident("b").alias("dst"))
     comp = components(links)
     x = ids.join(comp, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
     w = Window.partitionBy("type", "c")

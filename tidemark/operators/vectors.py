@@ -148,3 +148,63 @@ def blended_vectors(rows: DataFrame, doc: str, part: str, vector: str, dim: int,
     mixed = F.zip_with("_t", "_b", lambda t, b: title_weight * t + (1 - title_weight) * b)
     return agg.select(doc, F.when((F.col("_ht") == 1) & (F.col("_hb") == 1), mixed).when(F.col("_hb") == 1, F.col("_b")).when(F.col("_ht") == 1, F.col("_t")).otherwise(F.col("_a")).alias(vector))
 
+
+
+def profile_correlations(rows: DataFrame, groups: Sequence[str], actor: str, item: str, items: Sequence, tenths: int = 7) -> DataFrame:
+    """(groups, actors, pairs): actors with a varied profile of counts over ``items``, and pairs of them whose profiles correlate by ``tenths`` / 10 or more.
+
+    Actors of one profile count together: distinct profiles are compared, as arrays of
+    whole numbers, so that a correlation right at the threshold is decided exactly, and
+    no number of actors is ever gathered.
+    """
+    k = len(items)
+    counts = rows.groupBy(*groups, actor).agg(F.array(*[F.count(F.when(F.col(item) == F.lit(i), 1)) for i in items]).alias("_v"))
+    prof = counts.groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    inner = lambda a, b: total(F.zip_with(a, b, lambda x, y: x * y))
+    prof = prof.withColumn("_t", total("_v")).withColumn("_q", k * inner("_v", "_v") - F.col("_t") * F.col("_t")).where("_q > 0")
+    from ..functions.staging import stage
+
+    prof = stage(prof, "profiles")
+    other = prof.select(*groups, *[F.col(c).alias(f"{c}2") for c in ("_v", "_n", "_t", "_q")])
+    cov = k * inner("_v", "_v2") - F.col("_t") * F.col("_t2")
+    alike = prof.join(other, list(groups)).withColumn("_c", cov).where((F.col("_c") > 0) & (100 * F.col("_c") * F.col("_c") >= tenths * tenths * F.col("_q") * F.col("_q2")))
+    # ordered pairs of actors of two profiles, and of one; half of them all
+    both = F.when(F.col("_v") == F.col("_v2"), F.col("_n") * (F.col("_n") - 1)).otherwise(F.col("_n") * F.col("_n2"))
+    pairs = alike.groupBy(*groups).agg((F.sum(both) / 2).cast("long").alias("pairs"))
+    return prof.groupBy(*groups).agg(F.sum("_n").alias("actors")).join(pairs, list(groups), "left").fillna(0, ["pairs"])
+
+
+def convergence_metrics(rows: DataFrame, group: str, key: str, day: str, outlet: str, actor: str, vector: str, dim: int, threshold: float = 0.95) -> DataFrame:
+    """Everything that says whether a group's rows come to say the same, one row a group:
+
+    n, syndicated (rows that repeat an earlier one), syndication (their share), similarity
+    (mean cosine of all pairs of the others), slope and r2 of its trend over five parts
+    in time (0 below ten rows), alignment (of the outlets' means, two rows and more),
+    decay and last_novelty, and coordination (of the actors' means over all rows).
+    """
+    from ..functions.staging import stage
+
+    x = stage(rows.where(F.col(vector).isNotNull()).select(group, key, day, outlet, actor, vector).dropDuplicates([group, key]), "vectors")
+    gone = near_duplicates(x, group, key, vector, threshold).where("NOT kept").select(group, key)
+    keep = stage(x.join(gone, [group, key], "left_anti"), "kept-vectors")
+    base = x.groupBy(group).agg(F.count("*").alias("n")).join(gone.groupBy(group).agg(F.count("*").alias("syndicated")), group, "left").fillna(0, ["syndicated"])
+    sim = mean_pairwise(keep, [group], vector, dim).select(group, "similarity")
+    enough = keep.join(keep.groupBy(group).count().where("count >= 10").select(group), group)
+    trend = convergence_trend(enough, group, [day, key], vector, dim).select(group, "slope", "r2")
+    means = lambda by, df, least: mean_pairwise(centroids(df, [group, by], vector, dim).where(F.col("n") >= least).drop("n"), [group], "centroid", dim)
+    align = means(outlet, keep, 2).select(group, F.col("similarity").alias("alignment"))
+    together = means(actor, x, 1).select(group, F.col("similarity").alias("coordination"))
+    fresh = novelty(keep, group, [day, key], vector).select(group, "decay", "last_novelty")
+    out = base.withColumn("syndication", F.col("syndicated") / F.col("n"))
+    for part in (sim, trend, align, fresh, together):
+        out = out.join(part, group, "left")
+    return out.fillna(0.0, ["similarity", "slope", "r2", "alignment", "decay", "last_novelty", "coordination"])
+
+
+def driver_alignment(links: DataFrame, sources: DataFrame, target: str, source: str, strength: str, vector: str, dim: int) -> DataFrame:
+    """``links`` (target, source, strength, driver boolean) with the cosine of each source's vector and its target's drivers' mean, weighted by strength; null without drivers."""
+    x = links.join(sources.select(source, unit(F.col(vector)).alias("_u")), source, "left")
+    d = x.where(F.col("driver") & F.col("_u").isNotNull() & (F.col(strength) > 0))
+    mean = d.groupBy(target).agg(mean_vector("_u", dim, F.col(strength)).alias("_m"))
+    return x.join(mean, target, "left").withColumn("alignment", F.when(F.col("_m").isNotNull() & F.col("_u").isNotNull(), cosine(F.col("_u"), F.col("_m")))).drop("_u", "_m")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.staging import stage
 from ..operators import detect, events as ev, impact, paradigm, resolve, series, vectors
 from . import detect_queries as dq
-from .tables import articles, daily, table, vocabulary
+from ..functions.exprs import rounded
+from .tables import ARTICLES, DAILY, WINDOWS, articles, daily, fisher_tail, odds, table, vocabulary, windows
 
 Q: dict = {}
 SQL: dict = {}
@@ -119,10 +120,12 @@ def _scored(spark, sf):
     return detect.score_bursts(b, dq.rows(spark, sf), "f", "d", "c", "outlet", "s")
 
 
-@query("weighted_lift")
+@query("weighted_lift", f"""WITH {DAILY}, {WINDOWS}, a AS (SELECT f, avg(p) AS a FROM s GROUP BY 1), x AS (SELECT burst_id, b.f AS own, s.f, p, d - onset AS k FROM b JOIN s ON d BETWEEN onset - 14 AND onset + 42),
+g AS (SELECT burst_id, own, x.f, sum((1 - k / 42) * p) FILTER (k >= 0) / sum(1 - k / 42) FILTER (k >= 0) AS post, coalesce(avg(p) FILTER (k < 0), max(a)) AS pre FROM x JOIN a ON a.f = x.f GROUP BY 1, 2, 3)
+SELECT burst_id, round(coalesce(max(post - pre) FILTER (own = f), 0), 6) + 0.0 AS own_lift, round(coalesce(1 - least(1, sum(pre * post) / sqrt(sum(pre * pre)) / sqrt(sum(post * post))), 0), 6) + 0.0 AS structural FROM g GROUP BY 1""")
 def weighted_lift(spark, sf):
-    b = detect.detect_bursts(dq.signals(spark, sf), "f", "d", "composite", dq.LOW_BAR)
-    return paradigm.weighted_lift(b, daily(spark, sf).select("f", "d", "proportion"), "f", "d", "proportion")
+    got = paradigm.weighted_lift(windows(spark, sf), daily(spark, sf).select("f", "d", "proportion"), "f", "d", "proportion")
+    return got.withColumns({c: rounded(F.col(c)) for c in ("own_lift", "structural")})
 
 
 @query("shift_attribution")
@@ -132,16 +135,19 @@ def shift_attribution(spark, sf):
     return paradigm.attribute(paradigm.shifts(_states(spark, sf)), b, lifts, "f", least_score=0.0)
 
 
-@query("prevalence_ratios")
+@query("prevalence_ratios", f"""WITH {DAILY}, {WINDOWS}, inside AS (SELECT DISTINCT s.f, s.d FROM s JOIN b ON b.f = s.f AND s.d BETWEEN onset AND "end"), x AS (SELECT o.f, inside.d IS NOT NULL AS i, v, s FROM o LEFT JOIN inside ON inside.f = o.f AND inside.d = o.d),
+l AS (SELECT f, 'dear' AS flag, i, v > 150000 AS hit FROM x UNION ALL SELECT f, 'open', i, s = 'O' FROM x), t AS (SELECT f, flag, count(*) FILTER (i AND hit) AS a, count(*) FILTER (i AND NOT hit) AS b, count(*) FILTER (NOT i AND hit) AS c, count(*) FILTER (NOT i AND NOT hit) AS d FROM l GROUP BY 1, 2),
+p AS (SELECT *, {odds("a", "b", "c", "d")}, {fisher_tail("a", "b", "c", "d")} AS pv FROM t), r AS (SELECT *, row_number() OVER (ORDER BY pv, f, flag) AS i, count(*) OVER () AS n FROM p)
+SELECT f, flag, a, b, c, d, odds, low, high, round(pv, 6) + 0.0 AS p, round(least(1, min(pv * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS q FROM r""")
 def prevalence_ratios(spark, sf):
-    b = detect.detect_bursts(dq.signals(spark, sf), "f", "d", "composite", dq.LOW_BAR)
-    return impact.prevalence(articles(spark, sf), b, "f", "d", {"dear": F.col("v") > 150_000, "open": F.col("s") == "O"})
+    got = impact.prevalence(articles(spark, sf), windows(spark, sf), "f", "d", {"dear": F.col("v") > 150_000, "open": F.col("s") == "O"})
+    return got.withColumns({c: rounded(F.col(c)) for c in ("odds", "low", "high", "p", "q")})
 
 
-@query("pre_onset_surge")
+@query("pre_onset_surge", f"""WITH {DAILY}, {WINDOWS}, n AS (SELECT f, d, count(*) AS n FROM o GROUP BY f, d), x AS (SELECT burst_id, b.f, sum(n) FILTER (onset - d <= 7) AS a, sum(n) FILTER (onset - d > 7) AS z FROM b LEFT JOIN n ON n.f = b.f AND d BETWEEN onset - 37 AND onset - 1 GROUP BY 1, 2)
+SELECT burst_id, f, round(coalesce(a, 0) / 7, 6) + 0.0 AS rate, round(coalesce(z, 0) / 30, 6) + 0.0 AS base, CASE WHEN z > 0 THEN round((coalesce(a, 0) / 7) / (z / 30), 6) + 0.0 END AS surge FROM x""")
 def pre_onset_surge(spark, sf):
-    b = detect.detect_bursts(dq.signals(spark, sf), "f", "d", "composite", dq.LOW_BAR)
-    return impact.surge(articles(spark, sf), b, "f", "d")
+    return impact.surge(articles(spark, sf), windows(spark, sf), "f", "d").withColumns({c: rounded(F.col(c)) for c in ("rate", "base", "surge")})
 
 
 def _weekly_mass(spark, sf):
@@ -203,24 +209,14 @@ def location_resolution(spark, sf):
     return resolve.resolve(n.groupBy("name").agg(F.count("*").alias("n")).withColumn("type", F.lit("LOC")))
 
 
-@query("group_correlations")
+@query("group_correlations", f"""WITH {ARTICLES}, v AS (SELECT year(d) AS yr, c, count(*) FILTER (f = '1-URGENT') AS a1, count(*) FILTER (f = '2-HIGH') AS a2, count(*) FILTER (f = '3-MEDIUM') AS a3, count(*) FILTER (f = '4-NOT SPECIFIED') AS a4, count(*) FILTER (f = '5-LOW') AS a5 FROM o GROUP BY 1, 2),
+x AS MATERIALIZED (SELECT *, a1 + a2 + a3 + a4 + a5 AS t, 5 * (a1 * a1 + a2 * a2 + a3 * a3 + a4 * a4 + a5 * a5) - (a1 + a2 + a3 + a4 + a5) ** 2 AS q FROM v), y AS MATERIALIZED (SELECT * FROM x WHERE q > 0),
+p AS (SELECT y.yr, count(*) AS pairs FROM y JOIN y z ON y.yr = z.yr AND y.c < z.c WHERE 5 * (y.a1 * z.a1 + y.a2 * z.a2 + y.a3 * z.a3 + y.a4 * z.a4 + y.a5 * z.a5) - y.t * z.t > 0 AND 100 * (5 * (y.a1 * z.a1 + y.a2 * z.a2 + y.a3 * z.a3 + y.a4 * z.a4 + y.a5 * z.a5) - y.t * z.t) ** 2 >= 49 * y.q * z.q GROUP BY 1)
+SELECT CAST(yr AS INTEGER) AS yr, count(*) AS actors, coalesce(max(pairs), 0) AS pairs FROM y LEFT JOIN p USING (yr) GROUP BY yr""")
 def group_correlations(spark, sf):
-    """Pairs of customers whose yearly counts by frame go together (0.7 and more), within each year's kernel."""
-    import numpy as np
-    import pandas as pd
-
-    x = articles(spark, sf).groupBy(F.year("d").alias("yr"), "c").pivot("f", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]).count().fillna(0)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = pdf.drop(columns=["yr", "c"]).to_numpy(float)
-        keep = m.std(1) > 0
-        with np.errstate(invalid="ignore"):
-            r = np.corrcoef(m[keep]) if keep.sum() > 1 else np.zeros((1, 1))
-        return pd.DataFrame([(int(pdf["yr"].iloc[0]), int((np.triu(r, 1) >= 0.7).sum()), int(keep.sum()))], columns=["yr", "pairs", "actors"])
-
-    return x.groupBy("yr").applyInPandas(run, "yr int, pairs long, actors long")
-
-
+    """Pairs of customers whose yearly counts by frame go together (0.7 and more), by year."""
+    x = articles(spark, sf).withColumn("yr", F.year("d"))
+    return vectors.profile_correlations(x, ["yr"], "c", "f", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], 7)
 
 
 @query("event_parts")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions.exprs import rounded
 from ..operators import detect, graph, relational, series
-from .tables import ARTICLES, articles, daily, table
+from .tables import ARTICLES, DAILY, articles, daily, fisher_tail, normal_tail, odds, student_tail, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -67,7 +68,8 @@ def per_group(df: DataFrame, group: str, f, schema: str) -> DataFrame:
     return df.groupBy(group).applyInPandas(run, schema)
 
 
-@query("binomial_tail")
+@query("binomial_tail", f"""WITH {DAILY}, b AS (SELECT f, sum(n) / sum(total) AS base FROM s GROUP BY f), m AS (SELECT f, CAST(date_trunc('month', d) AS DATE) AS month, CAST(sum(n) AS BIGINT) AS n, CAST(sum(total) AS BIGINT) AS total FROM s GROUP BY 1, 2)
+SELECT f, month, n, total, round(CASE WHEN n <= 0 THEN 1 ELSE (SELECT coalesce(sum(exp(lgamma(total + 1) - lgamma(i + 1) - lgamma(total - i + 1) + i * ln(base) + (total - i) * ln(1 - base))), 0) FROM range(n, total + 1) q(i)) END, 6) + 0.0 AS p FROM m JOIN b USING (f)""")
 def binomial_tail(spark, sf):
     """P of as many rows or more, for each frame and month against the frame's overall share."""
     s = daily(spark, sf)
@@ -77,10 +79,15 @@ def binomial_tail(spark, sf):
     def run(p):
         return [(r.f, r.month, int(r.n), int(r.total), stats.binom_sf(int(r.n), int(r.total), r.base)) for r in p.itertuples()]
 
-    return per_group(m, "f", run, "f string, month date, n long, total long, p double")
+    return per_group(m, "f", run, "f string, month date, n long, total long, p double").withColumn("p", rounded(F.col("p")))
 
 
-@query("mann_whitney")
+HALVES = """h AS (SELECT f, d, p, CASE WHEN row_number() OVER (PARTITION BY f ORDER BY d) > count(*) OVER (PARTITION BY f) // 2 THEN 1 ELSE 0 END AS late FROM s)"""
+
+
+@query("mann_whitney", f"""WITH {DAILY}, {HALVES}, r AS (SELECT *, rank() OVER (PARTITION BY f ORDER BY p) + (count(*) OVER (PARTITION BY f, p) - 1) / 2 AS r FROM h),
+t AS (SELECT f, sum(c * c * c - c) AS ties FROM (SELECT f, p, count(*) AS c FROM h GROUP BY f, p) GROUP BY f), u AS (SELECT f, sum(late) AS n, sum(1 - late) AS m, count(*) AS k, sum(CASE WHEN late = 1 THEN r END) - sum(late) * (sum(late) + 1) / 2 AS u FROM r GROUP BY f),
+z AS (SELECT f, u, (u - n * m / 2 - 0.5) / sqrt(n * m / 12 * (k + 1 - ties / (k * (k - 1)))) AS z FROM u JOIN t USING (f)) SELECT f, round(u, 6) + 0.0 AS u, round({normal_tail("z")}, 6) + 0.0 AS p FROM z""")
 def mann_whitney(spark, sf):
     """Is a frame's daily share greater in the second half of the time than in the first?"""
 
@@ -89,19 +96,21 @@ def mann_whitney(spark, sf):
         u, q = stats.mann_whitney(x[len(x) // 2 :], x[: len(x) // 2])
         return [(p["f"].iloc[0], u, q)]
 
-    return per_group(daily(spark, sf), "f", run, "f string, u double, p double")
+    return per_group(daily(spark, sf), "f", run, "f string, u double, p double").withColumns({"u": rounded(F.col("u")), "p": rounded(F.col("p"))})
 
 
-@query("welch")
+@query("welch", f"""WITH {DAILY}, {HALVES}, a AS (SELECT f, avg(p) FILTER (late = 1) AS m1, avg(p) FILTER (late = 0) AS m0, var_samp(p) FILTER (late = 1) / count(*) FILTER (late = 1) AS v1, var_samp(p) FILTER (late = 0) / count(*) FILTER (late = 0) AS v0, count(*) FILTER (late = 1) AS n1, count(*) FILTER (late = 0) AS n0 FROM h GROUP BY f),
+t AS (SELECT f, (m1 - m0) / sqrt(v1 + v0) AS t, (v1 + v0) ** 2 / (v1 ** 2 / (n1 - 1) + v0 ** 2 / (n0 - 1)) AS df FROM a) SELECT f, round(t, 6) + 0.0 AS t, round(2 * {student_tail("abs(t)", "df")}, 6) + 0.0 AS p FROM t""")
 def welch(spark, sf):
     def run(p):
         x = p.sort_values("d")["proportion"].to_numpy()
         return [(p["f"].iloc[0], *stats.welch(x[len(x) // 2 :], x[: len(x) // 2]))]
 
-    return per_group(daily(spark, sf), "f", run, "f string, t double, p double")
+    return per_group(daily(spark, sf), "f", run, "f string, t double, p double").withColumns({"t": rounded(F.col("t")), "p": rounded(F.col("p"))})
 
 
-@query("fisher")
+@query("fisher", f"""WITH {ARTICLES}, t AS (SELECT f, count(*) FILTER (v > 150000 AND s = 'F') AS a, count(*) FILTER (v <= 150000 AND s = 'F') AS b, count(*) FILTER (v > 150000 AND s <> 'F') AS c, count(*) FILTER (v <= 150000 AND s <> 'F') AS d FROM o GROUP BY f)
+SELECT f, {odds("a", "b", "c", "d")}, round({fisher_tail("a", "b", "c", "d")}, 6) + 0.0 AS p FROM t""")
 def fisher(spark, sf):
     """Odds of a dear order among finished ones, by frame; the table's cells come from one aggregation."""
     dear, done = F.col("v") > 150_000, F.col("s") == "F"
@@ -111,16 +120,18 @@ def fisher(spark, sf):
     def run(p):
         return [(r.f, *stats.odds_ratio(r.a, r.b, r.c, r.d), stats.fisher_exact(r.a, r.b, r.c, r.d)) for r in p.itertuples()]
 
-    return per_group(t, "f", run, "f string, odds double, low double, high double, p double")
+    return per_group(t, "f", run, "f string, odds double, low double, high double, p double").withColumns({c: rounded(F.col(c)) for c in ("odds", "low", "high", "p")})
 
 
-@query("wilcoxon")
+@query("wilcoxon", f"""WITH {DAILY}, x AS (SELECT f, p - lag(p, 7) OVER (PARTITION BY f ORDER BY d) AS x FROM s), d AS (SELECT f, x, abs(x) AS a FROM x WHERE x <> 0), r AS (SELECT *, rank() OVER (PARTITION BY f ORDER BY a) + (count(*) OVER (PARTITION BY f, a) - 1) / 2 AS r FROM d),
+t AS (SELECT f, sum(c * c * c - c) AS ties FROM (SELECT f, a, count(*) AS c FROM d GROUP BY f, a) GROUP BY f), w AS (SELECT f, count(*) AS n, sum(CASE WHEN x > 0 THEN r ELSE 0 END) AS w FROM r GROUP BY f),
+z AS (SELECT f, w, (w - n * (n + 1) / 4 - 0.5) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM w JOIN t USING (f)) SELECT f, round(w, 6) + 0.0 AS w, round({normal_tail("z")}, 6) + 0.0 AS p FROM z""")
 def wilcoxon(spark, sf):
     def run(p):
         x = p.sort_values("d")["proportion"].to_numpy()
         return [(p["f"].iloc[0], *stats.wilcoxon_greater(x[7:] - x[:-7]))]
 
-    return per_group(daily(spark, sf), "f", run, "f string, w double, p double")
+    return per_group(daily(spark, sf), "f", run, "f string, w double, p double").withColumns({"w": rounded(F.col("w")), "p": rounded(F.col("p"))})
 
 
 @query("granger")
@@ -136,7 +147,12 @@ def granger(spark, sf):
     return per_group(pairs, "pair", run, "a string, b string, f double, p double, lag int")
 
 
-@query("cross_correlation")
+WEEKLY = DAILY + """, w AS (SELECT f, CAST(d + CAST((7 - isodow(d)) AS INTEGER) AS DATE) AS week, avg(p) AS p, row_number() OVER (PARTITION BY f ORDER BY CAST(d + CAST((7 - isodow(d)) AS INTEGER) AS DATE)) AS i FROM s GROUP BY 1, 2)"""
+
+
+@query("cross_correlation", f"""WITH {WEEKLY}, c AS (SELECT x.f AS a, y.f AS b, lag, corr(x.p, y.p) AS r, count(*) AS n FROM range(-14, 15) g(lag), w x JOIN w y ON x.f < y.f AND y.i = x.i + lag GROUP BY 1, 2, 3),
+m AS (SELECT * FROM c WHERE n >= 5 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY round(abs(r), 11) DESC, lag) = 1)
+SELECT a, b, CAST(lag AS INTEGER) AS lag, round(r, 6) + 0.0 AS r, round(2 * {normal_tail("abs(atanh(greatest(-0.999999, least(0.999999, r))) * sqrt(greatest(1, n - 3)))")}, 6) + 0.0 AS p FROM m""")
 def cross_correlation(spark, sf):
     w = series.weekly(daily(spark, sf), "f", "d").select("f", "week", "proportion")
     pairs = w.withColumnsRenamed({"f": "a", "proportion": "x"}).join(w.withColumnsRenamed({"f": "b", "proportion": "y"}), "week").where("a < b").withColumn("pair", F.concat_ws(">", "a", "b"))
@@ -145,76 +161,81 @@ def cross_correlation(spark, sf):
         p = p.sort_values("week")
         return [(p["a"].iloc[0], p["b"].iloc[0], *stats.cross_correlation(p["x"].to_numpy(), p["y"].to_numpy()))]
 
-    return per_group(pairs, "pair", run, "a string, b string, lag int, r double, p double")
+    return per_group(pairs, "pair", run, "a string, b string, lag int, r double, p double").withColumns({"r": rounded(F.col("r")), "p": rounded(F.col("p"))})
 
 
-@query("series_peaks")
+@query("series_peaks", f"""WITH RECURSIVE {DAILY}, x AS MATERIALIZED (SELECT f, d, row_number() OVER (PARTITION BY f ORDER BY d) AS i, round(avg(p) OVER (PARTITION BY f ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 12) AS x FROM s),
+t AS (SELECT *, lag(x) OVER y AS a, lead(x) OVER y AS b FROM x WINDOW y AS (PARTITION BY f ORDER BY d)), c AS MATERIALIZED (SELECT f, d, i, x FROM t WHERE x > a AND x >= b),
+st AS (SELECT c.f, c.i, c.x, max(o.i) FILTER (o.i < c.i) AS l, min(o.i) FILTER (o.i > c.i) AS r FROM c LEFT JOIN x o ON o.f = c.f AND o.x > c.x GROUP BY 1, 2, 3),
+k AS MATERIALIZED (SELECT st.f, st.i, st.x, row_number() OVER (PARTITION BY st.f ORDER BY st.x DESC, st.i) AS k FROM st JOIN x o ON o.f = st.f AND o.i > coalesce(l, 0) AND o.i < coalesce(r, 1000000) AND o.i <> st.i GROUP BY st.f, st.i, st.x HAVING st.x - greatest(min(o.x) FILTER (o.i < st.i), min(o.x) FILTER (o.i > st.i)) >= 0.1),
+g(f, k, kept) AS (SELECT DISTINCT f, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM k UNION ALL SELECT g.f, k.k, CASE WHEN len(list_filter(kept, lambda j: abs(j - k.i) < 7)) = 0 THEN list_append(kept, k.i) ELSE kept END FROM g JOIN k ON k.f = g.f AND k.k = g.k + 1),
+z AS (SELECT f, unnest(arg_max(kept, k)) AS i FROM g GROUP BY f) SELECT f, d AS day, round(x, 6) + 0.0 AS height FROM z JOIN x USING (f, i)""")
 def series_peaks(spark, sf):
     def run(p):
         p = p.sort_values("d")
-        x = stats.centred_mean(p["proportion"].to_numpy(), 7)
+        x = np.round(stats.centred_mean(p["proportion"].to_numpy(), 7), 12)
         return [(p["f"].iloc[0], p["d"].iloc[i], float(x[i])) for i in stats.peaks(x, 0.1)]
 
-    return per_group(daily(spark, sf), "f", run, "f string, day date, height double")
-
+    return per_group(daily(spark, sf), "f", run, "f string, day date, height double").withColumn("height", rounded(F.col("height")))
 
-def supplier_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return relational.co_edges(table(spark, sf, "lineitem"), ["l_orderkey"], "l_suppkey")
 
+EDGES = """x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, o_orderpriority AS p, n_regionkey AS r, c_custkey AS c FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+e AS MATERIALIZED (SELECT a.c AS src, b.c AS dst, count(*) AS weight FROM x a JOIN x b USING (d, p, r) WHERE a.c < b.c GROUP BY 1, 2)"""
+BOTH = EDGES + """, t AS MATERIALIZED (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), d AS MATERIALIZED (SELECT src, count(*) AS k FROM t GROUP BY 1)"""
 
-EDGES = """x AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS s FROM lineitem), e0 AS (SELECT a.s AS src, b.s AS dst, count(*) AS weight FROM x a JOIN x b ON a.k = b.k AND a.s < b.s GROUP BY 1, 2),
-e AS (SELECT * FROM e0 WHERE weight > (SELECT quantile_cont(weight, 0.9) FROM e0))"""
 
-
-def strong_edges(spark, sf):
-    """The tenth of all pairs of suppliers with the most orders in common (more than the limit: ties stay out)."""
-    from ..functions.staging import stage
-
-    e = stage(supplier_edges(spark, sf), "edges")
-    limit = e.agg(F.percentile("weight", F.lit(0.9)).alias("limit"))
-    return e.join(F.broadcast(limit), F.col("weight") > F.col("limit")).drop("limit")  # one row
+def peer_edges(spark, sf):
+    """Customers of a region that ordered on the same day with the same priority."""
+    o, c, n = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "nation")
+    x = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return relational.co_edges(x.select(F.to_date("o_orderdate").alias("d"), F.col("o_orderpriority").alias("p"), F.col("n_regionkey").alias("r"), "c_custkey"), ["d", "p", "r"], "c_custkey")
 
 
-@query("graph_basic", f"""WITH {EDGES}, t AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), d AS (SELECT src, count(*) AS k FROM t GROUP BY 1),
+@query("graph_basic", f"""WITH {BOTH},
 tri AS (SELECT a.src AS x, a.dst AS y, b.dst AS z FROM e a JOIN e b ON a.dst = b.src JOIN e c ON a.src = c.src AND b.dst = c.dst), tv AS (SELECT v, count(*) AS t FROM (SELECT x AS v FROM tri UNION ALL SELECT y FROM tri UNION ALL SELECT z FROM tri) GROUP BY 1),
 cl AS (SELECT CASE WHEN k > 1 THEN coalesce(t, 0) * 2 / (k * (k - 1)) ELSE 0 END AS c FROM d LEFT JOIN tv ON d.src = tv.v), a AS (SELECT corr(da.k, db.k) AS r, sum(da.k * db.k) / 2 AS s FROM t JOIN d da ON da.src = t.src JOIN d db ON db.src = t.dst)
 SELECT count(*) AS n, CAST(sum(k) / 2 AS BIGINT) AS m, round(sum(k) / (count(*) * (count(*) - 1)), 6) AS density, round(avg(k), 6) AS mean_degree, (SELECT count(*) FROM tri) AS triangles, round(3 * (SELECT count(*) FROM tri) / sum(k * (k - 1) / 2), 6) AS transitivity,
 (SELECT round(avg(c), 6) FROM cl) AS average_clustering, (SELECT round(r, 6) + 0 FROM a) AS assortativity, (SELECT round(s, 4) FROM a) AS s_metric, round(avg(k) + var_pop(k) / avg(k), 6) AS R0 FROM d""")
 def graph_basic(spark, sf):
-    got = graph.basic(strong_edges(spark, sf))
+    got = graph.basic(peer_edges(spark, sf))
     real = ["density", "mean_degree", "transitivity", "average_clustering", "assortativity", "s_metric", "R0"]
     return got.withColumns({c: rounded(F.col(c), 4 if c == "s_metric" else 6) for c in real})
 
 
 @query("node_degrees", f"WITH {EDGES} SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1")
 def node_degrees(spark, sf):
-    return graph.degrees(strong_edges(spark, sf))
+    return graph.degrees(peer_edges(spark, sf))
 
 
-@query("pagerank")
+@query("pagerank", f"""WITH RECURSIVE {BOTH}, n AS (SELECT count(*) AS n FROM d), r(node, i, x, moved) AS (SELECT src, 0, 1.0::DOUBLE / n, 1e9::DOUBLE FROM d, n UNION ALL
+SELECT node, i + 1, y, sum(abs(y - x)) OVER () FROM (SELECT a.node, a.i, a.x, 0.15 / max(n) + 0.85 * sum(b.x / d.k) AS y FROM r a JOIN t ON t.dst = a.node JOIN r b ON b.node = t.src JOIN d ON d.src = t.src, n WHERE a.i < 60 AND a.moved >= n * 1e-6 GROUP BY a.node, a.i, a.x))
+SELECT node, round(arg_max(x, i), 8) AS rank FROM r GROUP BY node""")
 def pagerank(spark, sf):
-    return graph.pagerank(strong_edges(spark, sf))
+    return graph.pagerank(peer_edges(spark, sf)).withColumn("rank", rounded(F.col("rank"), 8))
 
 
-@query("k_core")
+@query("k_core", f"""WITH RECURSIVE {BOTH}, h(node, i, c) AS (SELECT src, 0, k FROM d UNION ALL SELECT node, i + 1, max(least(c, a)) FROM (SELECT node, i, c, row_number() OVER (PARTITION BY node ORDER BY c DESC) AS a
+FROM (SELECT t.src AS node, h.i, h.c FROM h JOIN t ON t.dst = h.node WHERE h.i < 100)) GROUP BY node, i) SELECT node, c AS core FROM h WHERE i = 100""")
 def k_core(spark, sf):
-    return graph.core_numbers(strong_edges(spark, sf))
+    return graph.core_numbers(peer_edges(spark, sf))
 
 
-@query("components", f"""WITH RECURSIVE {EDGES}, t AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), r(node, root) AS (SELECT src, src FROM t UNION SELECT t.dst, r.root FROM r JOIN t ON t.src = r.node)
-SELECT node, min(root) AS component FROM r GROUP BY node""")
+@query("components", f"""WITH RECURSIVE {BOTH}, r(node, i, root) AS (SELECT src, 0, src FROM d UNION ALL SELECT node, i + 1, min(root) FROM (SELECT node, i, root FROM r WHERE i < 80 UNION ALL SELECT t.dst, i, root FROM r JOIN t ON t.src = node WHERE i < 80) GROUP BY node, i)
+SELECT node, root AS component FROM r WHERE i = 80""")
 def components(spark, sf):
-    return graph.components(strong_edges(spark, sf))
+    return graph.components(peer_edges(spark, sf))
 
 
-@query("communities")
+@query("communities", f"""WITH RECURSIVE {BOTH}, r(node, i, label) AS (SELECT src, 0, src FROM d UNION ALL SELECT node, i + 1, arg_max(label, (n, label)) FROM (SELECT node, i, label, count(*) AS n
+FROM (SELECT node, i, label FROM r WHERE i < 20 UNION ALL SELECT t.src, i, label FROM r JOIN t ON t.dst = node WHERE i < 20) GROUP BY node, i, label) GROUP BY node, i) SELECT node, label FROM r WHERE i = 20""")
 def communities(spark, sf):
-    return graph.label_propagation(strong_edges(spark, sf))
+    return graph.label_propagation(peer_edges(spark, sf))
 
 
-@query("linear_threshold_spread")
+@query("linear_threshold_spread", f"""WITH RECURSIVE {BOTH}, r(node, i, step) AS (SELECT src, 0, CASE WHEN p <= 10 THEN 0 END FROM (SELECT src, row_number() OVER (ORDER BY k DESC, src) AS p FROM d) UNION ALL
+SELECT node, i + 1, CASE WHEN step IS NOT NULL THEN step WHEN 5 * a >= k THEN i + 1 END FROM (SELECT r.node, r.i, r.step, max(k) AS k, count(o.step) AS a FROM r JOIN d ON d.src = r.node JOIN t ON t.src = r.node JOIN r o ON o.node = t.dst WHERE r.i < 80 GROUP BY 1, 2, 3)) SELECT node, step FROM r WHERE i = 80 AND step IS NOT NULL""")
 def linear_threshold_spread(spark, sf):
-    e = strong_edges(spark, sf)
+    e = peer_edges(spark, sf)
     seeds = graph.degrees(e).orderBy(F.desc("degree"), "node").limit(10).select("node")  # the seeds of the simulation
     return graph.threshold_spread(e, seeds, 0.2)
 

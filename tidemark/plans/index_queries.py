@@ -195,7 +195,10 @@ def semantic_proximity(spark, sf):
     return x.groupBy(F.col("d").alias("day"), "label").agg(F.count("*").alias("n"), rounded(F.avg(cosine(F.col("embedding"), F.col("centroid")))).alias("proximity"))
 
 
-@query("semantic_peak")
+@query("semantic_peak", f"""WITH {DATED}, c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS m FROM e, range(1, 65) t(i) GROUP BY label, i) GROUP BY label),
+x AS (SELECT label, d - DATE '1970-01-01' AS x, sum(w * greatest(0, list_dot_product(v, c) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(c, c)))) AS m FROM e JOIN c USING (label) GROUP BY 1, 2 HAVING m > 0),
+q AS (SELECT label, x, (sum(m) OVER (PARTITION BY label ORDER BY x) - m / 2) / sum(m) OVER (PARTITION BY label) AS q FROM x), l AS (SELECT *, lead(x) OVER (PARTITION BY label ORDER BY x) AS nx, lead(q) OVER (PARTITION BY label ORDER BY x) AS nq FROM q)
+SELECT label, CAST(DATE '1970-01-01' + CAST(round(coalesce(max(CASE WHEN q <= 0.5 AND nq > 0.5 THEN x + (0.5 - q) / (nq - q) * (nx - x) END), CASE WHEN min(q) > 0.5 THEN min(x) ELSE max(x) END)) AS INTEGER) AS DATE) AS peak FROM l GROUP BY label""")
 def semantic_peak(spark, sf):
     """The day by which half of a label's semantic mass (strength times likeness to its centre) has come."""
     from ..operators.ranks import weighted_percentile
@@ -234,7 +237,9 @@ def projection(spark, sf):
     return y.select("l_suppkey", vector_to_array("p").alias("p")).select("l_suppkey", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
 
 
-@query("smoothed_trend")
+@query("smoothed_trend", f"""WITH {DAILY}, w AS (SELECT f, week, p, row_number() OVER (PARTITION BY f ORDER BY week) - 1 AS i, count(*) OVER (PARTITION BY f) AS n FROM (SELECT f, CAST(d + CAST((7 - isodow(d)) AS INTEGER) AS DATE) AS week, avg(p) AS p FROM s GROUP BY 1, 2)),
+a AS (SELECT a.f, a.week, a.n, b.i - a.i AS x, b.p AS y, row_number() OVER (PARTITION BY a.f, a.week ORDER BY abs(b.i - a.i), b.i) AS r FROM w a JOIN w b ON a.f = b.f), h AS (SELECT f, week, max(abs(x)) AS h FROM a WHERE r <= greatest(3, n // 2) GROUP BY 1, 2),
+k AS (SELECT f, week, x, y, greatest(0, 1 - (abs(x) / h) ** 3) ** 3 AS w FROM a JOIN h USING (f, week)) SELECT f, week, round((sum(w * y) * sum(w * x * x) - sum(w * x) * sum(w * x * y)) / (sum(w) * sum(w * x * x) - sum(w * x) ** 2), 6) + 0.0 AS trend FROM k GROUP BY f, week""")
 def smoothed_trend(spark, sf):
     """Locally weighted line (half of the weeks, tricube weights) through each frame's weekly share."""
 
@@ -249,7 +254,7 @@ def smoothed_trend(spark, sf):
             out.append(float(fit.beta[0]))
         return pd.DataFrame({"f": pdf["f"], "week": pdf["week"], "trend": out})
 
-    return series.weekly(daily(spark, sf), "f", "d").select("f", "week", "proportion").groupBy("f").applyInPandas(run, "f string, week date, trend double")
+    return series.weekly(daily(spark, sf), "f", "d").select("f", "week", "proportion").groupBy("f").applyInPandas(run, "f string, week date, trend double").withColumn("trend", rounded(F.col("trend")))
 
 
 @query("quarter_resample", f"WITH {DAILY} SELECT f AS frame, CAST(date_trunc('quarter', d) AS DATE) AS quarter, CAST(sum(n) AS BIGINT) AS n, round(avg(p), 6) AS proportion FROM s GROUP BY 1, 2")

@@ -67,14 +67,19 @@ def incremental_update(spark, sf):
     return live.current(spark, f"{place}/table").select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@query("stream_sliding_counts")
+@query("stream_sliding_counts", """WITH w AS (SELECT event_type, ts, unnest(generate_series(date_trunc('day', ts) - INTERVAL 6 DAY, date_trunc('day', ts), INTERVAL 1 DAY)) AS s FROM events)
+SELECT s AS start_ts, s + INTERVAL 7 DAY AS end_ts, event_type, count(*) AS n FROM w WHERE s + INTERVAL 7 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY s, event_type""")
 def stream_sliding_counts(spark, sf):
-    return live.drain(live.sliding_counts(_stream(spark, sf), "event_type", "ts", "7 days", "1 day"), "sliding", _place(spark))
+    """Windows of seven days by day, as far as the watermark has closed them."""
+    got = live.drain(live.sliding_counts(_stream(spark, sf), "event_type", "ts", "7 days", "1 day"), "sliding", _place(spark))
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
 
 
-@query("stream_episodes")
+@query("stream_episodes", """WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM x)
+SELECT min(ts) AS start_ts, max(ts) + INTERVAL 6 HOUR AS end_ts, user_id, count(*) AS n FROM g GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def stream_episodes(spark, sf):
-    return live.drain(live.episodes(_stream(spark, sf), "user_id", "ts", "6 hours"), "episodes", _place(spark))
+    got = live.drain(live.episodes(_stream(spark, sf), "user_id", "ts", "6 hours"), "episodes", _place(spark))
+    return got.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_ts", "end_ts")})
 
 
 @query("table_scan", "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate <= DATE '1997-06-30'")

@@ -108,11 +108,17 @@ def blended_vectors(spark, sf):
     return got.select("label", F.posexplode("embedding").alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), rounded(F.col("value")).alias("value"))
 
 
-@query("near_duplicates")
+@query("near_duplicates", f"""WITH RECURSIVE {BASE}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM u), sim AS MATERIALIZED (SELECT a.label, a.i, b.vec_id AS other, list_dot_product(a.u, b.u) AS s FROM o a JOIN o b ON a.label = b.label AND b.i < a.i WHERE list_dot_product(a.u, b.u) > 0.95),
+g(label, i, kept, vec_id, hit) AS (SELECT label, i, [vec_id], vec_id, CAST(NULL AS BIGINT) FROM o WHERE i = 1 UNION ALL
+SELECT label, i, CASE WHEN hit IS NULL THEN list_append(kept, vec_id) ELSE kept END, vec_id, hit FROM (SELECT o.label, o.i, any_value(g.kept) AS kept, o.vec_id, arg_max(sim.other, (sim.s, -sim.other)) FILTER (list_contains(g.kept, sim.other)) AS hit FROM g JOIN o ON o.label = g.label AND o.i = g.i + 1 LEFT JOIN sim ON sim.label = o.label AND sim.i = o.i GROUP BY o.label, o.i, o.vec_id))
+SELECT label, vec_id, hit IS NULL AS kept, hit AS duplicate_of FROM g""")
 def near_duplicates(spark, sf):
     return vectors.near_duplicates(_e(spark, sf), "label", "vec_id", "embedding")
 
 
-@query("novelty_decay")
+@query("novelty_decay", f"""WITH {BASE}, o AS (SELECT label, vec_id, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM e), r AS (SELECT label, i, j, v[j] AS x, sum(v[j]) OVER (PARTITION BY label, j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t FROM o, range(1, 65) g(j)),
+n AS (SELECT label, i, CASE WHEN i = 0 THEN 1 ELSE 1 - sum(x * t) / sqrt(sum(x * x)) / sqrt(sum(t * t)) END AS nov FROM r GROUP BY 1, 2), k AS (SELECT *, count(*) OVER (PARTITION BY label) AS n, max(CASE WHEN i = 0 THEN nov END) OVER (PARTITION BY label) AS first FROM n)
+SELECT label, max(n) AS n, round(-regr_slope(nov, i), 6) + 0.0 AS decay, round(avg(nov) FILTER (i >= n - greatest(1, n // 5)), 6) + 0.0 AS last_novelty, CAST(min(i) FILTER (nov <= first / 2) AS DOUBLE) AS half_life FROM k GROUP BY label""")
 def novelty_decay(spark, sf):
-    return vectors.novelty(_e(spark, sf), "label", ["vec_id"], "embedding")
+    got = vectors.novelty(_e(spark, sf), "label", ["vec_id"], "embedding")
+    return got.withColumns({"decay": rounded(F.col("decay")), "last_novelty": rounded(F.col("last_novelty"))})

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import analysis_queries, detect_queries, index_queries, relational_queries, series_queries, stream_queries, vector_queries
+from .plans import analysis_queries, detect_queries, graph_queries, index_queries, profile_queries, relational_queries, series_queries, stream_queries, vector_queries
 
-MODULES = (series_queries, relational_queries, vector_queries, detect_queries, analysis_queries, stream_queries, index_queries)
+MODULES = (series_queries, relational_queries, vector_queries, detect_queries, analysis_queries, stream_queries, index_queries, graph_queries, profile_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

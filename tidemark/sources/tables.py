@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,57 @@ def reachable(read: Callable[[], DataFrame]) -> bool:
         return False
 
 
+def slices(start: date, end: date, n: int) -> list[tuple[date, date]]:
+    """Half-open slices [a, b) of near equal length that hold every day from ``start`` to ``end``, the last one too."""
+    days = (end - start).days + 1
+    cuts = [start + timedelta(days=days * i // n) for i in range(n + 1)]
+    return [(a, b) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def valid(df: DataFrame, key: str, day: str, before_year: int | None = None) -> DataFrame:
+    """Rows with a key and a day, of years before the one given."""
+    ok = F.col(key).isNotNull() & F.col(day).isNotNull()
+    return df.where(ok & (F.year(day) < before_year) if before_year is not None else ok)
+
+
+def sentence_counts(sentences: DataFrame, key: str, title: str) -> DataFrame:
+    """(sentences, titled): rows, and documents with a title."""
+    return sentences.agg(F.count("*").alias("sentences"), F.count_distinct(F.when(F.col(title).isNotNull(), F.col(key))).alias("titled"))
+
+
+class QueryCache:
+    """Results by the digest of what was asked, as Parquet in a shared folder; beyond ``most`` the oldest goes."""
+
+    def __init__(self, spark: SparkSession, folder: str, most: int = 32) -> None:
+        self.spark, self.folder, self.most, self.held = spark, folder, most, {}
+
+    def get(self, asked: str, make: Callable[[], DataFrame]) -> DataFrame:
+        name = hashlib.md5(asked.encode()).hexdigest()
+        if name not in self.held:
+            df = make()
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+            self.held[name] = df.schema
+            while len(self.held) > self.most:
+                self._drop(next(iter(self.held)))
+        return self.spark.read.schema(self.held[name]).parquet(f"{self.folder}/{name}")
+
+    def _drop(self, name: str) -> None:
+        del self.held[name]
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save_index(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """An index as Parquet, ORC or JSON; nested columns stay nested."""
+    if fmt not in ("parquet", "orc", "json"):
+        raise ValueError(f"{fmt} can't hold nested columns")
+    df.write.mode(mode).format(fmt).save(path)
+
+
+def load_index(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
+    return spark.read.format(fmt).schema(schema).load(path)
+
+
 def span(df: DataFrame, day: str) -> DataFrame:
     return df.agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("n"))
 
