@@ -184,7 +184,7 @@ def merge_types(members: DataFrame, clusters: DataFrame, occurrence: DataFrame,
     by = x.groupBy("cluster", "kind").agg(F.sum("mass").alias("mass"))
     lead = by.groupBy("cluster").agg(F.count("*").alias("kinds"), F.max_by("kind", F.struct("mass", "kind")).alias("lead"))
     many = lead.where("kinds > 1").select("cluster", "lead")
-    to = clusters.join(many, "cluster", "left").select("occurrence", F.coalesce(F.concat(F.lit("event "), F.col("cluster").cast("string")), "occurrence").alias("_to"), "lead")
+    to = clusters.join(many, "cluster", "left").select("occurrence", F.when(F.col("lead").isNotNull(), F.concat(F.lit("event "), F.col("cluster").cast("string"))).otherwise(F.col("occurrence")).alias("_to"), "lead")
     return members.join(to, "occurrence", "left").select(F.coalesce("lead", "kind").alias("kind"), key, F.coalesce("_to", "occurrence").alias("occurrence")).distinct()
 
 

@@ -144,7 +144,8 @@ def attribute(shift: DataFrame, bursts: DataFrame, lifts: DataFrame, group: str,
     """
     b = bursts.where(F.col("total") >= least_score).join(lifts, "burst_id", "left").fillna(0.0, ["own_lift", "structural"])
     reach = b.withColumn("shift_date", F.explode(F.sequence(F.col("onset"), F.date_add("end", lookback_days))))
-    x = shift.select("shift_id", "shift_date", "entering", "exiting", "after", "concentration_change").join(reach, "shift_date")
+    change = F.abs("concentration_change") if "concentration_change" in shift.columns else F.lit(0.0)
+    x = shift.select("shift_id", "shift_date", "entering", "exiting", "after", change.alias("_cc")).join(reach, "shift_date")
     overlap = clip((F.datediff(F.least("end", "shift_date"), F.greatest("onset", F.date_sub("shift_date", lookback_days))) + 1) / lookback_days, 0, 1)
     recent = 1 - clip(F.datediff("shift_date", F.least("end", "shift_date")) / lookback_days, 0, 1)
     x = x.withColumn("temporal_score", 0.5 * overlap + 0.5 * recent)

@@ -124,7 +124,11 @@ class Analysis:
 
     @cached_property
     def surges(self) -> DataFrame:
-        return stage(detect.score_bursts(self.bursts, self.mentions, "frame", "day", "author", "outlet", "source"), "surges")
+        kinds = max(2, len(self.config.columns.sources))
+        if self.vectors is None:
+            return stage(detect.score_bursts(self.bursts, self.mentions, "frame", "day", "author", "outlet", "source", kinds=kinds), "surges")
+        rows = self.mentions.join(self.article_vectors, "doc", "left")
+        return stage(detect.score_bursts(self.bursts, rows, "frame", "day", "author", "outlet", "source", "doc", "vector", self.config.dim, kinds), "surges")
 
     @cached_property
     def networks(self) -> DataFrame:

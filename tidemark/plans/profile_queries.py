@@ -313,7 +313,7 @@ def regime_durations(spark, sf):
     return paradigm.qualify(r, F.lit("2024-12-31").cast("date")).select("shift_date", "regime_days", "structural", "reversible")
 
 
-@query("twosided_composite", f"WITH {ZED} SELECT f AS frame, d AS day, round(0.7 * z2 + 0.3 * z, 6) + 0.0 AS composite FROM z")
+@query("twosided_composite", f"WITH {ZED} SELECT f AS frame, d AS day, round(0.7 * coalesce(z2, 0) + 0.3 * coalesce(greatest(z2, 0), 0), 6) + 0.0 AS composite FROM z")
 def twosided_composite(spark, sf):
     """A composite of a two-sided and a one-sided score."""
     s = series.trailing_z(daily(spark, sf), "proportion", ["f"], "d", one_sided=False).withColumnRenamed("z", "a")
