@@ -118,3 +118,30 @@ def test_removal_of_documents_and_spans(spark):
     assert dc.find_benchmark(docs.limit(0), bench).count() == 0
     with pytest.raises(ValueError):
         dc.decontaminate(docs, bench, "other")
+
+
+def test_rows_of_a_hot_line_are_split(spark):
+    """One line in every document: its rows go to several tasks of the join."""
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        docs = spark.range(6000).selectExpr("id AS doc_id", "concat('licence of all documents\n', id, ' a line of its own') AS text").repartition(6)
+        plans, real = {}, ld.stage
+
+        def watched(df, name):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return real(df, name)
+
+        ld.stage = watched
+        try:
+            got = ld.drop_shared_lines(docs)
+        finally:
+            ld.stage = real
+        assert got.where("n_dropped = 1").count() == 5999
+        assert "skew=true" in plans["dropped-lines"]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

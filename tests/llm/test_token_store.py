@@ -50,6 +50,7 @@ def test_round_trip_and_damage(spark, tmp_path):
     got = sorted((2**63 - 1 if r.doc is None else r.doc, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in ts.read_documents(spark, folder).collect())
     assert got == want
     index = sorted(tuple(r) for r in ts.read_index(spark, folder).collect())
+    assert index == sorted(tuple(r) for r in ts.read_index(spark, folder, whole=False).collect())
     start = 0
     for (d, s, n, c), (d2, ids) in zip(sorted(index, key=lambda r: r[1]), want):
         assert (d, s, n) == (d2, start, len(ids)) and c == zlib.crc32(np.array(ids, "<u4").tobytes())

@@ -10,8 +10,9 @@ Layout of a store folder:
                parts before it), Merkle root; and the root over all parts (part -1)
 
 A chunk's payload is its ids as little-endian unsigned integers of 2 bytes (4 where an
-id needs them), behind a format byte, compressed by zstandard.  The digest is that of
-the ids as little-endian unsigned 32-bit integers, so it doesn't depend on the payload.
+id needs them), behind a format byte; Parquet compresses pages of them together.  The
+digest is that of the ids as little-endian unsigned 32-bit integers, so it doesn't depend
+on the payload.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,14 +69,13 @@ def cut_points(ids: np.ndarray, least: int = LEAST, mean: int = MEAN, most: int
     return ends
 
 
-def pack_ids(ids: np.ndarray, zip_: zstandard.ZstdCompressor) -> bytes:
+def pack_ids(ids: np.ndarray) -> bytes:
     wide = len(ids) and int(ids.max()) > 0xFFFF
-    return zip_.compress((b"\4" if wide else b"\2") + ids.astype("<u4" if wide else "<u2").tobytes())
+    return (b"\4" if wide else b"\2") + ids.astype("<u4" if wide else "<u2").tobytes()
 
 
-def unpack_ids(payload: bytes, unzip: zstandard.ZstdDecompressor) -> np.ndarray:
-    raw = unzip.decompress(payload)
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype("<u4")
+def unpack_ids(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
 
 
 # --- crc32 of joined chunks -------------------------------------------------
@@ -168,7 +167,7 @@ def _encode(path: str, end_id: int, held: int = 1 << 17):
     schema = to_arrow_schema(StructType.fromDDL(_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, zip_, seen = tokens.encoder(path), zstandard.ZstdCompressor(level=3), set()
+        enc, seen = tokens.encoder(path), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -187,7 +186,7 @@ def _encode(path: str, end_id: int, held: int = 1 << 17):
                             if len(seen) >= held:  # forgetting costs a copy in the shuffle, nothing else
                                 seen.clear()
                             seen.add(digest)
-                            add(kind="chunk", key=int.from_bytes(digest[:8], "little", signed=True), digest=digest, n=len(chunk), payload=pack_ids(chunk, zip_))
+                            add(kind="chunk", key=int.from_bytes(digest[:8], "little", signed=True), digest=digest, n=len(chunk), payload=pack_ids(chunk))
                     add(kind="doc", key=h ^ doc, doc=doc, text_hash=h, digests=digests, sizes=sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
@@ -218,7 +217,7 @@ def write_store(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     base = keyed(docs, id_col, text_col).select("__tm_d", F.xxhash64("__tm_t").alias("h"), "__tm_t")
     rows = map_arrow(base, _encode(path, end_id), _ROWS)
     rows = map_arrow(rows.repartition("key").sortWithinPartitions("kind", "digest"), _first_of_each, _ROWS)
-    rows.drop("key").write.option("compression", "none").partitionBy("kind").parquet(f"{folder}/rows")
+    rows.drop("key").write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/rows")
     spark = docs.sparkSession
     every = spark.read.schema("digest binary, n int, payload binary, doc long, text_hash long, digests array<binary>, sizes array<int>, kind string").parquet(f"{folder}/rows")
     recipes = every.where("kind = 'doc'").select("doc", "text_hash", "digests", "sizes").repartitionByRange("doc", "text_hash").sortWithinPartitions("doc", "text_hash")
@@ -296,9 +295,9 @@ def checked_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """(digest, n, crc) of every stored chunk, unpacked and held against its digest."""
 
     def check(c):
-        unzip, out = zstandard.ZstdDecompressor(), []
+        out = []
         for digest, n, payload in zip(c["digest"], c["n"], c["payload"]):
-            ids = unpack_ids(payload, unzip)
+            ids = unpack_ids(payload)
             if len(ids) != n or hashlib.sha256(ids).digest() != digest:
                 raise ValueError(f"chunk {digest.hex()} is damaged")
             out.append(zlib.crc32(ids))
@@ -307,20 +306,48 @@ def checked_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return map_rows(_chunks(spark, folder), ["digest", "n", "payload"], check, "digest binary, n int, crc long", rows=2048)
 
 
-def read_index(spark: SparkSession, folder: str) -> DataFrame:
+def _uses(spark: SparkSession, folder: str) -> DataFrame:
+    recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes")
+    return recipes.select("part", "pos", "doc", "text_hash", "local_start", F.posexplode("digests").alias("k", "digest"))
+
+
+def _joined(doc: int | None, chunks: list[dict]) -> tuple[list[np.ndarray], list[bytes]]:
+    """The chunks of a document in order, each held against its digest, and the digests."""
+    out, digests = [], []
+    for x in sorted(chunks, key=lambda x: x["k"]):
+        ids = unpack_ids(x["payload"]) if x["payload"] is not None else None
+        if ids is None or hashlib.sha256(ids).digest() != x["digest"]:
+            raise ValueError(f"a chunk of document {doc} is missing or damaged")
+        out.append(ids)
+        digests.append(x["digest"])
+    return out, digests
+
+
+def read_index(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """(doc, start, n_tokens, ids_crc32) of every document, from the stored files.
 
-    Every chunk is read and held against its digest; the crc32 of a document is put
-    together from those of its chunks; every Merkle root, over leaves rebuilt from
-    what was read, is held against the manifest.  A missing or damaged chunk, recipe
-    or part raises.
+    With ``whole`` each document's id stream is put together again from its chunks, which
+    are held against their digests, and its crc32 is taken.  Without, each stored chunk is
+    checked once, and a document's crc32 is computed from those of its chunks.  Either way
+    every Merkle root, over leaves rebuilt from what was read, is held against the
+    manifest; a missing or damaged chunk, recipe or part raises.
     """
     manifest = spark.read.parquet(f"{folder}/manifest")
-    recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes")
-    uses = recipes.select("part", "pos", "doc", "text_hash", "local_start", F.posexplode("digests").alias("k", "digest"))
-    chunks = checked_chunks(spark, folder).select(F.col("digest").alias("held"), "n", "crc")
-    found = uses.join(chunks, uses["digest"] == chunks["held"], "left")
-    whole = found.groupBy("part", "pos", "doc", "text_hash", "local_start").agg(F.collect_list(F.struct("k", "digest", "n", "crc")).alias("cs"))
+    uses = _uses(spark, folder)
+    group = ["part", "pos", "doc", "text_hash", "local_start"]
+    schema = "part int, pos long, doc long, local_start long, n_tokens long, crc long, leaf binary"
+
+    def stream(c):
+        out = {k: c[k] for k in ("part", "pos", "doc", "local_start")} | {"n_tokens": [], "crc": [], "leaf": []}
+        for doc, h, cs in zip(c["doc"], c["text_hash"], c["cs"]):
+            chunks, digests = _joined(doc, cs)
+            crc = 0
+            for ids in chunks:
+                crc = zlib.crc32(ids, crc)
+            out["n_tokens"].append(sum(map(len, chunks)))
+            out["crc"].append(crc)
+            out["leaf"].append(leaf(doc, h, [len(x) for x in chunks], digests))
+        return out
 
     def join(c):
         out = {k: c[k] for k in ("part", "pos", "doc", "local_start")} | {"n_tokens": [], "leaf": []}
@@ -338,7 +365,13 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
         out["crc"] = crc32_joined(np.array(crc, np.int64), 4 * np.array(size, np.int64), np.array(first)).tolist() if crc else []
         return out
 
-    built = map_rows(whole, ["part", "pos", "doc", "text_hash", "local_start", "cs"], join, "part int, pos long, doc long, local_start long, n_tokens long, crc long, leaf binary")
+    if whole:
+        found = uses.join(_chunks(spark, folder).select("digest", "payload"), "digest", "left").groupBy(*group).agg(F.collect_list(F.struct("k", "digest", "payload")).alias("cs"))
+        built = map_rows(found, [*group, "cs"], stream, schema, rows=64)
+    else:
+        chunks = checked_chunks(spark, folder).select(F.col("digest").alias("held"), "n", "crc")
+        found = uses.join(chunks, uses["digest"] == chunks["held"], "left").groupBy(*group).agg(F.collect_list(F.struct("k", "digest", "n", "crc")).alias("cs"))
+        built = map_rows(found, [*group, "cs"], join, schema)
     built_path = f"{folder}/read-{uuid.uuid4().hex[:8]}"
     built.write.option("compression", "zstd").parquet(built_path)
     built = spark.read.schema(built.schema).parquet(built_path)
@@ -355,23 +388,12 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """(doc, text_hash, ids little-endian uint32) of every document, put together again from its chunks."""
-    recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes")
-    uses = recipes.select("part", "pos", "doc", "text_hash", F.posexplode("digests").alias("k", "digest"))
-    whole = uses.join(_chunks(spark, folder), "digest", "left").groupBy("part", "pos", "doc", "text_hash").agg(F.collect_list(F.struct("k", "digest", "payload")).alias("cs"))
+    whole = _uses(spark, folder).join(_chunks(spark, folder), "digest", "left").groupBy("part", "pos", "doc", "text_hash").agg(F.collect_list(F.struct("k", "digest", "payload")).alias("cs"))
 
     def join(c):
-        unzip, out = zstandard.ZstdDecompressor(), []
-        for doc, cs in zip(c["doc"], c["cs"]):
-            parts = []
-            for x in sorted(cs, key=lambda x: x["k"]):
-                ids = unpack_ids(x["payload"], unzip) if x["payload"] is not None else None
-                if ids is None or hashlib.sha256(ids).digest() != x["digest"]:
-                    raise ValueError(f"a chunk of document {doc} is missing or damaged")
-                parts.append(ids.tobytes())
-            out.append(b"".join(parts))
-        return {"doc": c["doc"], "text_hash": c["text_hash"], "ids": out}
-
-    return map_rows(whole, ["doc", "text_hash", "cs"], join, "doc long, text_hash long, ids binary").select(from_id(F.col("doc")).alias("doc"), "text_hash", "ids")
+        return {"doc": c["doc"], "text_hash": c["text_hash"], "ids": [b"".join(x.tobytes() for x in _joined(doc, cs)[0]) for doc, cs in zip(c["doc"], c["cs"])]}
+
+    return map_rows(whole, ["doc", "text_hash", "cs"], join, "doc long, text_hash long, ids binary", rows=64).select(from_id(F.col("doc")).alias("doc"), "text_hash", "ids")
 
 
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
