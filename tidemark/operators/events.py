@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cluster
-from .ranks import weighted_percentile
+from .ranks import quantile, weighted_percentile
 from .relational import small
 
 
@@ -21,7 +21,7 @@ def seeds(rows: DataFrame, kind: str, weight: str, overall: str, share: float =
     x = rows.where(F.col(weight) > 0).withColumn("score", score)
     top = x.groupBy(kind).agg(F.max(weight).alias("_m"))
     x = x.join(top, kind).where(F.col(weight) >= share * F.col("_m"))
-    mid = x.groupBy(kind).agg(F.greatest(F.percentile("score", F.lit(percentile)), F.lit(1e-6)).alias("_t"))
+    mid = quantile(x, [kind], "score", percentile).select(kind, F.greatest("quantile", F.lit(1e-6)).alias("_t"))
     return x.join(mid, kind).where(F.col("score") >= F.col("_t")).drop("_m", "_t")
 
 
@@ -45,7 +45,7 @@ def distance(vectors: np.ndarray, days: np.ndarray, entities: list[set], base: f
     return d
 
 
-def cluster_seeds(seed: DataFrame, kind: str, key: str, day: str, vector: str, entities: str | None = None, cut: float = 0.30, base: float = 0.0, most: int = 20_000) -> DataFrame:
+def cluster_seeds(seed: DataFrame, kind: str, key: str, day: str, vector: str, entities: str | None = None, cut: float = 0.30, base: float = 0.0, most: int = 5_000) -> DataFrame:
     """(kind, key, occurrence): average-linkage clusters of each type's seeds, cut at a distance; singletons stay.
 
     Clustering needs all distances of a type, so a type is one task; more than ``most``
@@ -292,28 +292,47 @@ def strength(mass: Column, coverage: Column, intensity: Column, coherence: Colum
     return 0.20 * F.least(one, F.log2(1 + mass) / math.log2(101)) + 0.25 * coverage + 0.20 * F.least(one, F.log2(1 + intensity) / math.log2(51)) + 0.15 * coherence + 0.20 * diversity
 
 
-def group_occurrences(occurrence: DataFrame, members: DataFrame, centres: DataFrame, key: str, most: int = 5000) -> DataFrame:
-    """(occurrence, cluster): occurrences of any type joined to events: time, meaning, shared rows and type; best silhouette, then refined.
+def overlaps(held: DataFrame, name: str, item: str) -> DataFrame:
+    """(a, b, c, na, nb): how many items two holders share, and how many each has; joined on the items."""
+    h = held.select(name, item).distinct()
+    n = h.groupBy(name).agg(F.count("*").alias("_n"))
+    both = h.withColumnRenamed(name, "a").join(h.withColumnRenamed(name, "b"), item).where("a < b").groupBy("a", "b").agg(F.count("*").alias("c"))
+    return both.join(n.select(F.col(name).alias("a"), F.col("_n").alias("na")), "a").join(n.select(F.col(name).alias("b"), F.col("_n").alias("nb")), "b")
 
-    The occurrences themselves are few; their number is checked before they are gathered.
+
+def group_occurrences(occurrence: DataFrame, members: DataFrame, centres: DataFrame, key: str, entities: DataFrame | None = None, most: int = 5000) -> DataFrame:
+    """(occurrence, cluster): occurrences of any type joined to events: time .25, meaning .20, entities .15, shared rows .30 and type .10; best silhouette, then refined.
+
+    Shared rows and ``entities`` (occurrence, entity) are counted by joins; what is gathered
+    is a row for each occurrence, whose number is checked, and for each pair that shares
+    something.  Entities are neutral (a half) where neither has any.
     """
-    o = occurrence.join(centres.select("occurrence", "centroid"), "occurrence").join(members.groupBy("occurrence").agg(F.collect_set(key).alias("keys")), "occurrence")
+    o = occurrence.join(centres.select("occurrence", "centroid"), "occurrence")
+    shared = overlaps(members, "occurrence", key).select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jac"), F.lit("rows").alias("what"))
+    o = o.select("occurrence", "kind", "peak", "centroid", F.lit(False).alias("named")) if entities is None else o.join(entities.select("occurrence").distinct().withColumn("named", F.lit(True)), "occurrence", "left").select("occurrence", "kind", "peak", "centroid", F.coalesce("named", F.lit(False)).alias("named"))
+    if entities is not None:
+        shared = shared.unionByName(overlaps(entities, "occurrence", "entity").select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("jac"), F.lit("entities").alias("what")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(pdf: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most:
             raise ValueError(f"{len(pdf)} occurrences: raise the confidence limit")
         pdf = pdf.sort_values("occurrence").reset_index(drop=True)
         t = pd.to_datetime(pdf["peak"]).map(pd.Timestamp.toordinal).to_numpy(float)
         u = _units(np.stack(pdf["centroid"].to_numpy()).astype(float))
-        sets = [set(k) for k in pdf["keys"]]
-        jac = np.array([[1 - len(a & b) / max(1, len(a | b)) for b in sets] for a in sets])
+        place = {x: i for i, x in enumerate(pdf["occurrence"])}
+        named = pdf["named"].to_numpy(bool)
+        far = {"rows": np.ones((len(pdf), len(pdf))), "entities": np.where(named[:, None] | named[None, :], 1.0, 0.5)}
+        for x, y, j, what in zip(links["a"], links["b"], links["jac"], links["what"]):
+            if x in place and y in place:
+                far[what][place[x], place[y]] = far[what][place[y], place[x]] = 1 - j
         same = np.array(pdf["kind"])[:, None] != np.array(pdf["kind"])[None, :]
-        d = 0.30 * (1 - np.exp(-np.abs(t[:, None] - t[None, :]) / 14)) + 0.25 * (1 - np.clip(u @ u.T, 0, 1)) + 0.35 * jac + 0.10 * same
+        d = 0.25 * (1 - np.exp(-np.abs(t[:, None] - t[None, :]) / 14)) + 0.20 * (1 - np.clip(u @ u.T, 0, 1)) + 0.15 * far["entities"] + 0.30 * far["rows"] + 0.10 * same
         np.fill_diagonal(d, 0)
         label = cluster.refine(d, cluster.cluster_or_single(d))
         return pd.DataFrame({"occurrence": pdf["occurrence"], "cluster": label.astype(int)})
 
-    return o.select("occurrence", "kind", "peak", "centroid", "keys").groupBy().applyInPandas(run, "occurrence string, cluster int")
+    one = F.lit(1).alias("_g")
+    return o.select(one, "occurrence", "kind", "peak", "centroid", "named").groupBy("_g").cogroup(shared.select(one, "*").groupBy("_g")).applyInPandas(run, "occurrence string, cluster int")
 
 
 def deduplicate(members: DataFrame, occurrence: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:

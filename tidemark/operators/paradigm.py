@@ -17,14 +17,16 @@ STATE = "window_end date, dominant array<string>, kind string, scores array<doub
 def states(weekly: DataFrame, group: str, week: str, value: str, groups: list[str], weeks: int = 12, step_days: int = 1, least: int = 11) -> DataFrame:
     """The state of each window of ``weeks`` weeks that ends on a day: scores of the groups, the dominant ones.
 
-    A window's weekly means come from one aggregation over exploded days; each window is
-    then a group of its own (weeks times groups numbers), so that windows spread over all
-    tasks.
+    A window's weekly means are trailing means of seven days, taken a week apart: each
+    day's mean goes to ``weeks`` window ends.  Each window is then a group of its own
+    (weeks times groups numbers), so that windows spread over all tasks.
     """
     daily = series.interpolate_daily(weekly, group, week, value)
     ends = daily.agg(F.min(week).alias("a"), F.max(week).alias("b"))
-    wide = daily.crossJoin(F.broadcast(ends)).withColumn("window_end", F.explode(F.sequence(F.col(week), F.least(F.date_add(week, 7 * weeks - 1), "b")))).where(F.pmod(F.datediff("window_end", "a"), F.lit(step_days)) == 0)
-    means = wide.groupBy("window_end", group, F.floor(F.datediff("window_end", week) / 7).cast("int").alias("k")).agg(F.avg(value).alias("v"), F.count("*").alias("n")).where("n = 7")
+    last7 = Window.partitionBy(group).orderBy(F.datediff(week, F.lit("1970-01-01").cast("date"))).rangeBetween(-6, 0)
+    mean = daily.withColumns({"v": F.avg(value).over(last7), "n": F.count("*").over(last7)}).where("n = 7")
+    wide = mean.crossJoin(F.broadcast(ends)).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(weeks - 1)))).withColumn("window_end", F.date_add(week, 7 * F.col("k")))  # one row
+    means = wide.where((F.col("window_end") <= F.col("b")) & (F.pmod(F.datediff("window_end", "a"), F.lit(step_days)) == 0)).select("window_end", group, "k", "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.pivot_table(index="k", columns=group, values="v").sort_index(ascending=False).reindex(columns=groups).fillna(0.0).to_numpy()

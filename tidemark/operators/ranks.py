@@ -58,3 +58,25 @@ def benjamini_hochberg(df: DataFrame, groups: Sequence[str], p: str, tiebreak: s
     q = F.min(F.col(p) * F.col("_n") / F.col("_i")).over(Window.partitionBy(*groups).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0))
     out = ranked.withColumn("q", F.least(q, F.lit(1.0))).drop("_i", "_n")
     return out.unionByName(df.where(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
+
+
+def quantile(df: DataFrame, groups: Sequence[str], value: str, p: float) -> DataFrame:
+    """(groups, quantile): the interpolated quantile of each group's values, exactly, however many a group has.
+
+    Equal values are counted first; the distinct ones are range-partitioned by group and
+    value, and each part's start comes from the totals of the parts, a row each, so that no
+    group is held or sorted in one task.
+    """
+    from ..functions.staging import stage
+
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_n"))
+    parts = stage(counts.repartitionByRange(*groups, value).withColumn("_part", F.spark_partition_id()), "quantile")
+    sums = parts.groupBy(*groups, "_part").agg(F.sum("_n").alias("_s"))
+    whole = Window.partitionBy(*groups)
+    starts = sums.select(*groups, "_part", (F.sum("_s").over(whole.orderBy("_part")) - F.col("_s")).alias("_start"), F.sum("_s").over(whole).alias("_all"))
+    w = Window.partitionBy(*groups, "_part").orderBy(value)
+    at = parts.join(starts, [*groups, "_part"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(w)).withColumn("_below", F.col("_upto") - F.col("_n"))
+    spot = (F.col("_all") - 1) * p
+    pick = lambda i: F.max(F.when((F.col("_below") <= i) & (i < F.col("_upto")), F.col(value)))
+    got = at.groupBy(*groups).agg(pick(F.floor(spot)).alias("_a"), pick(F.ceil(spot)).alias("_b"), F.max(spot - F.floor(spot)).alias("_f"))
+    return got.select(*groups, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))

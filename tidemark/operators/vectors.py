@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine, dot
+from .ranks import quantile
 
 
 def mean_vector(vector: str, dim: int, weight: Column | None = None) -> Column:
@@ -65,7 +66,7 @@ def convergence_trend(df: DataFrame, group: str, order: Sequence[str], vector: s
 
 def top_quartile_centroid(df: DataFrame, group: str, signal: str, vector: str, dim: int) -> DataFrame:
     """Signal-weighted mean of the rows whose signal is in their group's top quarter."""
-    limit = df.groupBy(group).agg(F.percentile(signal, F.lit(0.75)).alias("_q"))
+    limit = quantile(df, [group], signal, 0.75).withColumnRenamed("quantile", "_q")
     return centroids(df.join(limit, group).where(F.col(signal) >= F.col("_q")), [group], vector, dim, F.col(signal))
 
 
