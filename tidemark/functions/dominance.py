@@ -15,33 +15,28 @@ FAMILIES = {
 
 
 def _ranked(a: np.ndarray, damping: float = 0.85) -> tuple[np.ndarray, np.ndarray]:
-    """PageRank and eigenvector centrality of a weighted matrix without a diagonal."""
-    n = len(a)
-    out = a.sum(1)
-    move = np.divide(a, out[:, None], out=np.full((n, n), 1 / n), where=out[:, None] > 0)
-    r = np.full(n, 1 / n)
+    """PageRank and eigenvector centrality of each of a stack of weighted matrices without a diagonal."""
+    k, n, _ = a.shape
+    out = a.sum(2, keepdims=True)
+    move = np.divide(a, out, out=np.full(a.shape, 1 / n), where=out > 0)
+    r = np.full((k, 1, n), 1 / n)
     for _ in range(100):
-        r = damping * r @ move + (1 - damping) / n
-    v = np.ones(n)
+        r = damping * (r @ move) + (1 - damping) / n
+    v = np.ones((k, n, 1))
     for _ in range(200):
         v = a @ v + 1e-12
-        v /= np.linalg.norm(v)
-    return r, v
+        v /= np.sqrt((v * v).sum(1, keepdims=True))
+    return r[:, 0], v[:, :, 0]
 
 
 def _network(x: np.ndarray, window: int = 8) -> dict[str, np.ndarray]:
     """Groups are linked where both are above their medians at once; stability over windows that move along."""
     high = (x > np.median(x, axis=0)).astype(float)
-
-    def matrix(h: np.ndarray) -> np.ndarray:
-        a = h.T @ h
-        np.fill_diagonal(a, 0)
-        return a
-
-    page, eigen = _ranked(matrix(high))
-    parts = [_ranked(matrix(high[i : i + window])) for i in range(max(1, len(x) - window + 1))]
-    sd = lambda k: np.std([p[k] for p in parts], axis=0)
-    return {"pagerank": page, "pagerank_stability": 1 / (1 + sd(0)), "eigenvector": eigen, "eigenvector_stability": 1 / (1 + sd(1))}
+    parts = [high, *(high[i : i + window] for i in range(max(1, len(x) - window + 1)))]
+    a = np.stack([h.T @ h for h in parts])
+    a[:, np.arange(x.shape[1]), np.arange(x.shape[1])] = 0
+    page, eigen = _ranked(a)
+    return {"pagerank": page[0], "pagerank_stability": 1 / (1 + page[1:].std(0)), "eigenvector": eigen[0], "eigenvector_stability": 1 / (1 + eigen[1:].std(0))}
 
 
 def metrics(x: np.ndarray) -> dict[str, np.ndarray]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -416,8 +417,11 @@ def bins(x: np.ndarray, n: int = 5) -> np.ndarray:
 
 
 def joint_entropy(*columns: np.ndarray) -> float:
-    _, c = np.unique(np.stack(columns), axis=1, return_counts=True)
-    p = c / c.sum()
+    """Bits of the joint distribution of columns of classes."""
+    n = len(columns[0])
+    if n <= 64:  # too short for array calls to pay
+        return -sum(c / n * math.log2(c / n) for c in Counter(zip(*(x.tolist() for x in columns))).values())
+    p = np.unique(np.stack(columns), axis=1, return_counts=True)[1] / n
     return float(-(p * np.log2(p)).sum())
 
 
