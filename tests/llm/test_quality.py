@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from tidemark.llm import quality
 
@@ -64,3 +65,19 @@ def test_long_texts_are_compressed_whole():
     for text in ("buy cheap pills now ! " * 12_000, "buy cheap pills now ! " * 120_000):  # 264,000 and 2.6 million bytes
         assert abs(quality.features(text)[13] - len(zlib.compress(text.encode(), 1)) / len(text)) < 1e-3
         assert quality.features(text)[13] < 0.02
+
+
+def test_scores_against_brute_force(spark):
+    """Spark's scores are the network's, written out for each text; an id that is repeated counts once in training."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(1, 60)))) + ("." if i % 2 else " !!!! $$")) for i in range(120)] + [(500, None), (501, ""), (None, "no id")]
+    docs = spark.createDataFrame(rows + [(0, f"again {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(120)], "doc_id long, quality int")
+    m = quality.train(docs, labels, max_positive=40, max_unlabelled=60)
+    got = {r.doc_id: r.score for r in quality.score_quality(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    for d, t in rows:
+        z = (quality.features(t).astype(float) - m.mean) / m.scale
+        hidden = [max(0.0, sum(min(6.0, max(-6.0, a)) * w for a, w in zip(z, m.layers[0][:, j])) + m.layers[1][j]) for j in range(len(m.layers[1]))]
+        logit = sum(h * w for h, w in zip(hidden, m.layers[2])) + m.layers[3]
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
