@@ -230,6 +230,7 @@ class Fit(NamedTuple):
     p: np.ndarray
     r2: float
     resid: np.ndarray
+    cov: np.ndarray | None = None
 
 
 def ols(y: np.ndarray, x: np.ndarray, cov: str = "plain", lags: int | None = None) -> Fit:
@@ -255,7 +256,15 @@ def ols(y: np.ndarray, x: np.ndarray, cov: str = "plain", lags: int | None = Non
     t = np.divide(beta, se, out=np.zeros(k), where=se > 0)
     p = np.array([2 * (norm_sf(abs(z)) if cov == "hac" else t_sf(abs(z), max(1, n - k))) for z in t])
     total = float(((y - y.mean()) ** 2).sum())
-    return Fit(beta, se, t, p, 1 - float(e @ e) / total if total > 0 else 0.0, e)
+    return Fit(beta, se, t, p, 1 - float(e @ e) / total if total > 0 else 0.0, e, v)
+
+
+def wald(fit: Fit, columns: np.ndarray, df: int) -> float:
+    """One-sided p that the sum of some coefficients has the sign that it has."""
+    if fit.cov is None:
+        return 1.0
+    var = float(fit.cov[np.ix_(columns, columns)].sum())
+    return t_sf(abs(float(fit.beta[columns].sum())) / math.sqrt(var), max(1, df)) if var > 0 else 1.0
 
 
 def logit(y: np.ndarray, x: np.ndarray, rounds: int = 50) -> Fit:

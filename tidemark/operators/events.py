@@ -253,6 +253,55 @@ def occurrence_entities(belonging: DataFrame, entities: DataFrame, key: str, ent
     return x.groupBy("occurrence", entity).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+def occurrence_confidence(occurrence: DataFrame, belonging: DataFrame, seeds: DataFrame, rows: DataFrame, key: str, outlet: str, coherence: DataFrame | None = None, baseline: float = 0.0, low: float = 0.40) -> DataFrame:
+    """(occurrence, tightness, coherence, diversity, recruitment, size, confidence, low_confidence): five parts, a fifth each.
+
+    tightness: mean belonging; coherence: likeness (occurrence, similarity) beyond the
+    corpus ``baseline``; diversity: 1 - 1 / outlets; recruitment: rows over seeds, less one,
+    by two; size: mass by ten.  All from 0 to 1.
+    """
+    one = F.lit(1.0)
+    unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), one)
+    b = belonging.join(rows.select(key, outlet), key).join(seeds.select(key, "occurrence").distinct().withColumn("_s", F.lit(1)), [key, "occurrence"], "left")
+    a = b.groupBy("occurrence").agg(F.avg("belonging").alias("tightness"), F.count_distinct(outlet).alias("_m"), F.count("*").alias("_n"), F.count("_s").alias("_s"), F.sum("belonging").alias("_mass"))
+    x = occurrence.select("occurrence").join(a, "occurrence")
+    x = x.join(coherence.select("occurrence", "similarity"), "occurrence", "left") if coherence is not None else x.withColumn("similarity", F.lit(0.0))
+    parts = {"coherence": unit((F.coalesce("similarity", F.lit(0.0)) - baseline) / (1 - baseline)), "diversity": 1 - 1 / F.greatest("_m", F.lit(1)), "recruitment": unit((F.col("_n") / F.greatest("_s", F.lit(1)) - 1) / 2), "size": F.least(one, F.col("_mass") / 10)}
+    x = x.withColumns(parts)
+    x = x.withColumn("confidence", 0.2 * (F.col("tightness") + F.col("coherence") + F.col("diversity") + F.col("recruitment") + F.col("size")))
+    return x.select("occurrence", "tightness", *parts, "confidence", (F.col("confidence") < low).alias("low_confidence"))
+
+
+def ranked_types(members: DataFrame, clusters: DataFrame, occurrence: DataFrame, key: str, scores: DataFrame | None = None) -> DataFrame:
+    """(cluster, kind, connectivity, role, score, place): types of an event, half by structure and half by ``scores`` (occurrence, kind, score).
+
+    structure: 0.6 of the share of mass and 0.4 of the mean Jaccard overlap of rows with the
+    event's other types (1 for a single type); both halves are over their best.  A type
+    without overlap, among several, is a satellite.  Overlaps come from a join on rows.
+    """
+    m = clusters.join(occurrence.select("occurrence", "kind", "mass"), "occurrence")
+    mass = m.groupBy("cluster", "kind").agg(F.sum("mass").alias("_mass"))
+    mass = mass.withColumns({"_share": F.col("_mass") / F.sum("_mass").over(Window.partitionBy("cluster")), "_k": F.count("*").over(Window.partitionBy("cluster"))})
+    held = clusters.join(members.select("occurrence", "kind", key), "occurrence").select("cluster", "kind", key).distinct()
+    n = held.groupBy("cluster", "kind").agg(F.count("*").alias("_n"))
+    both = held.withColumnRenamed("kind", "k1").join(held.withColumnRenamed("kind", "k2"), ["cluster", key]).where("k1 <> k2").groupBy("cluster", "k1", "k2").agg(F.count("*").alias("_c"))
+    j = both.join(n.select("cluster", F.col("kind").alias("k1"), F.col("_n").alias("_n1")), ["cluster", "k1"]).join(n.select("cluster", F.col("kind").alias("k2"), F.col("_n").alias("_n2")), ["cluster", "k2"])
+    links = j.groupBy("cluster", F.col("k1").alias("kind")).agg(F.sum(F.col("_c") / (F.col("_n1") + F.col("_n2") - F.col("_c"))).alias("_j"))
+    x = mass.join(links, ["cluster", "kind"], "left").withColumn("connectivity", F.when(F.col("_k") > 1, F.coalesce("_j", F.lit(0.0)) / (F.col("_k") - 1)).otherwise(1.0))
+    x = x.withColumn("_s", 0.6 * F.col("_share") + 0.4 * F.col("connectivity"))
+    best = lambda c: F.max(c).over(Window.partitionBy("cluster"))
+    over = lambda c: F.when(best(c) > 0, F.col(c) / best(c)).otherwise(0.0)
+    if scores is not None:
+        total = m.groupBy("cluster").agg(F.sum("mass").alias("_all"))
+        by = clusters.join(occurrence.select("occurrence", "mass"), "occurrence").join(scores.select("occurrence", "kind", "score"), "occurrence").groupBy("cluster", "kind").agg(F.sum(F.col("mass") * F.col("score")).alias("_w")).join(total, "cluster").select("cluster", "kind", (F.col("_w") / F.col("_all")).alias("_l"))
+        x = x.join(by, ["cluster", "kind"], "full")
+    else:
+        x = x.withColumn("_l", F.lit(0.0))
+    x = x.fillna(0.0, ["_s", "_l", "connectivity"]).withColumn("score", 0.5 * over("_s") + 0.5 * over("_l")).where("score > 0")
+    role = F.when(F.col("_k").isNull(), "absent").when((F.col("_k") == 1) | (F.col("connectivity") > 0), "constitutive").otherwise("satellite")
+    return x.select("cluster", "kind", "connectivity", role.alias("role"), "score", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(F.round("score", 12)), "kind")).alias("place"))
+
+
 def burst_metrics(links: DataFrame, occurrence: DataFrame, burst: str = "burst_id", low: float = 0.40) -> DataFrame:
     """One row a burst over its occurrences: number, types, mean confidence, how many are below ``low``, mean and total mass, and temporal_overlap.
 
@@ -394,13 +443,20 @@ def split_disconnected(clusters: DataFrame, occurrence: DataFrame, members: Data
     return x.select("occurrence", F.concat_ws("/", "cluster", F.dense_rank().over(Window.partitionBy("cluster").orderBy("part"))).alias("cluster"))
 
 
-def contained(clusters: DataFrame, members: DataFrame, key: str, threshold: float = 0.70) -> DataFrame:
-    """(small, large, share): clusters most of whose rows another, larger one holds; ties go to the smaller name."""
+def contained(clusters: DataFrame, members: DataFrame, key: str, threshold: float = 0.70, peaks: DataFrame | None = None, gap_days: int = 14) -> DataFrame:
+    """(small, large, share): clusters most of whose rows another, larger one holds; ties go to the smaller name.
+
+    With ``peaks`` (cluster, kind, peak), clusters of different types count only if their
+    peaks are ``gap_days`` apart at most.
+    """
     m = clusters.join(members.select("occurrence", key).distinct(), "occurrence").select("cluster", key).distinct()
     size = m.groupBy("cluster").agg(F.count("*").alias("n"))
     both = m.withColumnRenamed("cluster", "a").join(m.withColumnRenamed("cluster", "b"), key).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("c"))
     x = both.join(size.select(F.col("cluster").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cluster").alias("b"), F.col("n").alias("nb")), "b")
     first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a").cast("string") > F.col("b").cast("string")))
+    if peaks is not None:
+        p = peaks.select("cluster", "kind", "peak")
+        x = x.join(p.toDF("a", "_k1", "_p1"), "a").join(p.toDF("b", "_k2", "_p2"), "b").where((F.col("_k1") == F.col("_k2")) | (F.abs(F.datediff("_p1", "_p2")) <= gap_days))
     return x.where(first & (F.col("c") / F.col("na") >= threshold)).select(F.col("a").alias("small"), F.col("b").alias("large"), (F.col("c") / F.col("na")).alias("share"))
 
 

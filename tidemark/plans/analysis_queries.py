@@ -173,6 +173,13 @@ def hac_ols(spark, sf):
 
 @query("temporal_validation")
 def temporal_validation(spark, sf):
+    """Selected drivers on expanding folds and on the last three tenths."""
+    w, m = _weekly_mass(spark, sf)
+    return impact.validate_drivers(w, m, "model", "week", "proportion", "entity")
+
+
+@query("autoregression_validation")
+def autoregression_validation(spark, sf):
     return impact.validate(_weekly_mass(spark, sf)[0], "model", "week", "proportion")
 
 

@@ -198,6 +198,55 @@ def type_rankings(spark, sf):
     return _round(got, "mass", digits=4).withColumn("place", F.col("place").cast("long"))
 
 
+@query("occurrence_confidence", f"""WITH {OCC}, a AS (SELECT occ, avg(bel) AS t, count(DISTINCT outlet) AS m, count(*) AS n, count(*) FILTER (k % 4 = 0) AS s, sum(bel) AS mass, max(k) % 10 / 10 AS sim FROM r WHERE k % 60 < 3 GROUP BY 1),
+p AS (SELECT occ, t, greatest(0, least(1, (sim - 0.2) / 0.8)) AS c, 1 - 1 / greatest(m, 1) AS d, greatest(0, least(1, (n / greatest(s, 1) - 1) / 2)) AS q, least(1, mass / 10) AS z FROM a)
+SELECT occ AS occurrence, round(t, 6) + 0.0 AS tightness, round(c, 6) + 0.0 AS coherence, round(d, 6) + 0.0 AS diversity, round(q, 6) + 0.0 AS recruitment, round(z, 6) + 0.0 AS size, round(0.2 * (t + c + d + q + z), 6) + 0.0 AS confidence, 0.2 * (t + c + d + q + z) < 0.4 AS low_confidence FROM p""")
+def occurrence_confidence(spark, sf):
+    """The five parts of an occurrence's confidence; its likeness is stood for by a number from its rows."""
+    r, b, o = _occ(spark, sf)
+    some = F.col("k") % 60 < 3  # an occurrence's rows; the seeds are some of them
+    alike = r.where(some).groupBy("occurrence").agg((F.max("k") % 10 / 10).alias("similarity"))
+    got = ev.occurrence_confidence(o, b.where(some), r.where(some & (F.col("k") % 4 == 0)), r, "k", "outlet", alike, 0.2)
+    return _round(got, "tightness", "coherence", "diversity", "recruitment", "size", "confidence")
+
+
+@query("ranked_types", f"""WITH {OCC}, cl AS (SELECT occurrence, kind, mass, right(occurrence, 4) AS cluster FROM oc), ms AS (SELECT cluster, kind, sum(mass) AS mass FROM cl GROUP BY 1, 2), sh AS (SELECT *, mass / sum(mass) OVER (PARTITION BY cluster) AS share, count(*) OVER (PARTITION BY cluster) AS n FROM ms),
+h AS (SELECT DISTINCT right(occ, 4) AS cluster, f AS kind, c FROM r), hn AS (SELECT cluster, kind, count(*) AS n FROM h GROUP BY 1, 2), j AS (SELECT a.cluster, a.kind, z.kind AS other, count(*) AS c FROM h a JOIN h z ON a.cluster = z.cluster AND a.c = z.c AND a.kind <> z.kind GROUP BY 1, 2, 3),
+l AS (SELECT j.cluster, j.kind, sum(j.c / (x.n + y.n - j.c)) AS j FROM j JOIN hn x ON x.cluster = j.cluster AND x.kind = j.kind JOIN hn y ON y.cluster = j.cluster AND y.kind = j.other GROUP BY 1, 2), sc AS (SELECT occurrence, k.kind, CASE WHEN k.kind = cl.kind THEN 0.8 WHEN k.kind < cl.kind THEN 0.3 ELSE 0.1 END AS score, cluster, mass FROM cl, (SELECT DISTINCT kind FROM cl) k),
+w AS (SELECT cluster, kind, sum(mass * score) AS w FROM sc GROUP BY 1, 2), t AS (SELECT cluster, sum(mass) AS t FROM ms GROUP BY 1), x AS (SELECT sh.cluster, sh.kind, coalesce(j, 0) / (n - 1) AS connectivity, 0.6 * share + 0.4 * coalesce(j, 0) / (n - 1) AS s, w / t AS l FROM sh LEFT JOIN l ON l.cluster = sh.cluster AND l.kind = sh.kind JOIN w ON w.cluster = sh.cluster AND w.kind = sh.kind JOIN t ON t.cluster = sh.cluster),
+y AS (SELECT *, 0.5 * s / max(s) OVER (PARTITION BY cluster) + 0.5 * l / max(l) OVER (PARTITION BY cluster) AS score FROM x)
+SELECT cluster, kind, round(connectivity, 6) + 0.0 AS connectivity, CASE WHEN connectivity > 0 THEN 'constitutive' ELSE 'satellite' END AS role, round(score, 6) + 0.0 AS score, CAST(row_number() OVER (PARTITION BY cluster ORDER BY round(score, 12) DESC, kind) AS INTEGER) AS place FROM y""")
+def ranked_types(spark, sf):
+    """Types of a year's orders by mass, by customers in common, and by a score."""
+    r, _, o = _occ(spark, sf)
+    clusters = o.select("occurrence", F.substring("occurrence", -4, 4).alias("cluster"))
+    kinds = o.select(F.col("kind").alias("_k")).distinct()
+    scores = o.crossJoin(F.broadcast(kinds)).select("occurrence", F.col("_k").alias("kind"), F.when(F.col("_k") == F.col("kind"), 0.8).when(F.col("_k") < F.col("kind"), 0.3).otherwise(0.1).alias("score"))  # the closed list of frames
+    return _round(ev.ranked_types(r.select("occurrence", F.col("f").alias("kind"), "c"), clusters, o, "c", scores), "connectivity", "score")
+
+
+@query("information_pairs", f"""WITH {DAILY}, w AS (SELECT CAST(d + CAST((7 - isodow(d)) AS INTEGER) AS DATE) AS week, f, avg(p) AS p FROM s GROUP BY 1, 2), bn AS MATERIALIZED (SELECT week, f, row_number() OVER (PARTITION BY f ORDER BY week) AS i, least(CAST(floor(round((p - min(p) OVER (PARTITION BY f)) / (max(p) OVER (PARTITION BY f) - min(p) OVER (PARTITION BY f)) * 5, 9)) AS INTEGER), 4) AS b FROM w),
+x AS MATERIALIZED (SELECT a.f AS a, z.f AS z, a.i, a.b AS xa, z.b AS xz, lag(a.b) OVER q AS pa, lag(z.b) OVER q AS pz FROM bn a JOIN bn z ON a.i = z.i AND a.f <> z.f WINDOW q AS (PARTITION BY a.f, z.f ORDER BY a.i)),
+h1 AS (SELECT a, z, -sum(p * log2(p)) AS h FROM (SELECT a, z, count(*) / sum(count(*)) OVER (PARTITION BY a, z) AS p FROM x GROUP BY a, z, xa) GROUP BY 1, 2), h2 AS (SELECT a, z, -sum(p * log2(p)) AS h FROM (SELECT a, z, count(*) / sum(count(*)) OVER (PARTITION BY a, z) AS p FROM x GROUP BY a, z, xz) GROUP BY 1, 2),
+h3 AS (SELECT a, z, -sum(p * log2(p)) AS h FROM (SELECT a, z, count(*) / sum(count(*)) OVER (PARTITION BY a, z) AS p FROM x GROUP BY a, z, xa, xz) GROUP BY 1, 2), y AS (SELECT * FROM x WHERE pa IS NOT NULL),
+t1 AS (SELECT a, z, -sum(p * log2(p)) AS h FROM (SELECT a, z, count(*) / sum(count(*)) OVER (PARTITION BY a, z) AS p FROM y GROUP BY a, z, xz, pz) GROUP BY 1, 2), t2 AS (SELECT a, z, -sum(p * log2(p)) AS h FROM (SELECT a, z, count(*) / sum(count(*)) OVER (PARTITION BY a, z) AS p FROM y GROUP BY a, z, pz) GROUP BY 1, 2),
+t3 AS (SELECT a, z, -sum(p * log2(p)) AS h FROM (SELECT a, z, count(*) / sum(count(*)) OVER (PARTITION BY a, z) AS p FROM y GROUP BY a, z, xz, pz, pa) GROUP BY 1, 2), t4 AS (SELECT a, z, -sum(p * log2(p)) AS h FROM (SELECT a, z, count(*) / sum(count(*)) OVER (PARTITION BY a, z) AS p FROM y GROUP BY a, z, pz, pa) GROUP BY 1, 2)
+SELECT a AS source, z AS target, round(h1.h + h2.h - h3.h, 6) + 0.0 AS mutual_information, round(h3.h, 6) + 0.0 AS joint_entropy, round(h3.h - h1.h, 6) + 0.0 AS conditional_entropy, round(t1.h - t2.h - t3.h + t4.h, 6) + 0.0 AS transfer_entropy FROM h1 JOIN h2 USING (a, z) JOIN h3 USING (a, z) JOIN t1 USING (a, z) JOIN t2 USING (a, z) JOIN t3 USING (a, z) JOIN t4 USING (a, z)""")
+def information_pairs(spark, sf):
+    """What a frame's weekly share says of another's, in bits, over five classes of equal width."""
+    w = series.weekly(daily(spark, sf), "f", "d").select("f", "week", "proportion")
+    x = w.withColumnsRenamed({"f": "a", "proportion": "x"}).join(w.withColumnsRenamed({"f": "z", "proportion": "y"}), "week").where("a <> z").withColumn("pair", F.concat_ws(">", "a", "z"))
+
+    def run(p):
+        p = p.sort_values("week")
+        a, z = stats.bins(p["x"].to_numpy()), stats.bins(p["y"].to_numpy())
+        joint = stats.joint_entropy(a, z)
+        return [(p["a"].iloc[0], p["z"].iloc[0], stats.mutual_information(a, z), joint, joint - stats.joint_entropy(a), stats.transfer_entropy(a, z))]
+
+    got = dq.per_group(x, "pair", run, "source string, target string, mutual_information double, joint_entropy double, conditional_entropy double, transfer_entropy double")
+    return _round(got, "mutual_information", "joint_entropy", "conditional_entropy", "transfer_entropy")
+
+
 @query("adaptive_membership")
 def adaptive_membership(spark, sf):
     """Soft membership with a threshold for each occurrence, in two rounds."""
