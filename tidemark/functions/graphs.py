@@ -355,18 +355,22 @@ def _max_flow(cap: dict[int, dict[int, int]], s: int, t: int) -> int:
         total += 1
 
 
-def edge_connectivity(g: Graph) -> int:
-    if g.n >= 100 or g.n < 2 or not g.connected:
+def edge_connectivity(g: Graph) -> int | None:
+    if g.n < 2 or not g.connected:
         return 0
+    if g.n >= 100:
+        return None
     cap = {u: {v: 1 for v in g.near[u]} for u in range(g.n)}
     return min(_max_flow(cap, 0, t) for t in range(1, g.n))
 
 
-def node_connectivity(g: Graph) -> int:
-    if g.n >= 100 or g.n < 2 or not g.connected:
+def node_connectivity(g: Graph) -> int | None:
+    if g.n < 2 or not g.connected:
         return 0
     if g.m == g.n * (g.n - 1) // 2:
         return g.n - 1
+    if g.n >= 100:
+        return None
     cap: dict[int, dict[int, int]] = {}
     for u in range(g.n):  # a node is an edge from its entry 2u to its exit 2u + 1
         cap.setdefault(2 * u, {})[2 * u + 1] = 1
@@ -392,7 +396,7 @@ def rich_club(g: Graph) -> dict[int, float] | None:
 
 
 def _robust(g: Graph, drop: list[int]) -> float:
-    if g.n > 1000 or not g.n:
+    if not g.n:
         return 0.0
     rest = set(range(g.n)) - set(drop)
     parts = components_of(g.near, rest)
@@ -505,9 +509,11 @@ def _percolation_threshold(g: Graph) -> float:
     return float(k / (k2 - k)) if k2 > k else 0.0
 
 
-def _spanning_trees(g: Graph) -> float:
-    if g.n >= 20 or not g.connected or g.n < 2:
+def _spanning_trees(g: Graph) -> float | None:
+    if not g.connected or g.n < 2:
         return 0.0
+    if g.n >= 20:
+        return None
     return float(round(np.linalg.det((np.diag(g.degree) - g.adjacency)[1:, 1:])))
 
 
@@ -571,17 +577,17 @@ REGISTRY: dict[str, tuple[str, Callable]] = {
     "periphery": ("structure", lambda g: _by_component(g, lambda h: (_eccentricity(h) == _eccentricity(h).max()).astype(float))),
     "average_path_length": ("structure", lambda g: _path_length(g) if g.n <= 10_000 else None),
     "global_efficiency": ("structure", _efficiency),
-    "local_efficiency": ("structure", lambda g: _local_efficiency(g) if g.n <= 3000 else 0.0),
+    "local_efficiency": ("structure", lambda g: _local_efficiency(g) if g.n <= 3000 else None),
     "assortativity": ("structure", _assortativity),
     "degree_assortativity": ("structure", _assortativity),
     "rich_club": ("structure", rich_club),
     "s_metric": ("structure", lambda g: float(sum(g.degree[x] * g.degree[y] for x, y in g.edges))),
-    "node_connectivity": ("connectivity", lambda g: float(node_connectivity(g))),
-    "edge_connectivity": ("connectivity", lambda g: float(edge_connectivity(g))),
+    "node_connectivity": ("connectivity", node_connectivity),
+    "edge_connectivity": ("connectivity", edge_connectivity),
     "algebraic_connectivity": ("connectivity", lambda g: float(g.laplacian_spectrum[1]) if g.n > 1 and g.connected else 0.0),
     "spectral_gap": ("connectivity", lambda g: float(g.spectrum[-1] - g.spectrum[-2]) if g.n > 1 else 0.0),
     "cheeger_constant": ("connectivity", lambda g: float(g.laplacian_spectrum[1]) / 2 if g.n > 1 and g.connected else 0.0),
-    "vertex_expansion": ("connectivity", lambda g: float((g.degree < g.degree.mean()).mean()) if g.n < 100 else 0.0),
+    "vertex_expansion": ("connectivity", lambda g: float((g.degree < g.degree.mean()).mean())),
     "edge_expansion": ("connectivity", lambda g: float(g.laplacian_spectrum[1]) / 2 if g.n > 1 and g.connected else 0.0),
     "percolation_threshold": ("robustness", _percolation_threshold),
     "attack_robustness": ("robustness", _attack),
@@ -589,7 +595,7 @@ REGISTRY: dict[str, tuple[str, Callable]] = {
     "cascading_failure": ("robustness", lambda g: float((g.degree < 0.3 * g.degree.mean()).mean())),
     "k_core": ("robustness", lambda g: core_numbers(g).astype(float)),
     "degeneracy": ("robustness", lambda g: float(core_numbers(g).max())),
-    "toughness": ("robustness", lambda g: 1 / k if (k := node_connectivity(g)) else 0.0),
+    "toughness": ("robustness", lambda g: 1 / k if (k := node_connectivity(g)) else k),
     "epidemic_threshold": ("propagation", _threshold),
     "R0": ("propagation", lambda g: float(g.degree.mean() + g.degree.var() / g.degree.mean())),
     "influence_maximization": ("propagation", _degree),
@@ -599,7 +605,7 @@ REGISTRY: dict[str, tuple[str, Callable]] = {
     "eigenvalues": ("spectral", lambda g: {i: float(x) for i, x in enumerate(g.spectrum[::-1])}),
     "spectral_radius": ("spectral", lambda g: float(np.abs(g.spectrum).max())),
     "energy": ("spectral", lambda g: float(np.abs(g.spectrum).sum())),
-    "estrada_index": ("spectral", lambda g: float(np.exp(g.spectrum).sum()) if g.n < 100 else None),
+    "estrada_index": ("spectral", lambda g: float(np.exp(g.spectrum).sum())),
     "spanning_tree_count": ("spectral", _spanning_trees),
 }
 
