@@ -281,3 +281,11 @@ def test_registered_states_slide_by_a_day_and_drop_no_group(spark, tmp_path):
     assert len(vocabulary(spark.range(150), "id")) == 150
     with pytest.raises(ValueError):
         vocabulary(spark.range(150), "id", most=100)
+
+
+def test_clashing_names_are_not_joined(spark):
+    """A surname alone joins either of two first names, but not both together."""
+    rows = [("PER", "John Smith", 9), ("PER", "J. Smith", 3), ("PER", "Jane Smith", 5), ("PER", "Jon Smithe", 1), ("ORG", "acme inc", 2), ("ORG", "Acme", 4)]
+    got = {(r.type, r["name"]): r.canonical for r in resolve.resolve(spark.createDataFrame(rows, "type string, name string, n long")).collect()}
+    assert got["PER", "John Smith"] == "John Smith" and got["PER", "Jane Smith"] == "Jane Smith"
+    assert got["PER", "J. Smith"] in ("John Smith", "Jane Smith") and got["ORG", "acme inc"] == got["ORG", "Acme"] == "Acme"

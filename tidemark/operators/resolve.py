@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import blocking_keys
+from ..functions.staging import stage
 from .graph import components
 
 SUFFIXES = {"inc", "ltd", "corp", "co", "company", "llc", "gmbh", "sa", "university", "the", "of"}
@@ -78,14 +79,40 @@ def pairs(entities: DataFrame, name: str = "name", kind: str = "type") -> DataFr
 def resolve(entities: DataFrame, threshold: float = 0.75, name: str = "name", kind: str = "type", count: str = "n") -> DataFrame:
     """(type, name, n, canonical): names joined at ``threshold`` and above; the canonical one is the longest of the most frequent.
 
-    Components are found on typed names by contraction; nothing is gathered.
+    Components are found on typed names by contraction.  One that holds two names of
+    likeness 0 (they clash) is split: its links are taken from the likest on, and none that
+    would bring a clashing pair together.
     """
     e = entities.groupBy(F.col(kind).alias("type"), F.col(name).alias("name")).agg(F.sum(count).alias("n"))
     ident = lambda n: F.concat_ws("\u0001", "type", n)
     ids = e.withColumn("id", ident("name"))
-    links = pairs(e).where(F.col("score") >= threshold).select(ident("a").alias("src"), ident("b").alias("dst"))
-    comp = components(links)
-    x = ids.join(comp, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
+    scored = stage(pairs(e).select(ident("a").alias("src"), ident("b").alias("dst"), "score"), "likeness")
+    comp = stage(components(scored.where(F.col("score") >= threshold)), "entity-components")
+    of = lambda end, c: comp.select(F.col("node").alias(end), F.col("component").alias(c))
+    inside = scored.where((F.col("score") >= threshold) | (F.col("score") == 0)).join(of("src", "c"), "src").join(of("dst", "c2"), "dst").where("c = c2").drop("c2")
+    inside = stage(inside, "inside-components")
+    clash = inside.where("score = 0").select("c").distinct()
+    part = inside.join(clash, "c", "left_semi").groupBy("c").applyInPandas(_split, "node string, part string")
+    x = ids.join(comp, F.col("id") == F.col("node"), "left").drop("node").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("part", "component", "id"))
     w = Window.partitionBy("type", "c")
     best = F.max(F.struct("n", F.char_length("name").alias("l"), "name")).over(w)
     return x.select("type", "name", "n", best["name"].alias("canonical"))
+
+
+def _split(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a component, likest first, that bring no two clashing names together."""
+    root: dict[str, str] = {n: n for n in sorted({*pdf["src"], *pdf["dst"]})}
+    held = {n: {n} for n in root}
+    far: dict[str, set[str]] = {n: set() for n in root}
+    for a, b in pdf.loc[pdf["score"] == 0, ["src", "dst"]].itertuples(index=False):
+        far[a].add(b)
+        far[b].add(a)
+    links = pdf[pdf["score"] > 0].sort_values(["score", "src", "dst"], ascending=[False, True, True])
+    for a, b in links[["src", "dst"]].itertuples(index=False):
+        x, y = sorted((root[a], root[b]))
+        if x == y or any(far[n] & held[y] for n in held[x]):
+            continue
+        for n in held[y]:
+            root[n] = x
+        held[x] |= held.pop(y)
+    return pd.DataFrame({"node": list(root), "part": [f"{r}\u0002" for r in root.values()]})
