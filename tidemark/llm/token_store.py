@@ -2,8 +2,8 @@
 
 Layout of a store folder:
 
-``rows/kind=chunk/``  one row per distinct chunk: digest (SHA-256), n ids, payload
-``rows/kind=doc/``    the recipes as they were cut, before they are ordered
+``rows/``      of kind "chunk", one row per distinct chunk: digest (SHA-256), n ids, payload;
+               of kind "doc", the recipes as they were cut, before they are ordered
 ``recipes/``   one row per document, range-sorted by id: part, pos, doc, text_hash,
                n_tokens, local_start, digests, sizes
 ``manifest/``  one row per part of the recipes: n_docs, n_tokens, base (ids of all
@@ -17,6 +17,7 @@ on the payload.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import struct
 import uuid
@@ -194,15 +195,14 @@ def _encode(path: str, end_id: int, held: int = 1 << 17):
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by kind and digest: the first of each chunk, and all others."""
-    last = None
+    """The first row of each chunk, and all others; digests are a small part of a partition's bytes."""
+    seen: set[bytes] = set()
     for batch in batches:
-        digest = batch.column(2).to_pylist()
         keep = []
-        for d in digest:
-            keep.append(d is None or d != last)
+        for d in batch.column(2).to_pylist():
+            keep.append(d is None or d not in seen)
             if d is not None:
-                last = d
+                seen.add(d)
         yield batch.filter(pa.array(keep))
 
 
@@ -216,9 +216,13 @@ def write_store(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     """
     base = keyed(docs, id_col, text_col).select("__tm_d", F.xxhash64("__tm_t").alias("h"), "__tm_t")
     rows = map_arrow(base, _encode(path, end_id), _ROWS)
-    rows = map_arrow(rows.repartition("key").sortWithinPartitions("kind", "digest"), _first_of_each, _ROWS)
-    rows.drop("key").write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/rows")
+    rows = map_arrow(rows.repartition("key"), _first_of_each, _ROWS)
+    rows.drop("key").write.option("compression", "zstd").parquet(f"{folder}/rows")
     spark = docs.sparkSession
+    # the shuffle's files go with the plan that refers to them, not whenever the driver happens to collect
+    del rows, base
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     every = spark.read.schema("digest binary, n int, payload binary, doc long, text_hash long, digests array<binary>, sizes array<int>, kind string").parquet(f"{folder}/rows")
     recipes = every.where("kind = 'doc'").select("doc", "text_hash", "digests", "sizes").repartitionByRange("doc", "text_hash").sortWithinPartitions("doc", "text_hash")
     recipes = map_arrow(recipes, _number, _RECIPE)
