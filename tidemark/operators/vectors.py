@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine, dot
+from ..functions.stats import t_sf
 from .ranks import quantile
 
 
@@ -55,13 +57,22 @@ def residual(similarity: Column, baseline: Column | float) -> Column:
     return F.least(F.greatest((similarity - b) / (1 - b), F.lit(0.0)), F.lit(1.0))
 
 
-def convergence_trend(df: DataFrame, group: str, order: Sequence[str], vector: str, dim: int, chunks: int = 5) -> DataFrame:
-    """Slope and fit of the mean pairwise cosine over ``chunks`` equal parts of a group's rows, in order."""
+def convergence_trend(df: DataFrame, group: str, order: Sequence[str], vector: str, dim: int, chunks: int = 5, least: int = 10) -> DataFrame:
+    """(group, slope, r2, p, chunks): the mean pairwise cosine over ``chunks`` equal parts of a group's rows, in order.
+
+    The last part takes what is over; groups of fewer than ``least`` rows are left out.
+    ``p`` is the slope's two-sided p-value, 1 without enough parts.
+    """
     w = Window.partitionBy(group).orderBy(*order)
-    size = F.floor(F.count("*").over(Window.partitionBy(group)) / chunks)
-    part = df.withColumn("_c", F.least(F.floor((F.row_number().over(w) - 1) / size), F.lit(chunks - 1)))
+    x = df.withColumn("_n", F.count("*").over(Window.partitionBy(group))).where(F.col("_n") >= max(least, chunks))
+    part = x.withColumn("_c", F.least(F.floor((F.row_number().over(w) - 1) / F.floor(F.col("_n") / chunks)), F.lit(chunks - 1)))
     sims = mean_pairwise(part, [group, "_c"], vector, dim)
-    return sims.groupBy(group).agg(F.regr_slope("similarity", "_c").alias("slope"), F.regr_r2("similarity", "_c").alias("r2"), F.count("*").alias("chunks"))
+    got = sims.groupBy(group).agg(F.regr_slope("similarity", "_c").alias("slope"), F.regr_r2("similarity", "_c").alias("r2"), F.count("*").alias("chunks"))
+
+    def tail(r2: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([2 * t_sf(math.sqrt(a * (k - 2) / (1 - a)), k - 2) if k > 2 and a is not None and 0 <= a < 1 else 0.0 if k > 2 and a == 1 else 1.0 for a, k in zip(r2, n)], dtype=float)
+
+    return got.select(group, "slope", "r2", F.pandas_udf(tail, "double")("r2", "chunks").alias("p"), "chunks")  # a row a group
 
 
 def top_quartile_centroid(df: DataFrame, group: str, signal: str, vector: str, dim: int) -> DataFrame:
@@ -191,8 +202,7 @@ def convergence_metrics(rows: DataFrame, group: str, key: str, day: str, outlet:
     keep = stage(x.join(gone, [group, key], "left_anti"), "kept-vectors")
     base = x.groupBy(group).agg(F.count("*").alias("n")).join(gone.groupBy(group).agg(F.count("*").alias("syndicated")), group, "left").fillna(0, ["syndicated"])
     sim = mean_pairwise(keep, [group], vector, dim).select(group, "similarity")
-    enough = keep.join(keep.groupBy(group).count().where("count >= 10").select(group), group)
-    trend = convergence_trend(enough, group, [day, key], vector, dim).select(group, "slope", "r2")
+    trend = convergence_trend(keep, group, [day, key], vector, dim).select(group, "slope", "r2")
     means = lambda by, df, least: mean_pairwise(centroids(df, [group, by], vector, dim).where(F.col("n") >= least).drop("n"), [group], "centroid", dim)
     align = means(outlet, keep, 2).select(group, F.col("similarity").alias("alignment"))
     together = means(actor, x, 1).select(group, F.col("similarity").alias("coordination"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import rounded
 from ..operators import vectors
-from .tables import table
+from .tables import student_tail, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -73,11 +73,12 @@ def residual_similarity(spark, sf):
     return x.select("label", rounded(vectors.residual(F.col("similarity"), F.col("b"))).alias("residual"))
 
 
-@query("convergence_trend", f"""WITH {BASE}, k AS (SELECT label, u, least((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // (count(*) OVER (PARTITION BY label) // 5), 4) AS k FROM u),
-p AS (SELECT label, k, sim FROM {_pairs('k', 'label, k')}) SELECT label, round(regr_slope(sim, k), 6) + 0 AS slope, round(regr_r2(sim, k), 5) + 0 AS r2, count(*) AS chunks FROM p GROUP BY label""")
+@query("convergence_trend", f"""WITH {BASE}, k AS (SELECT label, u, least((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // (count(*) OVER (PARTITION BY label) // 5), 4) AS k FROM u QUALIFY count(*) OVER (PARTITION BY label) >= 10),
+p AS (SELECT label, k, sim FROM {_pairs('k', 'label, k')}), r AS (SELECT label, regr_slope(sim, k) AS slope, regr_r2(sim, k) AS r2, count(*) AS chunks FROM p GROUP BY label)
+SELECT label, round(slope, 6) + 0 AS slope, round(r2, 5) + 0 AS r2, round(2 * {student_tail("sqrt(r2 * (chunks - 2) / (1 - r2))", "(chunks - 2)")}, 5) + 0.0 AS p, chunks FROM r""")
 def convergence_trend(spark, sf):
     x = vectors.convergence_trend(_e(spark, sf), "label", ["vec_id"], "embedding", DIM)
-    return x.select("label", rounded(F.col("slope")).alias("slope"), rounded(F.col("r2"), 5).alias("r2"), "chunks")
+    return x.select("label", rounded(F.col("slope")).alias("slope"), rounded(F.col("r2"), 5).alias("r2"), rounded(F.col("p"), 5).alias("p"), "chunks")
 
 
 @query("top_quartile_centroid", f"""WITH {BASE}, q AS (SELECT label, quantile_cont(vec_id, 0.75) AS q FROM e GROUP BY label), t AS (SELECT e.label, v, vec_id AS w FROM e JOIN q USING (label) WHERE vec_id >= q)
