@@ -42,6 +42,7 @@ def test_all_tables(spark, inputs, tmp_path):
     s = a.surges.collect()
     assert all(0 <= r.total <= 1 for r in s) and {r.burst_id for r in s} == {r.burst_id for r in a.bursts.collect()}
     assert a.networks.where("nodes < 2").count() == 0
+    assert sum(r.n for r in a.counts.collect()) == len(s)
     assert a.states.count() > 5 and a.shifts.count() >= 0 and a.episodes.count() <= a.shifts.count() and a.roles.count() >= 0
     storm = a.occurrences.where("kind = 'storm'").collect()
     assert storm and any(r.core_start <= planted <= r.core_end or r.seeds > 3 for r in storm)

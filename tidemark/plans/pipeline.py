@@ -51,8 +51,9 @@ class Config:
 class Analysis:
     """Results of one run; each table is planned on first use, and staged where several others read it."""
 
-    def __init__(self, config: Config, sentences: DataFrame, vectors_: DataFrame | None = None, start: date | None = None, end: date | None = None) -> None:
-        self.config, self.sentences, self.vectors, self.start, self.end = config, sentences, vectors_, start, end
+    def __init__(self, config: Config, sentences: DataFrame, vectors_: DataFrame | None = None, start: date | None = None, end: date | None = None, until: date | None = None) -> None:
+        """``start`` and ``end`` bound the rows (with days ahead of them); bursts begin from ``start`` to ``until``."""
+        self.config, self.sentences, self.vectors, self.start, self.end, self.until = config, sentences, vectors_, start, end, until
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -120,7 +121,13 @@ class Analysis:
     @cached_property
     def bursts(self) -> DataFrame:
         b = detect.detect_bursts(self.signals, "frame", "day", "composite", self.config.detector)
-        return stage(b.where(F.col("onset") >= F.lit(self.start)) if self.start else b, "bursts")
+        b = b.where(F.col("onset") >= F.lit(self.start)) if self.start else b
+        return stage(b.where(F.col("onset") <= F.lit(self.until)) if self.until else b, "bursts")
+
+    @property
+    def counts(self) -> DataFrame:
+        """(frame, classification, n) of the bursts that are left."""
+        return self.surges.groupBy("frame", "classification").agg(F.count("*").alias("n"))
 
     @cached_property
     def surges(self) -> DataFrame:
@@ -206,5 +213,5 @@ class Analysis:
         return flat(self.tables()[name][0])
 
 
-def run(config: Config, sentences: DataFrame, vectors_: DataFrame | None = None, start: date | None = None, end: date | None = None) -> Analysis:
-    return Analysis(config, sentences, vectors_, start, end)
+def run(config: Config, sentences: DataFrame, vectors_: DataFrame | None = None, start: date | None = None, end: date | None = None, until: date | None = None) -> Analysis:
+    return Analysis(config, sentences, vectors_, start, end, until)
