@@ -219,10 +219,6 @@ def write_store(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     rows = map_arrow(rows.repartition("key"), _first_of_each, _ROWS)
     rows.drop("key").write.option("compression", "zstd").parquet(f"{folder}/rows")
     spark = docs.sparkSession
-    # the shuffle's files go with the plan that refers to them, not whenever the driver happens to collect
-    del rows, base
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     every = spark.read.schema("digest binary, n int, payload binary, doc long, text_hash long, digests array<binary>, sizes array<int>, kind string").parquet(f"{folder}/rows")
     recipes = every.where("kind = 'doc'").select("doc", "text_hash", "digests", "sizes").repartitionByRange("doc", "text_hash").sortWithinPartitions("doc", "text_hash")
     recipes = map_arrow(recipes, _number, _RECIPE)
@@ -330,8 +326,8 @@ def _joined(doc: int | None, chunks: list[dict]) -> tuple[list[np.ndarray], list
 def read_index(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """(doc, start, n_tokens, ids_crc32) of every document, from the stored files.
 
-    With ``whole`` each document's id stream is put together again from its chunks, which
-    are held against their digests, and its crc32 is taken.  Without, each stored chunk is
+    With ``whole`` each document's id stream is put together again from its chunks, whose
+    digests are taken anew for the leaves, and so is its crc32.  Without, each stored chunk is
     checked once, and a document's crc32 is computed from those of its chunks.  Either way
     every Merkle root, over leaves rebuilt from what was read, is held against the
     manifest; a missing or damaged chunk, recipe or part raises.
@@ -344,13 +340,18 @@ def read_index(spark: SparkSession, folder: str, whole: bool = True) -> DataFram
     def stream(c):
         out = {k: c[k] for k in ("part", "pos", "doc", "local_start")} | {"n_tokens": [], "crc": [], "leaf": []}
         for doc, h, cs in zip(c["doc"], c["text_hash"], c["cs"]):
-            chunks, digests = _joined(doc, cs)
-            crc = 0
-            for ids in chunks:
+            cs.sort(key=lambda x: x["k"])
+            crc, sizes, digests = 0, [], []
+            for x in cs:
+                if x["payload"] is None:
+                    raise ValueError(f"a chunk of document {doc} is missing")
+                ids = unpack_ids(x["payload"])
                 crc = zlib.crc32(ids, crc)
-            out["n_tokens"].append(sum(map(len, chunks)))
+                sizes.append(len(ids))
+                digests.append(hashlib.sha256(ids).digest())  # a damaged chunk changes the leaf, and so the root
+            out["n_tokens"].append(sum(sizes))
             out["crc"].append(crc)
-            out["leaf"].append(leaf(doc, h, [len(x) for x in chunks], digests))
+            out["leaf"].append(leaf(doc, h, sizes, digests))
         return out
 
     def join(c):
@@ -370,7 +371,7 @@ def read_index(spark: SparkSession, folder: str, whole: bool = True) -> DataFram
         return out
 
     if whole:
-        found = uses.join(_chunks(spark, folder).select("digest", "payload"), "digest", "left").groupBy(*group).agg(F.collect_list(F.struct("k", "digest", "payload")).alias("cs"))
+        found = uses.join(_chunks(spark, folder).select("digest", "payload"), "digest", "left").groupBy(*group).agg(F.collect_list(F.struct("k", "payload")).alias("cs"))
         built = map_rows(found, [*group, "cs"], stream, schema, rows=64)
     else:
         chunks = checked_chunks(spark, folder).select(F.col("digest").alias("held"), "n", "crc")
@@ -403,4 +404,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex[:10]}"
     write_store(read(spark, sf_dir, "documents"), tokens.default_path(), folder)
+    # the writing's shuffle files go with the plans that refer to them: now, not whenever the driver's heap is full
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return read_index(spark, folder).select(from_id(F.col("doc")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
