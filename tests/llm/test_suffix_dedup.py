@@ -98,5 +98,37 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert sorted((r.doc_id is None, len(r.kept) > 0) for r in got) == sorted((d is None, len(k) > 0) for d, _, _, k in brute(rows, len(tail) + 3 + len(str(min(a, b)))))
 
 
+def hot_runs(n, seed):
+    """Runs of one notice within texts of their own."""
+    rng = np.random.default_rng(seed)
+    notice = rng.integers(97, 123, 250).astype(np.uint8).tobytes()
+    return [rng.integers(97, 123, int(rng.integers(20, 60))).astype(np.uint8).tobytes() + notice[: int(rng.integers(190, 220))] for _ in range(n)]
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_equal_windows_are_found_by_hash(monkeypatch, clash):
+    """One sort of hashes finds what suffix arrays do; where unequal windows share a hash, suffix arrays decide."""
+    parts = hot_runs(40, 3)
+    seen = [Counter(w for p in some for w in {p[i : i + 200] for i in range(len(p) - 199)}) for some in (parts[:15], parts[15:])]
+    asked = []
+    plain, hashes = sd.suffix_array, sd.window_hashes
+    monkeypatch.setattr(sd, "suffix_array", lambda *a: asked.append(1) or plain(*a))
+    if clash:
+        monkeypatch.setattr(sd, "window_hashes", lambda t, width: hashes(t, width) % np.uint64(3))
+    want = {(k, i) for k, p in enumerate(parts) for i in range(len(p) - 199) if seen[0][p[i : i + 200]] + seen[1][p[i : i + 200]] > 1}
+    shard = sd.Shard(parts)
+    assert {(k, i) for k, a, b in shard.ranges(shard.repeated()) for i in range(a, b + 1)} == want and want
+    a, b = sd.Shard(parts[:15]), sd.Shard(parts[15:])
+    for one, hit, k0, other in zip((a, b), a.shared_with(b), (0, 15), seen[::-1]):
+        got = {(k0 + k, i) for k, x, y in one.ranges(hit) for i in range(x, y + 1)}
+        assert got == {(k, i) for k, p in enumerate(parts) if (k >= 15) == bool(k0) for i in range(len(p) - 199) if other[p[i : i + 200]]} and got
+    assert bool(asked) == clash
+
+
+def test_unequal_windows_of_one_hash_are_noticed(monkeypatch):
+    monkeypatch.setattr(sd, "gram_hashes", lambda t, gram=32: np.zeros(max(0, len(t) - gram + 1), np.uint64))
+    assert sd.equal_windows(np.frombuffer(b"abcdefgh" * 9, np.uint8), np.arange(40), 20) is None
+
+
 def test_empty(spark):
     assert sd.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -1,18 +1,20 @@
-"""Removal of repeated byte strings with suffix arrays.
+"""Removal of repeated byte strings by anchors, hashes and suffix arrays.
 
 Two equal strings of ``width`` bytes have the same smallest hash of a ``gram``-byte
 substring (winnowing: Schleimer and others, 2003).  So the windows of a text fall into
 runs that share that anchor, equal windows meet under one anchor hash, and only
 anchors that occur twice matter.  Of these, equal runs need no comparison; the distinct
-runs of an anchor go to one shard, whose suffix array (Larsson-Sadakane refinement) and
-common prefixes (Kasai) show which windows occur twice.  An anchor with many distinct
-runs is spread over several shards, merged two by two by binary search; with very many,
-its windows are counted by their digests.
+runs of an anchor go to one shard, whose windows are sorted by hash; those with equal
+hashes are compared byte by byte.  Should unequal ones share a hash, the shard's suffix
+array (Larsson-Sadakane refinement) and common prefixes (Kasai) show which windows occur
+twice.  An anchor with many distinct runs is spread over several shards, which meet two by
+two; with very many, its windows are counted by their digests.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +84,55 @@ def runs_of(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WI
     return windows[new], windows[np.concatenate([new[1:] - 1, [len(windows) - 1]])], h[p[new]]
 
 
+# --- equal windows -----------------------------------------------------------------
+
+
+def window_hashes(t: np.ndarray, width: int, block: int = 1 << 15) -> np.ndarray:
+    """A 64-bit hash of the ``width`` bytes from each place, in blocks that stay in the cache."""
+    n = len(t) - width + 1
+    out = np.empty(max(n, 0), _U)
+    half = 1 << (width.bit_length() - 1)  # two of these cover a window
+    for at in range(0, n, block):
+        g = gram_hashes(t[at : min(at + block, n) + width - 1], half)
+        k = len(g) - (width - half)
+        h = g[:k] * _U(0xD1342543DE82EF95) + g[width - half :]
+        out[at : at + block] = h ^ (h >> _U(32))
+    return out
+
+
+def equal_windows(t: np.ndarray, at: np.ndarray, width: int, side: np.ndarray | None = None) -> np.ndarray | None:
+    """Whether the ``width`` bytes from each of the places ``at`` are also those from another, of another side if sides are given.
+
+    Windows are sorted by hash, and neighbours of one hash are compared byte by byte:
+    None if any differ, as the hashes then don't tell.
+    """
+    hit = np.zeros(len(at), bool)
+    if not len(at):
+        return hit
+    h = window_hashes(t, width)[at]
+    order = np.argsort(h)
+    h = h[order]
+    same = h[1:] == h[:-1]
+    a, b = at[order[:-1][same]], at[order[1:][same]]
+    step = min(width, 8)
+    if step == 8:
+        t = np.ascontiguousarray(np.ndarray((len(t) - 7,), "<u8", np.ascontiguousarray(t), 0, (1,)))
+    for k in [*range(0, width - step + 1, step), width - step] if step == 8 else range(width):
+        if (t[a + k] != t[b + k]).any():
+            return None
+    if side is None:
+        found = np.zeros(len(at), bool)
+        found[1:] |= same
+        found[:-1] |= same
+    else:
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        sides = side[order]
+        both = np.minimum.reduceat(sides, first) != np.maximum.reduceat(sides, first)
+        found = np.repeat(both, np.diff(np.concatenate([first, [len(at)]])))
+    hit[order[found]] = True
+    return hit
+
+
 # --- suffix arrays -----------------------------------------------------------------
 
 
@@ -179,7 +230,7 @@ def _compare(words_a: np.ndarray, a: np.ndarray, words_b: np.ndarray, b: np.ndar
 
 
 class Shard:
-    """Distinct runs on end, each closed with a byte that UTF-8 lacks, and their suffix array."""
+    """Distinct runs on end, each closed with a byte that UTF-8 lacks, and, where it is asked for, their suffix array."""
 
     def __init__(self, parts: list[bytes], width: int = WIDTH) -> None:
         self.width = width
@@ -187,11 +238,30 @@ class Shard:
         sizes = np.array([len(p) for p in parts], np.int64)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         self.windows = sizes - width + 1
-        self.words = words_at(self.t)
-        self.sa, self.rank = suffix_array(self.t, self.words)
+
+    @cached_property
+    def words(self) -> np.ndarray:
+        return words_at(self.t)
+
+    @cached_property
+    def _order(self) -> tuple[np.ndarray, np.ndarray]:
+        return suffix_array(self.t, self.words)
+
+    @property
+    def sa(self) -> np.ndarray:
+        return self._order[0]
+
+    @property
+    def rank(self) -> np.ndarray:
+        return self._order[1]
 
     def repeated(self) -> np.ndarray:
-        """For each place whether the ``width`` bytes from it also start elsewhere in the shard."""
+        """For each place whether a window from it also starts elsewhere in the shard."""
+        at = self.places()
+        if (equal := equal_windows(self.t, at, self.width)) is not None:
+            hit = np.zeros(len(self.t), bool)
+            hit[at] = equal
+            return hit
         lcp = common_prefixes(self.t, self.sa, self.rank, self.words) >= self.width
         hit = np.zeros(len(self.t), bool)
         hit[self.sa[lcp]] = True
@@ -203,6 +273,17 @@ class Shard:
         owner = np.repeat(np.arange(len(self.starts)), self.windows)
         return self.starts[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(self.windows) - self.windows, self.windows)
 
+    def shared_with(self, other: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of either shard whether a window from it also starts in the other."""
+        here, there = self.places(), other.places()
+        both = np.concatenate([here, there + len(self.t)])
+        equal = equal_windows(np.concatenate([self.t, other.t]), both, self.width, np.repeat(np.array([0, 1], np.int8), [len(here), len(there)]))
+        if equal is None:
+            return self.found_in(other), other.found_in(self)
+        hits = np.zeros(len(self.t), bool), np.zeros(len(other.t), bool)
+        hits[0][here], hits[1][there] = equal[: len(here)], equal[len(here) :]
+        return hits
+
     def found_in(self, other: Shard) -> np.ndarray:
         """For each place whether a window from it also starts in another shard: a binary search in its suffix array."""
         hit = np.zeros(len(self.t), bool)
@@ -220,13 +301,15 @@ class Shard:
         hit[q] = (low < len(other.sa)) & (_compare(self.words, q, other.words, other.sa[at], self.width) == 0)
         return hit
 
-    def ranges(self, hit: np.ndarray) -> list[list[tuple[int, int]]]:
-        """Of each run, the (first, last) windows of its stretches of hits."""
-        out = []
-        for s, k in zip(self.starts.tolist(), self.windows.tolist()):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[s : s + k].astype(np.int8), [0]])))
-            out.append([(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2])])
-        return out
+    def ranges(self, hit: np.ndarray) -> list[tuple[int, int, int]]:
+        """The (run, first, last) windows of the stretches of hits."""
+        at = self.places()
+        valid = np.zeros(len(hit) + 2, np.int8)
+        valid[at + 1] = hit[at]
+        edge = np.diff(valid)  # bytes without a window lie between two runs
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+        run = np.searchsorted(self.starts, first, "right") - 1
+        return list(zip(run.tolist(), (first - self.starts[run]).tolist(), (last - self.starts[run]).tolist()))
 
 
 # --- over documents -------------------------------------------------------------
@@ -308,13 +391,13 @@ def _search(width: int, size: int):
     """Rows (k, side, d, x, a, c, t) sorted by k and side to the repeated windows (d, x, a, b) of runs that occur once.
 
     Groups of side 2 are whole anchors or single shards of one: their windows are
-    compared with each other, many groups in one suffix array.  Groups with sides 0 and
-    1 are two shards of one anchor, compared with one another.
+    compared with each other, many groups at once.  Groups with sides 0 and 1 are two
+    shards of one anchor, compared with one another.
     """
     names, types = ["d", "x", "a", "b"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def found(rows: list[tuple], shard: Shard, hit: np.ndarray) -> list[tuple]:
-        return [(r[2], r[3], r[4] + a, r[4] + b) for r, rs in zip(rows, shard.ranges(hit)) if r[5] == 1 for a, b in rs]
+        return [(rows[k][2], rows[k][3], rows[k][4] + a, rows[k][4] + b) for k, a, b in shard.ranges(hit) if rows[k][5] == 1]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names=names)
@@ -326,7 +409,8 @@ def _search(width: int, size: int):
     def across(rows: list[tuple]) -> pa.RecordBatch:
         left, right = [r for r in rows if not r[1]], [r for r in rows if r[1]]
         a, b = Shard([r[6] for r in left], width), Shard([r[6] for r in right], width)
-        return batch_of(found(left, a, a.found_in(b)) + found(right, b, b.found_in(a)))
+        in_a, in_b = a.shared_with(b)
+        return batch_of(found(left, a, in_a) + found(right, b, in_b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -359,16 +443,20 @@ def _search(width: int, size: int):
 
 
 def _windows(width: int):
-    """Rows (d, x, a, c, t) of runs to one row (d, x, a, c, w) a window, with a 128-bit digest."""
-    types = {"d": pa.int64(), "x": pa.int64(), "a": pa.int32(), "c": pa.int64(), "w": pa.binary()}
+    """Rows (d, x, a, c, t) of runs to one row (d, x, a, c, u, v) a window, with a 128-bit digest in two halves."""
+    names = ["d", "x", "a", "c", "u", "v"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [(d, x, a + k, c, digest(t[k : k + width])) for d, x, a, c, t in zip(*(part.column(i).to_pylist() for i in range(5))) for k in range(len(t) - width + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows) if rows else [[]] * 5, types.values())], names=[*types])
+                texts = part.column(4).to_pylist()
+                uv = np.frombuffer(b"".join([digest(t[k : k + width]) for t in texts for k in range(len(t) - width + 1)]), "<i8").reshape(-1, 2)
+                each = np.array([len(t) - width + 1 for t in texts])
+                d, x, a, c = (np.repeat(part.column(i).to_numpy(), each) for i in range(4))
+                a += (np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (d, x, a, c, uv[:, 0].copy(), uv[:, 1].copy())], names=names)
 
     return run
 
@@ -401,9 +489,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shar
     out = whole.unionByName(single)
     hot = got.where(shards > most_shards).select("d", "x", "a", "c", "t")
     if not hot.isEmpty():
-        windows = map_arrow(hot, _windows(width), "d long, x long, a int, c long, w binary")
-        twice = stage(windows.groupBy("w").count().where(F.col("count") > 1).select("w"), "hot-windows")
-        out = out.unionByName(windows.where("c = 1").join(twice, "w").select("d", "x", "a", F.col("a").alias("b")))
+        windows = map_arrow(hot, _windows(width), "d long, x long, a int, c long, u long, v long")
+        twice = stage(windows.groupBy("u", "v").count().where(F.col("count") > 1).select("u", "v"), "hot-windows")
+        out = out.unionByName(windows.where("c = 1").join(twice, ["u", "v"]).select("d", "x", "a", F.col("a").alias("b")))
     return out
 
 
