@@ -1,7 +1,9 @@
+import shutil
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import token_store as ts
@@ -71,6 +73,52 @@ def test_round_trip_and_damage(spark, tmp_path):
         ts.read_index(spark, changed)
 
 
+@pytest.mark.parametrize("held_bytes", [1 << 26, 1])
+def test_chunks_used_once_know_their_place(spark, tmp_path, held_bytes):
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(300)]
+    make = lambda n: " ".join(rng.choice(words, n))
+    long = make(6000)
+    texts = [make(2500) for _ in range(12)] + [long, long + " end", "a " * 9000, "", "", None]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 3 + [(None, texts[1]), (None, texts[1]), (None, make(900)), (None, ""), (None, "")]
+    folder = str(tmp_path / "store")
+    ts.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, folder, held_bytes=held_bytes)
+    uses: dict[bytes, list] = {}
+    for r in spark.read.parquet(f"{folder}/recipes").collect():
+        for k, d in enumerate(r.digests):
+            uses.setdefault(bytes(d), []).append((r.doc, r.text_hash, k))
+    stored = spark.read.parquet(f"{folder}/rows").where("kind = 'chunk'").collect()
+    assert len(stored) == len(uses) == len({bytes(r.digest) for r in stored})
+    placed = {bytes(r.digest): [(r.doc, r.text_hash, r.k)] for r in stored if r.k is not None}
+    if held_bytes > 1:
+        assert placed == {d: u for d, u in uses.items() if len(u) == 1} and 0 < len(placed) < len(uses)
+    else:  # given out before the partition's end
+        assert not placed
+    lib = Tokenizer.from_file(PATH)
+    want = sorted((2**63 - 1 if d is None else d, zlib.crc32(np.array(lib.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes())) for d, t in rows)
+    got = ts.read_index(spark, folder).collect()
+    assert sorted((r.doc, r.ids_crc32) for r in got) == want
+    assert sorted(map(tuple, got)) == sorted(map(tuple, ts.read_index(spark, folder, whole=False).collect()))
+
+
+@pytest.mark.parametrize("which", ["k IS NOT NULL", "k IS NULL", "k > 0"])
+def test_missing_and_damaged_chunks(spark, tmp_path, which):
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(rng.choice(words, n)) for n in (40, 3000, 50, 5000)]
+    folder = str(tmp_path / "store")
+    ts.write_store(spark.createDataFrame([*enumerate(texts), (9, texts[1])], "doc_id long, text string"), PATH, folder)
+    rows = spark.read.parquet(f"{folder}/rows")
+    hit = rows.where(f"kind = 'chunk' AND {which}").first().digest
+    flip = "unhex(concat(hex(substring(payload, 1, length(payload) - 1)), 'FF'))"
+    for k, change in enumerate([rows.where(F.coalesce(F.col("digest") != hit, F.lit(True))), rows.withColumn("payload", F.when(F.col("digest") == hit, F.expr(flip)).otherwise(F.col("payload")))]):
+        changed = str(tmp_path / f"changed{k}")
+        shutil.copytree(folder, changed, ignore=shutil.ignore_patterns("rows"))
+        change.write.parquet(f"{changed}/rows")
+        with pytest.raises(ValueError, match="manifest"):
+            ts.read_index(spark, changed)
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     ts.write_store(docs, PATH, str(tmp_path / "s"))

@@ -2,10 +2,11 @@
 
 Layout of a store folder:
 
-``rows/``      of kind "chunk", one row per distinct chunk: digest (SHA-256), n ids, payload;
+``rows/``      of kind "chunk", one row per distinct chunk: digest (SHA-256), n ids, payload,
+               and its place (doc, text_hash, k) if it is known to be used only there;
                of kind "doc", the recipes as they were cut, before they are ordered
 ``recipes/``   one row per document, range-sorted by id: part, pos, doc, text_hash,
-               n_tokens, local_start, digests, sizes
+               n_tokens, local_start, digests, sizes, again (a repeated id and text)
 ``manifest/``  one row per part of the recipes: n_docs, n_tokens, base (ids of all
                parts before it), Merkle root; and the root over all parts (part -1)
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyarrow import compute as pc
 
 from . import tokens
 from .common import from_id, keyed, map_arrow, map_rows, read, shared_dir
@@ -157,18 +159,18 @@ class Tree:
 
 # --- writing --------------------------------------------------------------------
 
-_ROWS = "kind string, key long, digest binary, n int, payload binary, doc long, text_hash long, digests array<binary>, sizes array<int>"
+_ROWS = "kind string, key long, digest binary, n int, payload binary, doc long, text_hash long, k int, digests array<binary>, sizes array<int>"
 
 
 def _encode(path: str, end_id: int, held: int = 1 << 17):
-    """Documents to recipe rows, and a row for each chunk that is new to the task."""
+    """Documents to recipe rows, a row with its place for each chunk that is new to the task, and a bare one when it comes again."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     schema = to_arrow_schema(StructType.fromDDL(_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = tokens.encoder(path), set()
+        enc, seen, twice = tokens.encoder(path), set(), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -180,43 +182,79 @@ def _encode(path: str, end_id: int, held: int = 1 << 17):
                     for end in cut_points(ids):
                         chunk = ids[start:end]
                         digest = hashlib.sha256(chunk).digest()
-                        digests.append(digest)
-                        sizes.append(end - start)
-                        start = end
                         if digest not in seen:
                             if len(seen) >= held:  # forgetting costs a copy in the shuffle, nothing else
                                 seen.clear()
+                                twice.clear()
                             seen.add(digest)
-                            add(kind="chunk", key=int.from_bytes(digest[:8], "little", signed=True), digest=digest, n=len(chunk), payload=pack_ids(chunk))
+                            add(kind="chunk", key=int.from_bytes(digest[:8], "little", signed=True), digest=digest, n=len(chunk), payload=pack_ids(chunk), doc=doc, text_hash=h, k=len(sizes))
+                        elif digest not in twice:
+                            twice.add(digest)
+                            add(kind="again", key=int.from_bytes(digest[:8], "little", signed=True), digest=digest)
+                        digests.append(digest)
+                        sizes.append(end - start)
+                        start = end
                     add(kind="doc", key=h ^ doc, doc=doc, text_hash=h, digests=digests, sizes=sizes)
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in schema], schema=schema)
 
     return run
 
 
-def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each chunk, and all others; digests are a small part of a partition's bytes."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for d in batch.column(2).to_pylist():
-            keep.append(d is None or d not in seen)
-            if d is not None:
-                seen.add(d)
-        yield batch.filter(pa.array(keep))
+def _first_of_each(most: int):
+    """One row of each chunk, with its place if no other row has its digest, and all recipes.
 
+    All rows of a digest are in one partition.  It is held back, up to ``most`` bytes;
+    chunks that are given out before its end lose their place.
+    """
 
-def write_store(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        twice: set[bytes] = set()
+        given: set[bytes] = set()
+        held: list[tuple[pa.RecordBatch, list]] = []
+        size = 0
+
+        def give(last: bool) -> Iterator[pa.RecordBatch]:
+            for batch, digests in held:
+                keep, shared = [], []
+                for d, chunk in zip(digests, batch.column("payload").is_valid().to_pylist()):
+                    keep.append(d is None or chunk and d not in given)
+                    shared.append(d is not None and (not last or d in twice))
+                    if chunk:
+                        given.add(d)
+                shared = pa.array(shared)
+                columns = [pc.if_else(shared, pa.scalar(None, c.type), c) if name in ("doc", "text_hash", "k") else c for name, c in zip(batch.schema.names, batch.columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(keep))
+            held.clear()
+
+        for batch in batches:
+            digests = batch.column("digest").to_pylist()
+            for d in digests:
+                if d is not None:
+                    (twice if d in seen else seen).add(d)
+            held.append((batch, digests))
+            size += batch.nbytes
+            if size >= most:
+                yield from give(False)
+                size = 0
+        yield from give(True)
+
+    return run
+
+
+def write_store(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, held_bytes: int = 1 << 26) -> None:
     """Write the ids of every whole text, each closed with ``end_id``, as a store in ``folder``.
 
     One shuffle carries each task's new chunks, by digest, and the recipes; a chunk
-    that many documents share comes once from each task, so no key is hot.  Null and
+    that many documents share comes once from each task, so no key is hot.  Chunks of
+    partitions over ``held_bytes`` may be stored without their place, which costs the
+    reader a second shuffle of them and nothing else.  Null and
     empty texts are the end id alone; null ids order last; repeated rows have a recipe
     each; an empty table makes a store without rows.
     """
     base = keyed(docs, id_col, text_col).select("__tm_d", F.xxhash64("__tm_t").alias("h"), "__tm_t")
     rows = map_arrow(base, _encode(path, end_id), _ROWS)
-    rows = map_arrow(rows.repartition("key"), _first_of_each, _ROWS)
+    rows = map_arrow(rows.repartition("key"), _first_of_each(held_bytes), _ROWS)
     rows.drop("key").write.option("compression", "zstd").parquet(f"{folder}/rows")
     spark = docs.sparkSession
     every = spark.read.schema("digest binary, n int, payload binary, doc long, text_hash long, digests array<binary>, sizes array<int>, kind string").parquet(f"{folder}/rows")
@@ -226,21 +264,24 @@ def write_store(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
     _manifest(spark, folder).coalesce(1).write.parquet(f"{folder}/manifest")
 
 
-_RECIPE = "part int, pos long, doc long, text_hash long, n_tokens long, local_start long, digests array<binary>, sizes array<int>"
+_RECIPE = "part int, pos long, doc long, text_hash long, n_tokens long, local_start long, digests array<binary>, sizes array<int>, again boolean"
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Place, length and start (within the part) of each recipe of a sorted part."""
+    """Place, length and start (within the part) of each recipe of a sorted part, and whether it repeats the one before."""
     from pyspark import TaskContext
 
-    part, pos, start = TaskContext.get().partitionId(), 0, 0
+    part, pos, start, before = TaskContext.get().partitionId(), 0, 0, None
     for batch in batches:
         n = np.array([sum(s) for s in batch.column(3).to_pylist()], np.int64)
         starts = start + np.cumsum(n) - n
         k = batch.num_rows
+        keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        again = [a == b for a, b in zip([before, *keys], keys)]
+        before = keys[-1] if keys else before
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(k, part, np.int32)), pa.array(np.arange(pos, pos + k)), batch.column(0), batch.column(1), pa.array(n), pa.array(starts), batch.column(2), batch.column(3)],
-            names=["part", "pos", "doc", "text_hash", "n_tokens", "local_start", "digests", "sizes"],
+            [pa.array(np.full(k, part, np.int32)), pa.array(np.arange(pos, pos + k)), batch.column(0), batch.column(1), pa.array(n), pa.array(starts), batch.column(2), batch.column(3), pa.array(again, pa.bool_())],
+            names=["part", "pos", "doc", "text_hash", "n_tokens", "local_start", "digests", "sizes", "again"],
         )
         pos, start = pos + k, start + int(n.sum())
 
@@ -323,6 +364,54 @@ def _joined(doc: int | None, chunks: list[dict]) -> tuple[list[np.ndarray], list
     return out, digests
 
 
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, text_hash, k, payload) in order to (doc, text_hash, n_tokens, crc, leaf) of every document."""
+    names, types = ["doc", "text_hash", "n_tokens", "crc", "leaf"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    now, last, crc, sizes, digests = None, -1, 0, [], []
+    out: list[tuple] = []
+
+    def given() -> pa.RecordBatch:
+        got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, types)], names=names)
+        out.clear()
+        return got
+
+    for batch in batches:
+        for doc, h, k, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (doc, h) != now:
+                if now:
+                    out.append((*now, sum(sizes), crc, leaf(*now, sizes, digests)))
+                now, last, crc, sizes, digests = (doc, h), -1, 0, [], []
+            if k != last:
+                ids = unpack_ids(payload)
+                crc = zlib.crc32(ids, crc)
+                sizes.append(len(ids))
+                digests.append(hashlib.sha256(ids).digest())  # a damaged or missing chunk changes the leaf, and so the root
+                last = k
+        yield given()
+    if now:
+        out.append((*now, sum(sizes), crc, leaf(*now, sizes, digests)))
+    yield given()
+
+
+def _whole(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, pos, doc, local_start, n_tokens, crc, leaf) of every document, its ids put together again from its chunks.
+
+    A chunk that is used once goes straight to its document; others are looked up by
+    digest first.  A repeated id and text is put together once.
+    """
+    recipes = spark.read.schema(_RECIPE).parquet(f"{folder}/recipes")
+    chunks = spark.read.schema("kind string, digest binary, payload binary, doc long, text_hash long, k int").parquet(f"{folder}/rows").where("kind = 'chunk'")
+    uses = recipes.where("again IS NULL OR NOT again").select("doc", "text_hash", F.posexplode("digests").alias("k", "digest"))
+    shared = uses.join(chunks.where("k IS NULL").select("digest", "payload"), "digest")
+    columns = ["doc", "text_hash", "k", "payload"]
+    every = chunks.where("k IS NOT NULL").select(columns).unionByName(shared.select(columns))
+    ordered = every.repartition("doc", "text_hash").sortWithinPartitions("doc", "text_hash", "k")
+    built = map_arrow(ordered, _streams, "doc long, text_hash long, n_tokens long, crc long, leaf binary")
+    found = recipes.select("part", "pos", "doc", "text_hash", "local_start").join(built, ["doc", "text_hash"], "left")
+    # a document without any chunk has a leaf that no manifest holds
+    return found.select("part", "pos", "doc", "local_start", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "crc", F.coalesce("leaf", F.lit(b"")).alias("leaf"))
+
+
 def read_index(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
     """(doc, start, n_tokens, ids_crc32) of every document, from the stored files.
 
@@ -337,23 +426,6 @@ def read_index(spark: SparkSession, folder: str, whole: bool = True) -> DataFram
     group = ["part", "pos", "doc", "text_hash", "local_start"]
     schema = "part int, pos long, doc long, local_start long, n_tokens long, crc long, leaf binary"
 
-    def stream(c):
-        out = {k: c[k] for k in ("part", "pos", "doc", "local_start")} | {"n_tokens": [], "crc": [], "leaf": []}
-        for doc, h, cs in zip(c["doc"], c["text_hash"], c["cs"]):
-            cs.sort(key=lambda x: x["k"])
-            crc, sizes, digests = 0, [], []
-            for x in cs:
-                if x["payload"] is None:
-                    raise ValueError(f"a chunk of document {doc} is missing")
-                ids = unpack_ids(x["payload"])
-                crc = zlib.crc32(ids, crc)
-                sizes.append(len(ids))
-                digests.append(hashlib.sha256(ids).digest())  # a damaged chunk changes the leaf, and so the root
-            out["n_tokens"].append(sum(sizes))
-            out["crc"].append(crc)
-            out["leaf"].append(leaf(doc, h, sizes, digests))
-        return out
-
     def join(c):
         out = {k: c[k] for k in ("part", "pos", "doc", "local_start")} | {"n_tokens": [], "leaf": []}
         crc, size, first = [], [], []
@@ -371,8 +443,7 @@ def read_index(spark: SparkSession, folder: str, whole: bool = True) -> DataFram
         return out
 
     if whole:
-        found = uses.join(_chunks(spark, folder).select("digest", "payload"), "digest", "left").groupBy(*group).agg(F.collect_list(F.struct("k", "payload")).alias("cs"))
-        built = map_rows(found, [*group, "cs"], stream, schema, rows=64)
+        built = _whole(spark, folder)
     else:
         chunks = checked_chunks(spark, folder).select(F.col("digest").alias("held"), "n", "crc")
         found = uses.join(chunks, uses["digest"] == chunks["held"], "left").groupBy(*group).agg(F.collect_list(F.struct("k", "digest", "n", "crc")).alias("cs"))
