@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import graphs, stats
 from ..functions.exprs import clip
 
 
@@ -183,12 +183,15 @@ def classify(score: Column) -> Column:
 
 
 def network_terms(inside: DataFrame, day: str, actor: str) -> DataFrame:
-    """(burst_id, nodes, edges, density, modularity, clustering): each burst's network of actors with rows on one day."""
-    from .graph import network_summary
+    """(burst_id, nodes, edges, density, modularity, clustering): each burst's network of actors with rows on one day, a task a burst that holds a row an actor and day."""
+    rows = inside.select("burst_id", day, actor).where(F.col(actor).isNotNull()).distinct()
 
-    edges = inside.select("burst_id", day, actor).where(F.col(actor).isNotNull()).distinct()
-    pairs = edges.withColumnRenamed(actor, "src").join(edges.withColumnRenamed(actor, "dst"), ["burst_id", day]).where("src < dst").groupBy("burst_id", "src", "dst").agg(F.count("*").alias("weight"))
-    return network_summary(pairs, "burst_id").withColumnRenamed("graph", "burst_id").select("burst_id", "nodes", "density", "modularity", "clustering")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = graphs.Blocks(pdf[day].astype(str), pdf[actor])
+        got = [(str(pdf["burst_id"].iloc[0]), *graphs.block_summary(g))] if g.n else []
+        return pd.DataFrame(got, columns=["burst_id", "nodes", "edges", "density", "modularity", "clustering"])
+
+    return rows.groupBy("burst_id").applyInPandas(run, "burst_id string, nodes long, edges long, density double, modularity double, clustering double")
 
 
 def participation_terms(bursts: DataFrame, rows: DataFrame, group: str, day: str, actor: str, outlet: str, network: bool = True, outlets: int = 20) -> DataFrame:
