@@ -70,8 +70,7 @@ def burst_sources(spark, sf):
 @query("burst_networks")
 def burst_networks(spark, sf):
     """Structure and cohesion of the network of each burst's actors."""
-    w = windows(spark, sf).where("f = '1-URGENT'")  # the bursts of one group
-    return detect.participation_terms(w, dq.rows(spark, sf), "f", "d", "c", "outlet").select("burst_id", "n_actors", "structure", "cohesion")
+    return detect.participation_terms(windows(spark, sf), dq.rows(spark, sf), "f", "d", "c", "outlet").select("burst_id", "n_actors", "structure", "cohesion")
 
 
 # --- vectors ------------------------------------------------------------------------
